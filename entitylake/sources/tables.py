@@ -1,0 +1,189 @@
+"""A keyed table on plain parquet folders.
+
+Where the catalog offers MERGE, ``merge_into_catalog`` uses it. Plain files have
+none, so a table is a full copy (``base``) plus the changed rows of later
+commits (``delta``): a commit costs what its batch costs, never the table.
+Readers see base and deltas merged by id; ``compact`` writes a new base.
+
+Data is written first and a commit row last, as one appended file. A crash
+before that leaves an uncommitted folder the next attempt overwrites; a batch
+whose commit exists is skipped, so replays change nothing. One writer at a
+time.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
+
+from entitylake.functions import variants as V
+from entitylake.operators import upsert as U
+from entitylake.operators.pages import union_batches
+
+COMMIT_SCHEMA = "version bigint, kind string, batch string, folder string, committed_at timestamp"
+BASE, DELTA, DELETE = "base", "delta", "delete"
+DELETED = "_deleted"
+VERSION = "_version"
+
+
+class EntityTable:
+    def __init__(
+        self,
+        spark: SparkSession,
+        path: str,
+        key: str = "id",
+        order_by: Sequence[str] = (),
+        compact_after: int = 20,
+    ) -> None:
+        """``order_by`` set: the greatest row of an id wins, whenever it came.
+
+        Otherwise the last commit wins.
+        """
+        self.spark = spark
+        self.path = path.rstrip("/")
+        self.key = key
+        self.order_by = list(order_by)
+        self.compact_after = compact_after
+
+    # -- commits ---------------------------------------------------------------
+
+    def commits(self) -> list[Row]:
+        """Commit rows in order: metadata, one per batch."""
+        try:
+            log = self.spark.read.schema(COMMIT_SCHEMA).json(f"{self.path}/commits")
+            return sorted(log.collect(), key=lambda r: r.version)
+        except AnalysisException as missing:
+            if missing.getCondition() == "PATH_NOT_FOUND":
+                return []
+            raise
+
+    def _commit(self, kind: str, rows: DataFrame, batch: str | None, commits: list[Row]) -> None:
+        version = commits[-1].version + 1 if commits else 0
+        folder = f"{kind}/v={version}"
+        rows.write.mode("overwrite").parquet(f"{self.path}/{folder}")
+        entry = self.spark.range(0, 1, 1, 1).select(
+            F.lit(version).cast("bigint").alias("version"),
+            F.lit(kind).alias("kind"),
+            F.lit(batch).cast("string").alias("batch"),
+            F.lit(folder).alias("folder"),
+            F.current_timestamp().alias("committed_at"),
+        )
+        entry.write.mode("append").json(f"{self.path}/commits")
+        since_base = version - max([c.version for c in commits if c.kind == BASE], default=version)
+        if kind != BASE and since_base >= self.compact_after:
+            self.compact()
+
+    # -- reading ---------------------------------------------------------------
+
+    def current(self) -> DataFrame:
+        """One row per id."""
+        return self._current().drop(U.CONTENT_KEY)
+
+    def _current(self) -> DataFrame:
+        commits = self.commits()
+        bases = [c for c in commits if c.kind == BASE]
+        if not bases:
+            raise LookupError(f"no table at {self.path}")
+        base = self._read(bases[-1])
+        later = [c for c in commits if c.version > bases[-1].version]
+        if not later:
+            return base
+        keys = [self.key, U.CONTENT_KEY]
+        changed = union_batches([self._read(c).withColumn(VERSION, F.lit(c.version)) for c in later])
+        untouched = U.without_keys(base, changed, keys)
+        if self.order_by:
+            stored = U.with_keys(base, changed, keys).withColumn(VERSION, F.lit(-1))
+            changed = stored.unionByName(changed, allowMissingColumns=True)
+            if any(c.kind == DELETE for c in later):
+                changed = self._after_deletion(changed, keys)
+            changed = U.latest_by_id(changed, keys, [*self.order_by, VERSION], total_order=True)
+        elif len(later) > 1:
+            changed = U.latest_by_id(changed, keys, [VERSION], total_order=True)
+        alive = changed.filter(~F.coalesce(V.named(DELETED), F.lit(False))).drop(DELETED, VERSION)
+        return untouched.unionByName(alive, allowMissingColumns=True)
+
+    def _after_deletion(self, rows: DataFrame, keys: list[str]) -> DataFrame:
+        """Rows of a version not before the last deletion of their id."""
+        gone = F.coalesce(V.named(DELETED), F.lit(False))
+        deletions = rows.filter(gone).groupBy(*keys).agg(F.max(VERSION).alias("_gone"))
+        side = deletions.select(*[V.named(k).alias("_k_" + k) for k in keys], "_gone")
+        joined = rows.join(side, U.same_key(rows, side, keys), "left")
+        kept = joined.filter(F.col("_gone").isNull() | (F.col(VERSION) > F.col("_gone")))
+        return kept.select(*[V.named(c) for c in rows.columns])
+
+    def _read(self, commit: Row) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{commit.folder}")
+
+    # -- writing ---------------------------------------------------------------
+
+    def upsert(self, changes: DataFrame, order_by: Sequence[str], batch: str | None = None) -> bool:
+        """Replace or insert whole rows by id; the greatest of an id by ``order_by`` counts.
+
+        False when there was nothing to do.
+        """
+        commits = self.commits()
+        if _done(commits, batch) or changes.isEmpty():
+            return False
+        keys = [self.key, U.CONTENT_KEY]
+        rows = U.latest_by_id(U.with_content_key(changes, self.key), keys, order_by)
+        if commits:
+            self._commit(DELTA, rows.withColumn(DELETED, F.lit(False)), batch, commits)
+        else:
+            self._commit(BASE, rows, batch, commits)
+        return True
+
+    def merge_fields(
+        self, changes: DataFrame, order_by: Sequence[str], present: dict[str, str] | None = None, batch: str | None = None
+    ) -> bool:
+        """Overwrite only carried fields of the changed ids."""
+        commits = self.commits()
+        if _done(commits, batch) or changes.isEmpty():
+            return False
+        stored = self._current()
+        ids = U.known_ids(changes, self.key)
+        touched = U.with_keys(stored, ids, [self.key, U.CONTENT_KEY]).drop(U.CONTENT_KEY)
+        rows = U.with_content_key(U.merge_fields(touched, changes, self.key, order_by, present), self.key)
+        self._commit(DELTA, rows.withColumn(DELETED, F.lit(False)), batch, commits)
+        return True
+
+    def delete(self, ids: DataFrame, batch: str | None = None) -> bool:
+        """Remove the given ids; unknown ids are no error."""
+        commits = self.commits()
+        if not commits or _done(commits, batch) or ids.isEmpty():
+            return False
+        stored = self._read([c for c in commits if c.kind == BASE][-1]).schema
+        gone = U.known_ids(ids, self.key).withColumn(self.key, V.named(self.key).cast(stored[self.key].dataType))
+        self._commit(DELETE, gone.withColumn(DELETED, F.lit(True)), batch, commits)
+        return True
+
+    def replace_all(self, rows: DataFrame, batch: str | None = None) -> bool:
+        """Replace the whole table; an empty delivery leaves it as it is."""
+        commits = self.commits()
+        if _done(commits, batch) or rows.isEmpty():
+            return False
+        self._commit(BASE, U.with_content_key(rows, self.key), batch, commits)
+        return True
+
+    def compact(self) -> None:
+        self._commit(BASE, self._current(), None, self.commits())
+
+
+def _done(commits: list[Row], batch: str | None) -> bool:
+    return batch is not None and any(c.batch == batch for c in commits)
+
+
+def merge_into_catalog(changes: DataFrame, table: str, key: str = "id", order_by: Sequence[str] = ("updated_at",)) -> None:
+    """K1 as MERGE, for catalogs whose tables support it; ids must be given."""
+    source = U.latest_by_id(changes, key, order_by)
+    (
+        source.alias("s")
+        .mergeInto(table, F.expr(f"{table}.{key} = s.{key}"))
+        .whenMatched()
+        .updateAll()
+        .whenNotMatched()
+        .insertAll()
+        .merge()
+    )
