@@ -1,4 +1,8 @@
-"""Cell coercions of the sheet layout, and their typed twins."""
+"""Cell coercions of the sheet layout.
+
+A loosely typed value enters as its text and its kind (``schema_of_variant``),
+taken once per value; the rules below are plain text expressions over the two.
+"""
 
 from __future__ import annotations
 
@@ -16,6 +20,8 @@ DATE_PATTERN = r"^(?!0000)\d{4}-\d{1,2}-\d{1,2}$"
 DATETIME_PATTERN = r"^(?!0000)\d{4}-\d{1,2}-\d{1,2}\s+\d{1,2}:\d{1,2}:\d{1,2}$"
 DATE_FORMAT = "yyyy-M-d"
 DATETIME_FORMAT = "yyyy-M-d H:m:s"
+DATE_FORMULA = "'=DATE('y;M;d)"
+DATETIME_FORMULA = "'=DATE('y;M;d) + 'TIME('H;m;s)"
 # First and last second of the years 1 to 9999, UTC.
 FIRST_EPOCH = -62_135_596_800
 LAST_EPOCH = 253_402_300_799
@@ -28,112 +34,40 @@ def plus_guard(text: Column) -> Column:
 
 # -- numbers ---------------------------------------------------------------
 
-def number_of(text: Column) -> Column:
-    """DOUBLE of a numeric text, else NULL."""
-    plain = F.trim(F.regexp_replace(text, "_", ""))
-    return F.when(text.rlike(NUMBER_PATTERN), plain.try_cast("double"))
+def number_of(text: Column, kind: Column) -> Column:
+    """DOUBLE of a number, a numeric text or a boolean, else NULL."""
+    plain = F.trim(F.translate(text, "_", "")).try_cast("double")
+    flag = F.when(text == "true", 1.0).otherwise(0.0)
+    return F.when(kind == "BOOLEAN", flag).when(text.rlike(NUMBER_PATTERN), plain)
 
 
 def number_text(number: Column, original: Column) -> Column:
     """Whole numbers without a fraction, others as doubles, non-numbers as given."""
-    finite = ~F.isnan(number) & (F.abs(number) < F.lit(float("inf")))
-    whole = finite & (F.rint(number) == number)
+    whole = (F.rint(number) == number) & (F.abs(number) < F.lit(float("inf")))
     integer = F.coalesce(
-        number.try_cast("bigint").cast("string"),
-        number.try_cast("decimal(38,0)").cast("string"),
-        original,
+        number.try_cast("bigint").cast("string"), number.try_cast("decimal(38,0)").cast("string"), original
     )
     return F.when(number.isNull(), original).when(whole, integer).otherwise(number.cast("string"))
 
 
-def variant_number(value: Column) -> Column:
-    """DOUBLE of a VARIANT holding a number, a numeric text or a boolean."""
-    text = V.text_of(value)
-    return F.when(
-        F.schema_of_variant(value) == "BOOLEAN", F.when(text == "true", 1.0).otherwise(0.0)
-    ).otherwise(number_of(text))
-
-
-def numeric_cell(value: Column) -> Column:
-    return number_text(variant_number(value), V.text_of(value))
-
-
 # -- epochs and dates --------------------------------------------------------
 
-def in_range(epoch: Column) -> Column:
-    return epoch.between(FIRST_EPOCH, LAST_EPOCH)
-
-
 def integer_of(text: Column) -> Column:
     """BIGINT of a whole-number text, apostrophes ignored, else NULL."""
-    bare = F.regexp_replace(text, "'", "")
-    plain = F.trim(F.regexp_replace(bare, "_", ""))
-    return F.when(bare.rlike(INTEGER_PATTERN), plain.try_cast("bigint"))
-
-
-def epoch_of(value: Column, dtype: T.DataType) -> Column:
-    """Epoch seconds as BIGINT; NULL when the value is no whole-second number."""
-    if isinstance(dtype, T.VariantType):
-        shape = V.shape_of(value)
-        text = V.text_of(value)
-        return (
-            F.when(shape == "STRING", integer_of(text))
-            .when(shape == "BOOLEAN", F.when(text == "true", 1).otherwise(0))
-            .when(shape == "NUMBER", _floored(V.at(value, "$", "decimal(38,6)"), V.at(value, "$", "double")))
-        )
-    if isinstance(dtype, T.StringType):
-        return integer_of(value)
-    if isinstance(dtype, (T.FloatType, T.DoubleType, T.DecimalType)):
-        return _floored(value.try_cast("decimal(38,6)"), value.cast("double"))
-    return value.cast("bigint")
+    whole = F.translate(text, "'", "").rlike(INTEGER_PATTERN)
+    return F.when(whole, F.trim(F.translate(text, "'_", "")).try_cast("bigint"))
 
 
-def _floored(exact: Column, approximate: Column) -> Column:
-    return F.coalesce(F.floor(exact), F.floor(approximate)).try_cast("bigint")
+def epoch_of(text: Column, kind: Column) -> Column:
+    """Epoch seconds as BIGINT; NULL when the value is no number of seconds."""
+    flag = F.when(text == "true", 1).otherwise(0)
+    floored = F.coalesce(F.floor(text.try_cast("decimal(38,6)")), F.floor(text.try_cast("double"))).try_cast("bigint")
+    return F.when(kind == "STRING", integer_of(text)).when(kind == "BOOLEAN", flag).otherwise(floored)
 
 
 def epoch_timestamp(epoch: Column) -> Column:
-    return F.when(in_range(epoch), F.timestamp_seconds(epoch))
-
-
-def date_formula(moment: Column) -> Column:
-    return F.concat(
-        F.lit("=DATE("), F.year(moment), F.lit(";"), F.month(moment), F.lit(";"), F.dayofmonth(moment), F.lit(")")
-    )
-
-
-def datetime_formula(moment: Column) -> Column:
-    return F.concat(
-        date_formula(moment),
-        F.lit(" + TIME("), F.hour(moment), F.lit(";"), F.minute(moment), F.lit(";"), F.second(moment), F.lit(")"),
-    )
-
-
-def formula(moment: Column, field_type: str) -> Column:
-    return date_formula(moment) if field_type == "date" else datetime_formula(moment)
-
-
-def timestamp_cell(value: Column, dtype: T.DataType) -> Column:
-    """Top-level epoch column: zero and null stay, the rest become a datetime."""
-    text, given = text_and_truth(value, dtype)
-    moment = epoch_timestamp(epoch_of(value, dtype))
-    bare = F.regexp_replace(text, "'", "")
-    return F.when(given, F.coalesce(datetime_formula(moment), bare)).otherwise(text)
-
-
-def timestamp_failed(value: Column, dtype: T.DataType) -> Column:
-    """True where a top-level epoch is given but is no date of years 1-9999."""
-    _, given = text_and_truth(value, dtype)
-    return given & epoch_timestamp(epoch_of(value, dtype)).isNull()
-
-
-def text_and_truth(value: Column, dtype: T.DataType) -> tuple[Column, Column]:
-    if isinstance(dtype, T.VariantType):
-        return V.text_of(value), V.truthy(value)
-    text = value.cast("string")
-    if isinstance(dtype, T.StringType):
-        return text, F.coalesce(text != "", F.lit(False))
-    return text, F.coalesce(value != 0, F.lit(False))
+    """TIMESTAMP of epoch seconds within the years 1-9999, else NULL."""
+    return F.when(epoch.between(FIRST_EPOCH, LAST_EPOCH), F.timestamp_seconds(epoch))
 
 
 def date_text_timestamp(text: Column, field_type: str) -> Column:
@@ -146,44 +80,57 @@ def date_text_timestamp(text: Column, field_type: str) -> Column:
     return F.coalesce(full, date)
 
 
-def moment_of(value: Column, field_type: str) -> Column:
-    """TIMESTAMP of a custom date/datetime VARIANT: epoch number, digits or date text."""
-    text = V.text_of(value)
-    is_text = F.schema_of_variant(value) == "STRING"
-    from_epoch = epoch_timestamp(epoch_of(value, T.VariantType()))
-    return F.when(is_text & ~text.rlike(DIGITS_PATTERN), date_text_timestamp(text, field_type)).otherwise(from_epoch)
+def moment_of(text: Column, kind: Column, field_type: str) -> Column:
+    """TIMESTAMP of a custom date or datetime: epoch number, digits or date text."""
+    written = (kind == "STRING") & ~text.rlike(DIGITS_PATTERN)
+    return F.when(written, date_text_timestamp(text, field_type)).otherwise(epoch_timestamp(epoch_of(text, kind)))
 
 
-def date_cell(value: Column, field_type: str) -> Column:
-    return F.coalesce(formula(moment_of(value, field_type), field_type), V.text_of(value))
+def formula(moment: Column, field_type: str) -> Column:
+    return F.date_format(moment, DATE_FORMULA if field_type == "date" else DATETIME_FORMULA)
 
 
-def date_failed(value: Column, field_type: str) -> Column:
-    """True where an epoch was given that is no date of years 1-9999."""
-    text = V.text_of(value)
-    is_epoch = (V.shape_of(value) == "NUMBER") | text.rlike(DIGITS_PATTERN)
-    return F.coalesce(is_epoch & moment_of(value, field_type).isNull(), F.lit(False))
+def moment_cell(moment: Column, text: Column, field_type: str) -> Column:
+    return F.coalesce(formula(moment, field_type), text)
 
 
-# -- nested and plain base values ---------------------------------------------
+def moment_failed(moment: Column, text: Column, kind: Column) -> Column:
+    """True where an epoch was given that is no date of the years 1-9999."""
+    number = kind.startswith("BIGINT") | kind.startswith("DECIMAL") | kind.startswith("DOUBLE")
+    return F.coalesce(moment.isNull() & (number | text.rlike(DIGITS_PATTERN)), F.lit(False))
 
-def nested_cell(value: Column, dtype: T.DataType, blank_if_empty: bool) -> Column:
-    """Compact JSON of a list or object; '' for an empty one where asked."""
-    if isinstance(dtype, T.VariantType):
-        text = V.text_of(value)
-        blank = text.isin("[]", "{}") & V.shape_of(value).isin("ARRAY", "OBJECT")
-    else:
-        text = F.to_json(value)
-        blank = text.isin("[]", "{}")
-    return F.when(blank, "").otherwise(text) if blank_if_empty else text
 
+def given(text: Column, kind: Column) -> Column:
+    """Neither null, false, zero nor empty."""
+    nothing = text.isin(*V.EMPTY_TEXTS) & (kind != "STRING")
+    return F.coalesce((text != "") & ~nothing, F.lit(False))
+
+
+def top_level_cell(text: Column, kind: Column) -> Column:
+    """Top-level epoch column: zero and null stay, the rest become a datetime."""
+    moment = epoch_timestamp(epoch_of(text, kind))
+    return F.when(given(text, kind), F.coalesce(formula(moment, "datetime"), F.translate(text, "'", ""))).otherwise(text)
+
+
+def top_level_failed(text: Column, kind: Column) -> Column:
+    """True where a top-level epoch is given but is no date of the years 1-9999."""
+    return given(text, kind) & epoch_timestamp(epoch_of(text, kind)).isNull()
+
+
+# -- nested and plain base values ---------------------------------------------
 
 def base_cell(value: Column, dtype: T.DataType, blank_if_empty: bool = False) -> Column:
-    """Text of any top-level value without a rule of its own."""
-    if isinstance(dtype, (T.StructType, T.ArrayType, T.MapType)):
-        return nested_cell(value, dtype, blank_if_empty)
-    if isinstance(dtype, T.VariantType):
-        return plus_guard(nested_cell(value, dtype, blank_if_empty))
-    if isinstance(dtype, T.StringType):
-        return plus_guard(value)
+    """Text of a top-level value without a rule of its own.
+
+    Lists and objects become compact JSON, or '' when empty and so asked.
+    """
+    nested = isinstance(dtype, (T.StructType, T.ArrayType, T.MapType))
+    if nested or isinstance(dtype, T.VariantType):
+        text = F.to_json(value) if nested else V.text_of(value)
+        if not blank_if_empty:
+            return text
+        empty = text.isin("[]", "{}")
+        if not nested:
+            empty = empty & (F.schema_of_variant(value) != "STRING")
+        return F.when(empty, "").otherwise(text)
     return value.cast("string")

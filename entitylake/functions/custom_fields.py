@@ -10,65 +10,84 @@ from entitylake.functions import variants as V
 
 BAD_VALUES_CELL = "ERROR: values is not a list"
 
+FIELD_TYPE = "array<struct<field_id:string,field_name:string,field_type:string,field_values:variant>>"
+READ_TYPE = FIELD_TYPE.replace("field_values", "values")
+STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+# Texts of an id that count as none.
+NO_ID = ("", *V.EMPTY_TEXTS)
+
 
 def custom_fields(value: Column, dtype: T.DataType) -> Column:
-    """``ARRAY<STRUCT<field_id, field_name, field_type, field_values, bad_values>>``.
+    """``ARRAY<STRUCT<field_id, field_name, field_type, field_values>>``.
 
     Accepts a typed list, a VARIANT list or the JSON text of a list; anything
     else is an empty array. Elements that are not objects, or lack a name or
-    an id, are skipped. Order is the document's.
+    an id, are skipped. Order is the document's. ``field_values`` stays VARIANT,
+    to be opened only where a cell asks for it.
     """
-    elements = V.as_list(V.parsed(value, dtype))
-    fields = F.filter(F.transform(elements, _field), _eligible)
-    plain = F.transform(fields, lambda f: f.dropFields("id_given"))
-    return F.coalesce(plain, F.array().cast(_plain_type()))
+    fields = F.filter(_elements(value, dtype), _eligible)
+    return F.coalesce(fields.cast(FIELD_TYPE), F.array().cast(FIELD_TYPE))
 
 
-def _plain_type() -> str:
-    return (
-        "array<struct<field_id:string,field_name:string,field_type:string,"
-        "field_values:array<variant>,bad_values:boolean>>"
+def _eligible(field: Column) -> Column:
+    return F.coalesce((field["field_name"] != "") & ~field["field_id"].isin(*NO_ID), F.lit(False))
+
+
+def _elements(value: Column, dtype: T.DataType) -> Column:
+    if isinstance(dtype, T.StringType):
+        # The typed reader is several times faster than VARIANT paths, but takes
+        # an object for a list of one and gives up on lists with other elements.
+        text = F.trim(value)
+        is_list = text.startswith("[") & text.endswith("]")
+        typed = F.from_json(value, READ_TYPE, STRICT_JSON)
+        return F.when(is_list, F.coalesce(typed, _loose(V.parsed(value, dtype))))
+    if isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, T.StructType):
+        return F.transform(value, lambda f: _typed_element(f, dtype.elementType))
+    return _loose(V.parsed(value, dtype))
+
+
+def _loose(value: Column) -> Column:
+    return F.transform(
+        V.as_list(value),
+        lambda e: F.struct(
+            V.at(e, "$.field_id", "string").alias("field_id"),
+            V.at(e, "$.field_name", "string").alias("field_name"),
+            V.at(e, "$.field_type", "string").alias("field_type"),
+            V.at(e, "$.values").alias("values"),
+        ),
     )
 
 
-def _field(element: Column) -> Column:
-    raw_values = V.at(element, "$.values")
-    values = V.at(element, "$.values", "array<variant>")
-    return F.struct(
-        V.at(element, "$.field_id", "string").alias("field_id"),
-        V.at(element, "$.field_name", "string").alias("field_name"),
-        F.coalesce(V.at(element, "$.field_type", "string"), F.lit("")).alias("field_type"),
-        values.alias("field_values"),
-        (values.isNull() & V.truthy(raw_values)).alias("bad_values"),
-        V.truthy(V.at(element, "$.field_id")).alias("id_given"),
-    )
+def _typed_element(element: Column, dtype: T.StructType) -> Column:
+    kinds = {f.name: f.dataType for f in dtype.fields}
 
+    def get(name: str, as_type: str) -> Column:
+        if name not in kinds:
+            return F.lit(None).cast(as_type).alias(name)
+        got = element[name]
+        return (V.as_variant(got, kinds[name]) if as_type == "variant" else got.cast(as_type)).alias(name)
 
-def _eligible(field: Column) -> Column:
-    return field["id_given"] & F.coalesce(field["field_name"] != "", F.lit(False))
+    return F.struct(
+        get("field_id", "string"), get("field_name", "string"), get("field_type", "string"), get("values", "variant")
+    )
 
 
-def has_values(field: Column) -> Column:
-    return field["bad_values"] | F.coalesce(F.size(field["field_values"]) > 0, F.lit(False))
+def has_values(field_values: Column) -> Column:
+    """A list with elements, or anything else that counts as given."""
+    return F.when(V.at(field_values, "$[0]").isNotNull(), True).otherwise(V.truthy(field_values))
 
 
-def value_of(element: Column) -> Column:
-    """`value` of a values element; NULL unless it is an object carrying the key."""
-    return V.at(element, "$.value")
+def is_list(field_values: Column) -> Column:
+    """A list with elements."""
+    return V.at(field_values, "$[0]").isNotNull()
 
 
-def joined_values(values: Column) -> Column:
+def joined_values(field_values: Column) -> Column:
     """All values as one text in document order; nulls leave no trace."""
-    texts = F.transform(values, lambda v: V.at(v, "$.value", "string"))
+    texts = F.transform(V.as_list(field_values), lambda v: V.at(v, "$.value", "string"))
     return F.coalesce(F.array_join(texts, ", "), F.lit(""))
 
 
-def first_value(values: Column) -> Column:
+def first_value(field_values: Column) -> Column:
     """VARIANT of the first value, NULL when the first element carries none."""
-    return value_of(F.get(values, F.lit(0)))
-
-
-def first_text(values: Column) -> Column:
-    """Text of the first value; '' when there is none, NULL when it is null."""
-    first = first_value(values)
-    return F.when(first.isNull(), "").otherwise(V.text_of(first))
+    return V.at(field_values, "$[0].value")

@@ -42,8 +42,8 @@ def shape_of(value: Column) -> Column:
 def truthy(value: Column) -> Column:
     """Present and neither null, false, zero nor empty."""
     text = text_of(value)
-    nothing = text.isin(*EMPTY_TEXTS) & (F.schema_of_variant(value) != "STRING")
-    return F.coalesce((text != "") & ~nothing, F.lit(False))
+    decided = F.when(text.isin(*EMPTY_TEXTS), F.schema_of_variant(value) == "STRING").otherwise(text != "")
+    return F.coalesce(decided, F.lit(False))
 
 
 def as_variant(value: Column, dtype: T.DataType) -> Column:

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from entitylake.functions import variants as V
+from entitylake.operators.explode import positions
 from entitylake.operators.fields import MAX_COLUMNS
 
 
 def document_keys(df: DataFrame, doc: str = "doc") -> DataFrame:
     """Distinct top-level keys over all documents, one per row."""
-    return df.select(F.explode(F.map_keys(V.as_map(V.named(doc)))).alias("key")).distinct()
+    return positions(df, [], F.map_keys(V.as_map(V.named(doc))), "key").select("key").distinct()
 
 
 def header_union(df: DataFrame, doc: str = "doc", limit: int = MAX_COLUMNS) -> list[str]:

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from entitylake.functions import custom_fields as C
+from entitylake.functions.custom_fields import custom_fields
 from entitylake.functions import variants as V
-from entitylake.specs import CUSTOM_FIELDS, FIRST_VALUE_TYPES
+from entitylake.operators.explode import positions
+from entitylake.specs import CUSTOM_FIELDS
 
 # Widest table we lay out, and largest dictionary we hand to every task.
 # Both are metadata: they grow with the number of field definitions, not rows.
@@ -34,37 +36,38 @@ class CustomColumn:
 def with_fields(df: DataFrame, column: str = CUSTOM_FIELDS) -> DataFrame:
     """Add the normalised field array; rows without the column get an empty one."""
     if column not in df.columns:
-        return df.withColumn(FIELDS, C.custom_fields(F.lit(None).cast("string"), T.StringType()))
-    return df.withColumn(FIELDS, C.custom_fields(V.named(column), df.schema[column].dataType))
+        return df.withColumn(FIELDS, custom_fields(F.lit(None).cast("string"), T.StringType()))
+    return df.withColumn(FIELDS, custom_fields(V.named(column), df.schema[column].dataType))
 
 
-def field_key(field: Column) -> Column:
-    return F.struct(field["field_id"], field["field_name"])
+def field_key(field_id: Column, field_name: Column) -> Column:
+    return F.concat(field_id, F.lit("\u0000"), field_name)
+
+
+def _key_of(field: Column) -> Column:
+    return field_key(field["field_id"], field["field_name"])
 
 
 def last_per_key(df: DataFrame) -> DataFrame:
     """Keep the last field of each (id, name) within a document."""
-    reversed_keys = F.reverse(F.transform(FIELDS, field_key))
-    marked = df.withColumn("_rkeys", reversed_keys)
-    kept = F.filter(
-        F.col(FIELDS),
-        lambda f, i: F.array_position("_rkeys", field_key(f)) == (F.size("_rkeys") - i).cast("bigint"),
-    )
-    return marked.withColumn(FIELDS, kept).drop("_rkeys")
+    marked = df.withColumn("_rkeys", F.reverse(F.transform(FIELDS, _key_of))).withColumn("_n", F.size(FIELDS))
+    kept = F.filter(FIELDS, lambda f, i: F.array_position("_rkeys", _key_of(f)) == (F.col("_n") - i).cast("bigint"))
+    # Most documents repeat no field.
+    plain = F.size(F.array_distinct("_rkeys")) == F.col("_n")
+    return marked.withColumn(FIELDS, F.when(plain, F.col(FIELDS)).otherwise(kept)).drop("_rkeys", "_n")
 
 
 def fields_long(df: DataFrame, keep: list[str], column: str = CUSTOM_FIELDS) -> DataFrame:
     """One row per document and field; later duplicates in a document win."""
     narrow = df.select(*[V.named(c) for c in keep if c != column], V.named(column))
     latest = last_per_key(with_fields(narrow, column))
-    return latest.select(*[V.named(c) for c in keep], F.posexplode(FIELDS).alias("pos", "f")).select(
+    return positions(latest, [V.named(c) for c in keep], F.col(FIELDS), "f").select(
         *[V.named(c) for c in keep],
         "pos",
         F.col("f.field_id").alias("field_id"),
         F.col("f.field_name").alias("field_name"),
-        F.col("f.field_type").alias("own_type"),
+        F.coalesce("f.field_type", F.lit("")).alias("own_type"),
         F.col("f.field_values").alias("field_values"),
-        F.col("f.bad_values").alias("bad_values"),
     )
 
 
@@ -76,10 +79,10 @@ def field_types(df: DataFrame, seen: str = "updated_at", key: str = "id", column
     fixed-width buffers with map-side combine: every document carries the same
     few fields, and a sort of the exploded rows would dominate the job.
     """
-    order = F.coalesce(F.col(seen).cast("decimal(20,0)"), F.lit(-(10**18)).cast("decimal(20,0)"))
-    packed = (order * F.lit(2**64).cast("decimal(20,0)") + F.coalesce(V.named(key), F.lit(0)).cast("decimal(20,0)")).cast(
-        "decimal(38,0)"
-    )
+    far = 10**18
+    order = F.coalesce(F.greatest(F.least(F.col(seen), F.lit(far)), F.lit(-far)), F.lit(-far))
+    ids = F.coalesce(V.named(key), F.lit(0)).cast("decimal(20,0)")
+    packed = (order.cast("decimal(20,0)") * F.lit(Decimal(2**64)) + ids).cast("decimal(38,0)")
     entries = fields_long(df, [key, seen], column)
     last_of_each_type = entries.groupBy("field_id", "field_name", "own_type").agg(F.max(packed).alias("last_seen"))
     return last_of_each_type.groupBy("field_id", "field_name").agg(
@@ -109,9 +112,3 @@ def attach_types(long: DataFrame, types: DataFrame, limit: int = MAX_BROADCAST_T
         types = F.broadcast(small)
     joined = long.join(types, ["field_id", "field_name"], "left")
     return joined.withColumn("field_type", F.coalesce("field_type", F.lit("")))
-
-
-def workbook_value(values: Column, bad_values: Column, field_type: Column) -> Column:
-    """Raw text of a field: the first value for single-value types, else all joined."""
-    text = F.when(field_type.isin(*FIRST_VALUE_TYPES), C.first_text(values)).otherwise(C.joined_values(values))
-    return F.when(bad_values, C.BAD_VALUES_CELL).otherwise(text)

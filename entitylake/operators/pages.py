@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from entitylake.functions import variants as V
+from entitylake.operators.explode import positions
 from entitylake.specs import ENTITIES, canonical_name
 
 PAGE_SIZE = 50  # Fixed value.
@@ -22,7 +23,7 @@ def explode_envelopes(pages: DataFrame, entity: str, envelope: str = "envelope")
     below = spec.envelope if spec else entity
     rows = V.at(V.named(envelope), f"$._embedded.{below}", "array<variant>")
     others = [V.named(c) for c in pages.columns if c != envelope]
-    return pages.select(*others, F.posexplode(rows).alias("pos", "doc"))
+    return positions(pages, others, rows, "doc")
 
 
 def envelope_sizes(pages: DataFrame, entity: str, envelope: str = "envelope") -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from entitylake.functions.custom_fields import has_values
 from entitylake.operators.fields import fields_long
 from entitylake.operators.layouts import base_columns
 from entitylake.operators.progress import entity_names
@@ -28,7 +29,7 @@ def field_profile(df: DataFrame, entity: str) -> DataFrame:
     """(entity, columns, custom_columns, fields): what a workbook of the frame would hold."""
     base = base_columns(df)
     fixed = len(base) + (LINKS in df.columns and LINK_URL not in base)
-    long = fields_long(df, ["id"]).filter(F.col("bad_values") | (F.size("field_values") > 0))
+    long = fields_long(df, ["id"]).filter(has_values(F.col("field_values")))
     distinct = long.groupBy("field_id", "field_name").agg(F.count("*").alias("n"))
     return distinct.agg(F.count("*").alias("custom_columns"), F.coalesce(F.sum("n"), F.lit(0)).alias("fields")).select(
         F.lit(entity).alias("entity"),
