@@ -59,7 +59,7 @@ def last_per_key(df: DataFrame) -> DataFrame:
 
 def fields_long(df: DataFrame, keep: list[str], column: str = CUSTOM_FIELDS) -> DataFrame:
     """One row per document and field; later duplicates in a document win."""
-    narrow = df.select(*[V.named(c) for c in keep if c != column], V.named(column))
+    narrow = df.select(*[V.named(c) for c in [*keep, column] if c in df.columns])
     latest = last_per_key(with_fields(narrow, column))
     return positions(latest, [V.named(c) for c in keep], F.col(FIELDS), "f").select(
         *[V.named(c) for c in keep],
@@ -92,6 +92,8 @@ def field_types(df: DataFrame, seen: str = "updated_at", key: str = "id", column
 
 def custom_columns(df: DataFrame, limit: int = MAX_COLUMNS, **how: str) -> list[CustomColumn]:
     """Discovered custom columns, in (field id, name) order."""
+    if how.get("column", CUSTOM_FIELDS) not in df.columns:
+        return []
     rows = field_types(df, **how).limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"more than {limit} custom columns; export the long form instead")
