@@ -12,6 +12,7 @@ BAD_VALUES_CELL = "ERROR: values is not a list"
 
 FIELD_TYPE = "array<struct<field_id:string,field_name:string,field_type:string,field_values:variant>>"
 READ_TYPE = FIELD_TYPE.replace("field_values", "values")
+HEADER_TYPE = READ_TYPE.replace(",values:variant", "")
 STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 # Texts of an id that count as none.
 NO_ID = ("", *V.EMPTY_TEXTS)
@@ -29,47 +30,53 @@ def custom_fields(value: Column, dtype: T.DataType) -> Column:
     return F.coalesce(fields.cast(FIELD_TYPE), F.array().cast(FIELD_TYPE))
 
 
+def custom_field_headers(value: Column, dtype: T.DataType) -> Column:
+    """``custom_fields`` without the values, whose text is then skipped unread."""
+    fields = F.filter(_elements(value, dtype, HEADER_TYPE), _eligible)
+    return F.coalesce(fields.cast(HEADER_TYPE), F.array().cast(HEADER_TYPE))
+
+
 def _eligible(field: Column) -> Column:
     return F.coalesce((field["field_name"] != "") & ~field["field_id"].isin(*NO_ID), F.lit(False))
 
 
-def _elements(value: Column, dtype: T.DataType) -> Column:
+def _elements(value: Column, dtype: T.DataType, read_type: str = READ_TYPE) -> Column:
     if isinstance(dtype, T.StringType):
         # The typed reader is several times faster than VARIANT paths, but takes
         # an object for a list of one and gives up on lists with other elements.
         text = F.trim(value)
-        is_list = text.startswith("[") & text.endswith("]")
-        typed = F.from_json(value, READ_TYPE, STRICT_JSON)
-        return F.when(is_list, F.coalesce(typed, _loose(V.parsed(value, dtype))))
+        is_list_text = text.startswith("[") & text.endswith("]")
+        typed = F.from_json(value, read_type, STRICT_JSON)
+        loose = _loose(V.parsed(value, dtype), read_type)
+        return F.when(is_list_text, F.coalesce(typed, loose))
     if isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, T.StructType):
-        return F.transform(value, lambda f: _typed_element(f, dtype.elementType))
-    return _loose(V.parsed(value, dtype))
+        return F.transform(value, lambda f: _typed_element(f, dtype.elementType, read_type))
+    return _loose(V.parsed(value, dtype), read_type)
+
+
+def _members(read_type: str) -> list[str]:
+    names = ["field_id", "field_name", "field_type"]
+    return names + ["values"] if read_type == READ_TYPE else names
+
 
+def _loose(value: Column, read_type: str) -> Column:
+    def member(element: Column, name: str) -> Column:
+        return V.at(element, f"$.{name}", "variant" if name == "values" else "string").alias(name)
 
-def _loose(value: Column) -> Column:
-    return F.transform(
-        V.as_list(value),
-        lambda e: F.struct(
-            V.at(e, "$.field_id", "string").alias("field_id"),
-            V.at(e, "$.field_name", "string").alias("field_name"),
-            V.at(e, "$.field_type", "string").alias("field_type"),
-            V.at(e, "$.values").alias("values"),
-        ),
-    )
+    return F.transform(V.as_list(value), lambda e: F.struct(*[member(e, n) for n in _members(read_type)]))
 
 
-def _typed_element(element: Column, dtype: T.StructType) -> Column:
+def _typed_element(element: Column, dtype: T.StructType, read_type: str) -> Column:
     kinds = {f.name: f.dataType for f in dtype.fields}
 
-    def get(name: str, as_type: str) -> Column:
+    def member(name: str) -> Column:
+        as_type = "variant" if name == "values" else "string"
         if name not in kinds:
             return F.lit(None).cast(as_type).alias(name)
         got = element[name]
-        return (V.as_variant(got, kinds[name]) if as_type == "variant" else got.cast(as_type)).alias(name)
+        return (V.as_variant(got, kinds[name]) if as_type == "variant" else got.cast("string")).alias(name)
 
-    return F.struct(
-        get("field_id", "string"), get("field_name", "string"), get("field_type", "string"), get("values", "variant")
-    )
+    return F.struct(*[member(n) for n in _members(read_type)])
 
 
 def has_values(field_values: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from entitylake.functions import variants as V
 
 CHUNK_ROWS = 5_000  # Fixed value: data rows per written range.
-ROWS_PER_SLICE = 1_000_000
+ROWS_PER_SLICE = 100_000
 MAX_SLICES = 4_096
 
 
@@ -21,17 +21,20 @@ def with_row_numbers(df: DataFrame, order_by: str, rows_per_slice: int = ROWS_PE
     partition numbers its rows as before; no input has to be kept.
     """
     key = V.named(order_by)
-    total = df.count()
-    cuts = _cuts(df, order_by, min(MAX_SLICES, total // rows_per_slice + 1))
+    slices = min(MAX_SLICES, df.count() // rows_per_slice + 1)
+    cuts = _cuts(df, order_by, slices)
     sliced = df.withColumn("_slice", _slice_of(key, cuts))
+    within = Window.partitionBy("_slice").orderBy(key)
+    numbered = sliced.withColumn("rn", F.row_number().over(within).cast("bigint") - 1)
+    if not cuts:
+        return numbered.drop("_slice")
     counts = {r["_slice"]: r["count"] for r in sliced.groupBy("_slice").count().collect()}
     starts, running = [], 0
     for number in range(len(cuts) + 1):
         starts.append(running)
         running += counts.get(number, 0)
-    within = Window.partitionBy("_slice").orderBy(key)
     start = F.get(F.array(*[F.lit(s).cast("bigint") for s in starts]), F.col("_slice"))
-    return sliced.withColumn("rn", start + F.row_number().over(within) - 1).drop("_slice")
+    return numbered.withColumn("rn", F.col("rn") + start).drop("_slice")
 
 
 def _cuts(df: DataFrame, order_by: str, slices: int) -> list[int]:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from entitylake.functions.custom_fields import custom_fields
+from entitylake.functions.custom_fields import custom_field_headers, custom_fields
 from entitylake.functions import variants as V
 from entitylake.operators.explode import positions
 from entitylake.specs import CUSTOM_FIELDS
@@ -33,11 +33,12 @@ class CustomColumn:
         return f"custom_{self.field_name}_{self.field_id}"
 
 
-def with_fields(df: DataFrame, column: str = CUSTOM_FIELDS) -> DataFrame:
+def with_fields(df: DataFrame, column: str = CUSTOM_FIELDS, headers_only: bool = False) -> DataFrame:
     """Add the normalised field array; rows without the column get an empty one."""
+    read = custom_field_headers if headers_only else custom_fields
     if column not in df.columns:
-        return df.withColumn(FIELDS, custom_fields(F.lit(None).cast("string"), T.StringType()))
-    return df.withColumn(FIELDS, custom_fields(V.named(column), df.schema[column].dataType))
+        return df.withColumn(FIELDS, read(F.lit(None).cast("string"), T.StringType()))
+    return df.withColumn(FIELDS, read(V.named(column), df.schema[column].dataType))
 
 
 def field_key(field_id: Column, field_name: Column) -> Column:
@@ -57,17 +58,21 @@ def last_per_key(df: DataFrame) -> DataFrame:
     return marked.withColumn(FIELDS, F.when(plain, F.col(FIELDS)).otherwise(kept)).drop("_rkeys", "_n")
 
 
-def fields_long(df: DataFrame, keep: list[str], column: str = CUSTOM_FIELDS) -> DataFrame:
-    """One row per document and field; later duplicates in a document win."""
+def fields_long(df: DataFrame, keep: list[str], column: str = CUSTOM_FIELDS, headers_only: bool = False) -> DataFrame:
+    """One row per document and field; later duplicates in a document win.
+
+    ``headers_only`` leaves out ``field_values``.
+    """
     narrow = df.select(*[V.named(c) for c in [*keep, column] if c in df.columns])
-    latest = last_per_key(with_fields(narrow, column))
+    latest = last_per_key(with_fields(narrow, column, headers_only))
+    values = [] if headers_only else [F.col("f.field_values").alias("field_values")]
     return positions(latest, [V.named(c) for c in keep], F.col(FIELDS), "f").select(
         *[V.named(c) for c in keep],
         "pos",
         F.col("f.field_id").alias("field_id"),
         F.col("f.field_name").alias("field_name"),
         F.coalesce("f.field_type", F.lit("")).alias("own_type"),
-        F.col("f.field_values").alias("field_values"),
+        *values,
     )
 
 
@@ -80,10 +85,11 @@ def field_types(df: DataFrame, seen: str = "updated_at", key: str = "id", column
     few fields, and a sort of the exploded rows would dominate the job.
     """
     far = 10**18
-    order = F.coalesce(F.greatest(F.least(F.col(seen), F.lit(far)), F.lit(-far)), F.lit(-far))
+    bounded = F.greatest(F.least(V.named(seen), F.lit(far)), F.lit(-far))
+    order = F.when(V.named(seen).isNull(), F.lit(-far)).otherwise(bounded)
     ids = F.coalesce(V.named(key), F.lit(0)).cast("decimal(20,0)")
     packed = (order.cast("decimal(20,0)") * F.lit(Decimal(2**64)) + ids).cast("decimal(38,0)")
-    entries = fields_long(df, [key, seen], column)
+    entries = fields_long(df, [key, seen], column, headers_only=True)
     last_of_each_type = entries.groupBy("field_id", "field_name", "own_type").agg(F.max(packed).alias("last_seen"))
     return last_of_each_type.groupBy("field_id", "field_name").agg(
         F.max_by("own_type", F.struct("last_seen", "own_type")).alias("field_type")

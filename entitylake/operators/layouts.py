@@ -219,11 +219,6 @@ def _text_and_kind(value: Column, dtype: T.DataType) -> tuple[Column, Column]:
     return value.cast("string"), F.lit(kind)
 
 
-def sheet_headers(df: DataFrame, columns: list[CustomColumn], around: tuple[str, ...] = ()) -> list[str]:
-    """Sorted union of base keys, `link_url` and custom names."""
-    return list(sheet_plan(df, columns, around)[1])
-
-
 def sheet_table(df: DataFrame, columns: list[CustomColumn], errors: bool = False) -> DataFrame:
     """One text column per header; nothing is NULL."""
     source, by_header, failed = sheet_plan(df, columns)
@@ -231,11 +226,13 @@ def sheet_table(df: DataFrame, columns: list[CustomColumn], errors: bool = False
     return source.select(*selected, *([failed.alias(ERRORS)] if errors else []))
 
 
-def sheet_rows(df: DataFrame, columns: list[CustomColumn], around: tuple[str, ...] = ()) -> DataFrame:
-    """``around`` columns, the cells of a row in header order, and its errors."""
+def sheet_rows(
+    df: DataFrame, columns: list[CustomColumn], around: tuple[str, ...] = ()
+) -> tuple[list[str], DataFrame]:
+    """The headers, and per row the ``around`` columns, its cells in header order and its errors."""
     source, by_header, failed = sheet_plan(df, columns, around)
     row = F.array(*by_header.values()).alias("cells")
-    return source.select(*[V.named(c) for c in around], row, failed.alias(ERRORS))
+    return list(by_header), source.select(*[V.named(c) for c in around], row, failed.alias(ERRORS))
 
 
 def _by_name(columns: list[CustomColumn]) -> dict[str, dict[str, list[str]]]:

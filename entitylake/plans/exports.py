@@ -12,7 +12,7 @@ from entitylake.operators.chunks import with_chunks, with_row_numbers
 from entitylake.operators.delivery import missing_targets, placeholder
 from entitylake.operators.fields import custom_columns
 from entitylake.operators.filters import updated_range
-from entitylake.operators.layouts import sheet_headers, sheet_rows, workbook_table
+from entitylake.operators.layouts import sheet_rows, workbook_table
 from entitylake.specs import ENTITIES
 
 REPORT_SCHEMA = "entity string, status string, rows bigint, error string"
@@ -100,16 +100,22 @@ def export_sheets(
             return "empty", 0
         columns = custom_columns(chosen)
         key = ENTITIES[entity].key if entity in ENTITIES else "id"
-        headers = sheet_headers(chosen, columns)
+        ordered = chosen.withColumn(ORDER, row_order(chosen, key))
+        headers, rows = sheet_rows(ordered, columns, around=(ORDER,))
         _write_rows(spark, "headers array<string>", [(headers,)], f"{out}/{entity}/header", "json")
-        numbered = with_row_numbers(chosen.withColumn(ORDER, row_order(chosen, key)), ORDER).drop(ORDER)
-        rows = sheet_rows(with_chunks(numbered), columns, around=("chunk", "range", "rn"))
-        return "written", _observed_write(rows, f"{out}/{entity}/rows", fmt)
+        placed = with_chunks(with_row_numbers(rows, ORDER)).drop(ORDER)
+        return "written", _observed_write(placed, f"{out}/{entity}/rows", fmt)
 
     return spark.createDataFrame(_per_entity(spark, frames, export), REPORT_SCHEMA)
 
 
 def row_order(df: DataFrame, key: str) -> Column:
-    """Order of a delivered table: the numeric id, else a hash of the row."""
+    """Order of a delivered table: the numeric id, else a hash of the row.
+
+    The hash needs whole rows, so it is left out where every row has an id.
+    """
+    number = V.named(key).cast("string").try_cast("bigint")
+    if df.filter(number.isNull()).isEmpty():
+        return number
     text = F.to_json(F.struct(*[V.named(c) for c in sorted(df.columns)]))
-    return F.coalesce(V.named(key).cast("string").try_cast("bigint"), F.xxhash64(text))
+    return F.coalesce(number, F.xxhash64(text))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from entitylake.operators.partitioning import spread
 from entitylake.session import configure
 
 
@@ -67,7 +68,7 @@ def deal_fields() -> Column:
 
 def deals(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").select(
+    return spread(table(spark, sf_dir, "orders"), "o_orderkey").select(
         key.alias("id"),
         F.col("o_custkey").alias("contact_id"),
         F.col("o_totalprice").alias("price"),
@@ -108,7 +109,7 @@ def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("event_id")
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events"), "event_id").select(
         key.alias("id"),
         F.col("event_type").alias("type"),
         F.col("user_id").alias("created_by"),
