@@ -21,7 +21,7 @@ def with_row_numbers(df: DataFrame, order_by: str, rows_per_slice: int = ROWS_PE
     partition numbers its rows as before; no input has to be kept.
     """
     key = V.named(order_by)
-    slices = min(MAX_SLICES, df.count() // rows_per_slice + 1)
+    slices = _slices(df.count(), df.sparkSession.sparkContext.defaultParallelism, rows_per_slice)
     cuts = _cuts(df, order_by, slices)
     sliced = df.withColumn("_slice", _slice_of(key, cuts))
     within = Window.partitionBy("_slice").orderBy(key)
@@ -37,6 +37,11 @@ def with_row_numbers(df: DataFrame, order_by: str, rows_per_slice: int = ROWS_PE
     return numbered.withColumn("rn", F.col("rn") + start).drop("_slice")
 
 
+def _slices(total: int, cores: int, rows_per_slice: int) -> int:
+    """Enough slices to bound a task, and to busy the cores with small tables."""
+    return min(MAX_SLICES, max(total // rows_per_slice + 1, min(cores, total // CHUNK_ROWS)))
+
+
 def _cuts(df: DataFrame, order_by: str, slices: int) -> list[int]:
     """Distinct inner boundaries of about ``slices`` equal parts."""
     if slices < 2:
@@ -67,7 +72,7 @@ def with_chunks(numbered: DataFrame, sheet: str = "Data", chunk_rows: int = CHUN
 
     The header takes row 1, so chunk ``i`` starts at row ``i * chunk_rows + 2``.
     """
-    chunk = F.floor(F.col("rn") / chunk_rows).cast("bigint")
+    chunk = F.expr(f"rn div {chunk_rows}")
     first_row = (chunk * chunk_rows + 2).cast("string")
     return numbered.withColumn("chunk", chunk).withColumn("range", F.concat(F.lit(f"{sheet}!A"), first_row))
 

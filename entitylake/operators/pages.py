@@ -48,7 +48,7 @@ def page_audit(sizes: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
     knowing the first page of the next, so that no entity is one task.
     """
     span = 10_000
-    ranged = sizes.withColumn("_range", F.floor(F.col("page") / span).cast("bigint"))
+    ranged = sizes.withColumn("_range", F.expr(f"page div {span}"))
     within = Window.partitionBy("entity", "_range").orderBy("page")
     firsts = ranged.groupBy("entity", "_range").agg(F.min("page").alias("_first"))
     over_ranges = Window.partitionBy("entity").orderBy("_range")

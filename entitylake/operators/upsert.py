@@ -58,25 +58,43 @@ def latest_by_id(
     return restored.select(*[V.named(c) for c in df.columns])
 
 
-def same_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    condition = F.lit(True)
-    for k in keys:
-        condition = condition & left[k].eqNullSafe(right["_k_" + k])
-    return condition
+def _joined(base: DataFrame, other: DataFrame, name: str, how: str) -> DataFrame:
+    side = other.select(V.named(name).alias("_k"))
+    return base.join(side, base[name] == side["_k"], how)
 
 
-def _key_side(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.select(*[V.named(k).alias("_k_" + k) for k in keys])
+def given(df: DataFrame, key: str) -> DataFrame:
+    return df.filter(V.named(key).isNotNull())
 
 
-def without_keys(base: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
-    side = _key_side(other, keys)
-    return base.join(side, same_key(base, side, keys), "left_anti")
+def _keyless(df: DataFrame, key: str) -> DataFrame:
+    """Rows without an id; parquet statistics let a scan skip files that have none."""
+    return df.filter(V.named(key).isNull())
 
 
-def with_keys(base: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
-    side = _key_side(other, keys)
-    return base.join(side, same_key(base, side, keys), "left_semi")
+def without_ids(base: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Base rows whose id is not among ``ids``; rows without an id stay.
+
+    Those rows pass by the join: a shuffle would gather their NULLs on one task.
+    """
+    return _joined(given(base, key), given(ids, key), key, "left_anti").unionByName(_keyless(base, key))
+
+
+def with_ids(base: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    return _joined(given(base, key), given(ids, key), key, "left_semi")
+
+
+def without_rows(base: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """Base rows not in ``other`` by id or, where that is missing, by content key."""
+    by_id = _joined(given(base, key), given(other, key), key, "left_anti")
+    by_content = _joined(_keyless(base, key), _keyless(other, key), CONTENT_KEY, "left_anti")
+    return by_id.unionByName(by_content)
+
+
+def with_rows(base: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    by_id = _joined(given(base, key), given(other, key), key, "left_semi")
+    by_content = _joined(_keyless(base, key), _keyless(other, key), CONTENT_KEY, "left_semi")
+    return by_id.unionByName(by_content)
 
 
 def upsert(
@@ -90,11 +108,9 @@ def upsert(
 
     ``order_by`` gives the order of arrival among the changes.
     """
-    keys = [key, CONTENT_KEY]
-    winners = latest_by_id(with_content_key(changes, key), keys, order_by, total_order)
-    stored = with_content_key(base, key)
-    merged = without_keys(stored, winners, keys).unionByName(winners, allowMissingColumns=True)
-    return merged.drop(CONTENT_KEY)
+    winners = latest_by_id(given(changes, key), key, order_by, total_order)
+    merged = without_ids(base, winners, key).unionByName(winners, allowMissingColumns=True)
+    return merged.unionByName(new_keyless(base, changes, key), allowMissingColumns=True)
 
 
 def upsert_newest(
@@ -109,19 +125,25 @@ def upsert_newest(
     For feeds that may deliver out of order. Only stored rows with a changed id
     are grouped.
     """
-    keys = [key, CONTENT_KEY]
-    incoming = latest_by_id(with_content_key(changes, key), keys, order_by, total_order)
-    stored = with_content_key(base, key)
-    contest = with_keys(stored, incoming, keys).unionByName(incoming, allowMissingColumns=True)
-    winners = latest_by_id(contest, keys, order_by, total_order)
-    merged = without_keys(stored, incoming, keys).unionByName(winners, allowMissingColumns=True)
-    return merged.drop(CONTENT_KEY)
+    incoming = latest_by_id(given(changes, key), key, order_by, total_order)
+    contest = with_ids(base, incoming, key).unionByName(incoming, allowMissingColumns=True)
+    winners = latest_by_id(contest, key, order_by, total_order)
+    merged = without_ids(base, incoming, key).unionByName(winners, allowMissingColumns=True)
+    return merged.unionByName(new_keyless(base, changes, key), allowMissingColumns=True)
+
+
+def new_keyless(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """Changes without an id whose content, in the base's columns, is not stored yet."""
+    distinct = with_content_key(_keyless(changes, key), key).dropDuplicates([CONTENT_KEY]).drop(CONTENT_KEY)
+    shared = [c for c in base.columns if c in changes.columns]
+    stored = with_content_key(_keyless(base.select(*[V.named(c) for c in shared]), key), key)
+    text = F.to_json(F.struct(*[V.named(c) for c in sorted(shared)]))
+    fresh = _joined(distinct.withColumn(CONTENT_KEY, F.sha2(text, 256)), stored, CONTENT_KEY, "left_anti")
+    return fresh.drop(CONTENT_KEY)
 
 
 def known_ids(ids: DataFrame, key: str) -> DataFrame:
-    """Distinct given ids, with the (absent) content key of rows that have one."""
-    given = ids.select(V.named(key)).filter(V.named(key).isNotNull()).distinct()
-    return given.withColumn(CONTENT_KEY, F.lit(None).cast("string"))
+    return given(ids.select(V.named(key)), key).distinct()
 
 
 def upsert_outcome(base: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
@@ -133,9 +155,8 @@ def upsert_outcome(base: DataFrame, changes: DataFrame, key: str = "id") -> Data
 
 def _matched(base: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """(key, _hit) per distinct given id."""
-    asked = known_ids(ids, key).drop(CONTENT_KEY)
-    stored = base.select(V.named(key)).filter(V.named(key).isNotNull())
-    hits = with_keys(stored, asked, [key]).distinct().withColumn("_hit", F.lit(True))
+    asked = known_ids(ids, key)
+    hits = with_ids(base.select(V.named(key)), asked, key).distinct().withColumn("_hit", F.lit(True))
     return asked.join(hits, key, "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
 
 
@@ -146,8 +167,7 @@ def replace_all(current: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def delete_by_id(base: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     """Base without the given ids; rows without an id are never deleted."""
-    stored = with_content_key(base, key)
-    return without_keys(stored, known_ids(ids, key), [key, CONTENT_KEY]).drop(CONTENT_KEY)
+    return without_ids(base, known_ids(ids, key), key)
 
 
 def delete_outcome(base: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
@@ -168,26 +188,14 @@ def merge_fields(
     for it in ``present`` is true (then an explicit NULL overwrites). Changes
     without an id are inserted, once.
     """
-    columns = base.columns
-    keys = [key, CONTENT_KEY]
-    stored = with_content_key(base, key)
-    incoming = with_content_key(changes, key)
+    columns = [V.named(c) for c in base.columns]
     ids = known_ids(changes, key)
-    untouched = without_keys(stored, ids, keys)
-    touched = with_keys(stored, ids, keys).withColumn("_turn", F.lit(0))
-    contest = touched.unionByName(
-        incoming.filter(V.named(key).isNotNull()).withColumn("_turn", F.lit(1)), allowMissingColumns=True
-    )
-    merged = _merged(contest, [c for c in columns if c != key], key, order_by, present or {})
-    inserted = incoming.filter(V.named(key).isNull()).dropDuplicates([CONTENT_KEY]).drop(CONTENT_KEY)
-    inserted = with_content_key(inserted.select(*[V.named(c) for c in columns if c in inserted.columns]), key)
-    fresh = without_keys(inserted, stored.filter(V.named(key).isNull()), keys)
-    return (
-        untouched.drop(CONTENT_KEY)
-        .unionByName(merged)
-        .unionByName(fresh.drop(CONTENT_KEY), allowMissingColumns=True)
-        .select(*[V.named(c) for c in columns])
-    )
+    touched = with_ids(base, ids, key).withColumn("_turn", F.lit(0))
+    incoming = given(changes, key).withColumn("_turn", F.lit(1))
+    contest = touched.unionByName(incoming, allowMissingColumns=True)
+    merged = _merged(contest, [c for c in base.columns if c != key], key, order_by, present or {})
+    result = without_ids(base, ids, key).unionByName(merged)
+    return result.unionByName(new_keyless(base, changes, key), allowMissingColumns=True).select(*columns)
 
 
 def _merged(

@@ -93,24 +93,23 @@ class EntityTable:
             return base
         keys = [self.key, U.CONTENT_KEY]
         changed = union_batches([self._read(c).withColumn(VERSION, F.lit(c.version)) for c in later])
-        untouched = U.without_keys(base, changed, keys)
+        untouched = U.without_rows(base, changed, self.key)
         if self.order_by:
-            stored = U.with_keys(base, changed, keys).withColumn(VERSION, F.lit(-1))
+            stored = U.with_rows(base, changed, self.key).withColumn(VERSION, F.lit(-1))
             changed = stored.unionByName(changed, allowMissingColumns=True)
             if any(c.kind == DELETE for c in later):
-                changed = self._after_deletion(changed, keys)
+                changed = self._after_deletion(changed)
             changed = U.latest_by_id(changed, keys, [*self.order_by, VERSION], total_order=True)
         elif len(later) > 1:
             changed = U.latest_by_id(changed, keys, [VERSION], total_order=True)
         alive = changed.filter(~F.coalesce(V.named(DELETED), F.lit(False))).drop(DELETED, VERSION)
         return untouched.unionByName(alive, allowMissingColumns=True)
 
-    def _after_deletion(self, rows: DataFrame, keys: list[str]) -> DataFrame:
-        """Rows of a version not before the last deletion of their id."""
-        gone = F.coalesce(V.named(DELETED), F.lit(False))
-        deletions = rows.filter(gone).groupBy(*keys).agg(F.max(VERSION).alias("_gone"))
-        side = deletions.select(*[V.named(k).alias("_k_" + k) for k in keys], "_gone")
-        joined = rows.join(side, U.same_key(rows, side, keys), "left")
+    def _after_deletion(self, rows: DataFrame) -> DataFrame:
+        """Rows of a version after the last deletion of their id; others are as before."""
+        deletions = rows.filter(V.named(DELETED)).groupBy(V.named(self.key).alias("_k"))
+        deletions = deletions.agg(F.max(VERSION).alias("_gone"))
+        joined = rows.join(deletions, rows[self.key] == deletions["_k"], "left")
         kept = joined.filter(F.col("_gone").isNull() | (F.col(VERSION) > F.col("_gone")))
         return kept.select(*[V.named(c) for c in rows.columns])
 
@@ -142,10 +141,13 @@ class EntityTable:
         commits = self.commits()
         if _done(commits, batch) or changes.isEmpty():
             return False
-        stored = self._current()
-        ids = U.known_ids(changes, self.key)
-        touched = U.with_keys(stored, ids, [self.key, U.CONTENT_KEY]).drop(U.CONTENT_KEY)
-        rows = U.with_content_key(U.merge_fields(touched, changes, self.key, order_by, present), self.key)
+        stored = self.current()
+        touched = U.with_ids(stored, U.known_ids(changes, self.key), self.key)
+        merged = U.merge_fields(touched, U.given(changes, self.key), self.key, order_by, present)
+        inserted = U.new_keyless(stored, changes, self.key)
+        shared = [V.named(c) for c in inserted.columns if c in stored.columns]
+        rows = merged.unionByName(inserted.select(*shared), allowMissingColumns=True)
+        rows = U.with_content_key(rows, self.key)
         self._commit(DELTA, rows.withColumn(DELETED, F.lit(False)), batch, commits)
         return True
 
@@ -156,6 +158,7 @@ class EntityTable:
             return False
         stored = self._read([c for c in commits if c.kind == BASE][-1]).schema
         gone = U.known_ids(ids, self.key).withColumn(self.key, V.named(self.key).cast(stored[self.key].dataType))
+        gone = gone.withColumn(U.CONTENT_KEY, F.lit(None).cast("string"))
         self._commit(DELETE, gone.withColumn(DELETED, F.lit(True)), batch, commits)
         return True
 
