@@ -89,8 +89,8 @@ def field_types(df: DataFrame, seen: str = "updated_at", key: str = "id", column
     order = F.when(V.named(seen).isNull(), F.lit(-far)).otherwise(bounded)
     ids = F.coalesce(V.named(key), F.lit(0)).cast("decimal(20,0)")
     packed = (order.cast("decimal(20,0)") * F.lit(Decimal(2**64)) + ids).cast("decimal(38,0)")
-    entries = fields_long(df, [key, seen], column, headers_only=True)
-    last_of_each_type = entries.groupBy("field_id", "field_name", "own_type").agg(F.max(packed).alias("last_seen"))
+    entries = fields_long(df.select(packed.alias("_seen"), V.named(column)), ["_seen"], column, headers_only=True)
+    last_of_each_type = entries.groupBy("field_id", "field_name", "own_type").agg(F.max("_seen").alias("last_seen"))
     return last_of_each_type.groupBy("field_id", "field_name").agg(
         F.max_by("own_type", F.struct("last_seen", "own_type")).alias("field_type")
     )

@@ -12,7 +12,8 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
     Parsing documents costs far more than moving them once, so a handful of
     large splits should not leave cores idle. Input with splits enough, as any
-    large table has, is left alone: no shuffle is added there.
+    large table has, is left alone: no shuffle is added there. Meant for scans:
+    counting the splits of a plan with shuffles would run them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:

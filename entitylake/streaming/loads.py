@@ -128,6 +128,29 @@ def apply_webhooks(
     )
 
 
+def reload_landed(
+    spark: SparkSession,
+    landing: str,
+    tables: dict[str, EntityTable],
+    checkpoints: str,
+    to_rows: dict[str, Callable[[DataFrame], DataFrame]],
+    **how: object,
+) -> Callable[[str, int], None]:
+    """``reload`` for ``apply_webhooks``: load what has landed for an entity since its last load.
+
+    Pages of an entity land below ``<landing>/<entity>``. The load's own
+    checkpoint remembers the place, so a repeated webhook batch reloads nothing.
+    """
+
+    def reload(entity: str, _: int) -> None:
+        if entity in tables:
+            load_pages(
+                spark, f"{landing}/{entity}", entity, tables[entity], f"{checkpoints}/{entity}", to_rows[entity], **how
+            ).awaitTermination()
+
+    return reload
+
+
 def run_entities(starts: dict[str, Callable[[], StreamingQuery]]) -> list[tuple[str, str, str | None]]:
     """Start one query per entity, wait for all; (entity, status, error) each.
 

@@ -165,6 +165,19 @@ def test_webhooks_store_all_and_reload_touched(spark, feed, tmp_path):
     assert landing.read_webhooks(spark, str(feed)).count() == 5
 
 
+def test_webhook_loads_what_has_landed(spark, feed, tmp_path):
+    table = EntityTable(spark, f"{tmp_path}/deals")
+    land(tmp_path / "landing" / "deals", 1, [{"id": 1, "v": "a"}])
+    (tmp_path / "landing" / "contacts").mkdir()
+    reload = loads.reload_landed(spark, f"{tmp_path}/landing", {"deals": table}, f"{tmp_path}/loads", {"deals": to_rows})
+    for number in range(2):
+        query = loads.apply_webhooks(
+            landing.stream_webhooks(spark, str(feed)), {}, f"{tmp_path}/feed{number}", reload=reload
+        )
+        query.awaitTermination()
+    assert state(table) == [(1, "a")] and len(table.commits()) == 1
+
+
 @pytest.mark.parametrize("apply_deletes, left", [(False, [3, 4]), (True, [4])])
 def test_deletes_are_opt_in(spark, feed, tmp_path, apply_deletes, left):
     contacts = EntityTable(spark, f"{tmp_path}/contacts")
