@@ -162,12 +162,22 @@ class EntityTable:
         self._commit(DELETE, gone.withColumn(DELETED, F.lit(True)), batch, commits)
         return True
 
-    def replace_all(self, rows: DataFrame, batch: str | None = None) -> bool:
-        """Replace the whole table; an empty delivery leaves it as it is."""
+    def replace_all(self, rows: DataFrame, order_by: Sequence[str] = (), batch: str | None = None) -> bool:
+        """Replace the whole table; an empty delivery leaves it as it is.
+
+        Rows sharing an id are merged field by field in ``order_by``; without an
+        order one of them is kept.
+        """
         commits = self.commits()
         if _done(commits, batch) or rows.isEmpty():
             return False
-        self._commit(BASE, U.with_content_key(rows, self.key), batch, commits)
+        if order_by:
+            merged = U.merge_fields(rows.limit(0), rows, self.key, order_by)
+            delivered = U.with_content_key(merged, self.key)
+        else:
+            keys = [self.key, U.CONTENT_KEY]
+            delivered = U.latest_by_id(U.with_content_key(rows, self.key), keys, [])
+        self._commit(BASE, delivered, batch, commits)
         return True
 
     def compact(self) -> None:

@@ -153,3 +153,14 @@ def test_table_merge_and_new_columns(spark, tmp_path):
     wider = spark.createDataFrame([(2, "w", 6, True)], SCHEMA + ", extra boolean")
     table.upsert(wider, ["seq"])
     assert {(r.id, r.extra) for r in table.current().collect()} == {(1, None), (2, True), (3, None)}
+
+
+def test_replacement_merges_rows_of_one_id(spark, tmp_path):
+    rows_in = spark.createDataFrame(
+        [(1, "a", None, 1), (1, None, "b", 2), (None, "k", None, 1)], "id long, a string, b string, seq long"
+    )
+    table = EntityTable(spark, str(tmp_path / "t"))
+    table.replace_all(rows_in, order_by=["seq"])
+    assert rows(table.current()) == [(1, "a", "b", 2), (None, "k", None, 1)]
+    table.replace_all(rows_in)
+    assert [r.id for r in table.current().collect() if r.id] == [1]
