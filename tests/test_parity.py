@@ -6,6 +6,8 @@ import pytest
 
 import __spark_entry__ as driver
 import parity
+from entitylake.plans.oracles import ORACLES
+from entitylake.plans.queries import QUERIES
 
 SF_DIR = os.environ.get("PARITY_SF_DIR", "/root/testdata/sf0.001")
 
@@ -15,14 +17,15 @@ def connection():
     return parity.connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, connection, name):
-    found = parity.difference(driver.queries()[name](spark, SF_DIR), connection, driver.oracle_sql()[name])
+    found = parity.difference(QUERIES[name](spark, SF_DIR), connection, ORACLES[name])
     assert found is None, found
 
 
 def test_every_query_has_sql():
-    assert set(driver.queries()) == set(driver.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(driver.queries()) and set(ORACLES) <= set(driver.oracle_sql())
 
 
 def test_entry_is_wide(spark):

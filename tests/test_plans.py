@@ -3,10 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as driver
 from entitylake.operators import fields, layouts
 from entitylake.operators import upsert as U
 from entitylake.operators.partitioning import spread
+from entitylake.plans.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 # Plan nodes of row-wise Python and of joins over all pairs.
@@ -17,9 +17,9 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_python_rows_and_no_pairs(spark, name):
-    text = plan(driver.queries()[name](spark, SF_DIR))
+    text = plan(QUERIES[name](spark, SF_DIR))
     assert not [node for node in UNWANTED if node in text]
 
 
