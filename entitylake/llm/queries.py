@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entitylake.llm import common, mixing, sharding, token_counts, top_k, url_filters
+from entitylake.llm import common, mixing, packing, sharding, token_counts, token_output, top_k, url_filters
 
 #: Host, path and verdict of each rule.
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -18,6 +18,17 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(common.table(spark, sf_dir, "pages"), rules).withColumnRenamed("id", "page_id")
 
 
+def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = token_output.read_files(token_output.write_files(common.table(spark, sf_dir, "documents")))
+    return documents.select(F.col("id").alias("doc_id"), "start", "n_tokens", packing.ids_crc32("ids").alias("ids_crc32"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pieces(common.table(spark, sf_dir, "documents"))
+    crc = packing.ids_crc32("ids").alias("ids_crc32")
+    return packing.place(pieces.select(F.col("id").alias("doc_id"), "piece", "start", "length", crc, "part", "place"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(common.table(spark, sf_dir, "documents"))
 
@@ -39,6 +50,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filters": op2_url_filters,
+    "op3_token_output": op3_token_output,
+    "op4_packing": op4_packing,
     "op5_token_counts": op5_token_counts,
     "op8_mixing": op8_mixing,
     "op9_top_k": op9_top_k,
