@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entitylake.llm import common, mixing, packing, sharding, simhash, token_counts, token_output, top_k, url_filters
+from entitylake.llm import common, mixing, packing, sharding, simhash, suffix_dedup, token_counts, token_output, top_k, url_filters
 
 #: Host, path and verdict of each rule.
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedup(common.table(spark, sf_dir, "documents"))
+    return found.select("rest.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
     return url_filters.judge(common.table(spark, sf_dir, "pages"), rules).withColumnRenamed("id", "page_id")
@@ -53,6 +58,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_url_filters": op2_url_filters,
     "op3_token_output": op3_token_output,
     "op4_packing": op4_packing,

@@ -2,8 +2,10 @@
 
 A byte-level BPE splits a text by a pattern before any merge, and no match of the pattern crosses a place
 between a character that is no white space and a space after it: such places are safe to cut at. Texts are cut
-there, pieces that were met before are looked up, and only new pieces go through the tokenizers library.
-Special strings have no space inside, so no cut divides one and the library treats them as it does by default.
+there and pieces that were met before are looked up. A new piece is cut once more, at places that no match crosses
+either: between a Latin letter and an ASCII mark or digit, and around a line feed that stands alone. Only parts
+that are still new go through the tokenizers library. Special strings have no space inside, so the first cut
+divides none, and a piece that holds one is not cut again: the library treats them as it does by default.
 """
 
 from __future__ import annotations
@@ -11,12 +13,14 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 
 # White space before a space: there, a cut at every space could divide one match of the pattern.
 RUN = re.compile(r"\s ")
 SAFE = re.compile(r"(?<=\S)(?= )")
+PARTS = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[!-@\[-`{-~\n])|(?<=\S)(?=\n)|(?<=\S\n)(?=\S)")
 
 _encoders: dict[str, PieceEncoder] = {}
 
@@ -73,11 +77,12 @@ def safe_parts(text: str, limit: int) -> Iterator[str]:
 class PieceEncoder:
     """Known pieces are forgotten when they are more than ``max_pieces`` or ``max_chars``; results don't depend on it."""
 
-    def __init__(self, path: str, max_pieces: int = 700_000, max_chars: int = 16_000_000):
+    def __init__(self, path: str, max_pieces: int = 1_500_000, max_chars: int = 40_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.max_pieces, self.max_chars = max_pieces, max_chars
         self._forget()
 
@@ -87,22 +92,49 @@ class PieceEncoder:
         self.ids = np.empty(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 14, np.int64)
 
-    def _learn(self, new: list[str]) -> None:
-        chars = sum(map(len, new))
-        if self.known and (len(self.known) + len(new) > self.max_pieces or self.chars + chars > self.max_chars):
-            self._forget()
-        self.chars += chars
-        whole = [p[2:] if p.startswith("  ") else " " + p for p in new]
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
+    def _append(self, new: list[str], lengths: np.ndarray, ids: np.ndarray) -> None:
         n = len(self.known)
         while n + len(new) + 1 > len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        ends = self.ends[n] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        ends = self.ends[n] + np.cumsum(lengths)
         self.ends[n + 1 : n + 1 + len(new)] = ends
-        while ends[-1] > len(self.ids):
+        while self.ends[n] + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        self.ids[self.ends[n] : ends[-1]] = [i for x in found for i in x]
+        self.ids[self.ends[n] : self.ends[n] + len(ids)] = ids
         self.known.update(zip(new, range(n, n + len(new)), strict=True))
+        self.chars += sum(map(len, new))
+
+    def _parts(self, piece: str) -> list[str]:
+        """The piece in parts, named like pieces are."""
+        if piece.startswith("  ") or any(s in piece for s in self.special):
+            return [piece]
+        first, *rest = PARTS.split(piece)
+        return [first, *["  " + r for r in rest]]
+
+    def _learn(self, new: list[str]) -> None:
+        if self.known and (len(self.known) + 2 * len(new) > self.max_pieces or self.chars > self.max_chars):
+            self._forget()
+        parts = {p: own for p in new if len(own := self._parts(p)) > 1}
+        whole = {p for p in new if p not in parts}.union(*parts.values())
+        whole = [p for p in whole if p not in self.known]
+        texts = [p[2:] if p.startswith("  ") else " " + p for p in whole]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        self._append(whole, lengths, np.fromiter(chain.from_iterable(found), np.uint32, lengths.sum()))
+        if parts := {p: own for p, own in parts.items() if p not in self.known}:
+            flat = list(chain.from_iterable(parts.values()))
+            ids, ends = self._ids(np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat)))
+            counts = np.fromiter(map(len, parts.values()), np.int64, len(parts))
+            lengths = np.diff(ends[np.cumsum(counts) - 1], prepend=0)
+            self._append(list(parts), lengths, ids)
+
+    def _ids(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, one after another, and where each piece's end."""
+        starts = self.ends[index]
+        lengths = self.ends[index + 1] - starts
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)], ends
 
     def _look_up(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The number of every piece, and where each text's pieces end."""
@@ -112,12 +144,15 @@ class PieceEncoder:
             own = pieces(text)
             counts.append(len(own))
             words += own
-        distinct = set(words)
-        if new := [p for p in distinct if p not in self.known]:
-            self._learn(new)
-            if any(p not in self.known for p in distinct):  # forgotten meanwhile
-                self._learn([p for p in distinct if p not in self.known])
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)), np.cumsum(counts, dtype=np.int64)
+        index = list(map(self.known.get, words))
+        if None in index:
+            table = self.known
+            self._learn([w for w in {w for w, i in zip(words, index, strict=True) if i is None}])
+            if table is not self.known:  # forgotten: all of this batch is learned anew
+                self._learn([w for w in set(words) if w not in self.known])
+                index = [None] * len(words)
+            index = [self.known[w] if i is None else i for w, i in zip(words, index, strict=True)]
+        return np.array(index, np.int64), np.cumsum(counts, dtype=np.int64)
 
     def lengths(self, texts: list[str]) -> np.ndarray:
         index, ends = self._look_up(texts)
@@ -125,8 +160,7 @@ class PieceEncoder:
         return np.diff(total[ends], prepend=0)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        index, ends = self._look_up(texts)
-        lengths = self.ends[index + 1] - self.ends[index]
-        total = np.concatenate([[0], np.cumsum(lengths)])
-        flat = self.ids[np.repeat(self.ends[index] - total[:-1], lengths) + np.arange(total[-1])]
-        return np.split(flat, total[ends][:-1])
+        index, piece_ends = self._look_up(texts)
+        flat, ends = self._ids(index)
+        ends = np.concatenate([[0], ends])
+        return np.split(flat, ends[piece_ends][:-1])
