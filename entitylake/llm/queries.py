@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entitylake.llm import common, mixing, packing, sharding, simhash, suffix_dedup, token_counts, token_output, top_k, url_filters
+from entitylake.llm import common, mixing, packing, quality, sharding, simhash, suffix_dedup, token_counts, token_output, top_k, url_filters
 
 #: Host, path and verdict of each rule.
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -38,6 +38,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(common.table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_output": op3_token_output,
     "op4_packing": op4_packing,
     "op5_token_counts": op5_token_counts,
+    "op6_quality_rules": op6_quality_rules,
     "op7_simhash": op7_simhash,
     "op8_mixing": op8_mixing,
     "op9_top_k": op9_top_k,

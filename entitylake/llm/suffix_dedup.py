@@ -25,8 +25,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from entitylake.llm import common, repeats
@@ -268,3 +269,12 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     last = _last_pass(runs, second, depth).groupBy("content").agg(F.min("doc").alias("doc"))
     last = common.stored(last.select("doc", "content", F.lit(False).alias("several")), "repeat-last")
     return _remove(rows, first.unionByName(second).unionByName(last), depth)
+
+
+def _decoded(kept: pd.Series) -> pd.Series:
+    return kept.map(lambda x: x.decode("utf-8", "ignore"))
+
+
+def valid_text(kept: str) -> Column:
+    """The kept bytes as text; what is left of a character that was cut in two goes."""
+    return F.pandas_udf(_decoded, "string")(kept)

@@ -20,7 +20,8 @@ import numpy as np
 # White space before a space: there, a cut at every space could divide one match of the pattern.
 RUN = re.compile(r"\s ")
 SAFE = re.compile(r"(?<=\S)(?= )")
-PARTS = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[!-@\[-`{-~\n])|(?<=\S)(?=\n)|(?<=\S\n)(?=\S)")
+MARKS = "!\"#$%&'()*+,-./0123456789:;<=>?@[\\]^_`{|}~"
+LATIN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xC0, 0x100)))) - {"×", "÷"}
 
 _encoders: dict[str, PieceEncoder] = {}
 
@@ -74,6 +75,14 @@ def safe_parts(text: str, limit: int) -> Iterator[str]:
     yield text[start:]
 
 
+def _word(text: str) -> tuple[str, ...]:
+    """The text, and the ASCII marks and digits after its last Latin letter, if it ends so."""
+    head = text.rstrip(MARKS)
+    if head and len(head) < len(text) and head[-1] in LATIN:
+        return head, "  " + text[len(head) :]
+    return (text,)
+
+
 class PieceEncoder:
     """Known pieces are forgotten when they are more than ``max_pieces`` or ``max_chars``; results don't depend on it."""
 
@@ -104,18 +113,27 @@ class PieceEncoder:
         self.known.update(zip(new, range(n, n + len(new)), strict=True))
         self.chars += sum(map(len, new))
 
-    def _parts(self, piece: str) -> list[str]:
+    def _parts(self, piece: str) -> tuple[str, ...]:
         """The piece in parts, named like pieces are."""
-        if piece.startswith("  ") or any(s in piece for s in self.special):
-            return [piece]
-        first, *rest = PARTS.split(piece)
-        return [first, *["  " + r for r in rest]]
+        if piece.isalpha() or piece.startswith("  ") or any(s in piece for s in self.special):
+            return (piece,)
+        line, feed, rest = piece.partition("\n")
+        if not feed:
+            return _word(piece)
+        if not line or not rest or "\n" in rest or line[-1].isspace() or rest[0].isspace():
+            return (piece,)
+        first, *after = _word(rest)
+        return (*_word(line), "  \n", "  " + first, *after)
 
     def _learn(self, new: list[str]) -> None:
         if self.known and (len(self.known) + 2 * len(new) > self.max_pieces or self.chars > self.max_chars):
             self._forget()
-        parts = {p: own for p in new if len(own := self._parts(p)) > 1}
-        whole = {p for p in new if p not in parts}.union(*parts.values())
+        parts, whole = {}, set()
+        for piece in new:
+            own = self._parts(piece)
+            whole.update(own)
+            if len(own) > 1:
+                parts[piece] = own
         whole = [p for p in whole if p not in self.known]
         texts = [p[2:] if p.startswith("  ") else " " + p for p in whole]
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
