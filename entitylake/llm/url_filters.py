@@ -21,6 +21,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,31 +49,32 @@ def _cuts(keyed: DataFrame, ranges: int, sample_keys: int) -> list[str]:
     return sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
 
 
-def _sweep(batches: Iterator[pd.DataFrame], default: str) -> Iterator[pd.DataFrame]:
+FOUND = "id long, host string, path string, rule string, verdict string"
+KINDS = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string())
+
+
+def _sweep(batches: Iterator[pa.RecordBatch], default: str) -> Iterator[pa.RecordBatch]:
     stack: list[tuple[str, list[tuple[str, str, str]]]] = []
     current = None
     for batch in batches:
-        ids, hosts, paths, rules, verdicts = [], [], [], [], []
-        rows = zip(batch.range, batch.key, batch.kind, batch.path, batch.id, batch.host, batch.verdict, strict=True)
-        for where, key, kind, at_path, row_id, name, verdict in rows:
-            if where != current:
-                stack, current = [], where
-            while stack and not key.startswith(stack[-1][0]):
+        found = []
+        for row in batch.to_pylist():
+            if row["range"] != current:
+                stack, current = [], row["range"]
+            while stack and not row["key"].startswith(stack[-1][0]):
                 stack.pop()
-            if kind == 0:
-                if not stack or stack[-1][0] != key:
-                    stack.append((key, []))
-                stack[-1][1].append((name, at_path, verdict))
+            if row["kind"] == 0:
+                if not stack or stack[-1][0] != row["key"]:
+                    stack.append((row["key"], []))
+                stack[-1][1].append((row["host"], row["path"], row["verdict"]))
                 continue
-            fitting = [r for _, level in stack for r in level if at_path.startswith(r[1])]
+            fitting = [r for _, level in stack for r in level if row["path"].startswith(r[1])]
             best = max(fitting, key=lambda r: (len(r[0] + r[1]), len(r[0]), r[2] == "allow"), default=None)
-            ids.append(row_id)
-            hosts.append(name)
-            paths.append(at_path)
-            rules.append(best and best[0] + best[1])
-            verdicts.append(best[2] if best else default)
-        yield pd.DataFrame(
-            {"id": pd.array(ids, dtype="Int64"), "host": hosts, "path": paths, "rule": rules, "verdict": verdicts}
+            rule, verdict = (best[0] + best[1], best[2]) if best else (None, default)
+            found.append((row["id"], row["host"], row["path"], rule, verdict))
+        columns = zip(*found, strict=True) if found else [()] * len(KINDS)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(columns, KINDS, strict=True)], ["id", "host", "path", "rule", "verdict"]
         )
 
 
@@ -109,6 +111,4 @@ def judge(
     opened = rules.withColumn("range", F.explode(reach)).withColumn("kind", F.lit(0)).select(*columns)
     swept = urls.withColumns({"range": range_of(F.col("at")), "kind": F.lit(1), "verdict": F.lit(None).cast("string")})
     both = opened.unionByName(swept.select(*columns)).repartition(ranges, "range")
-    return both.sortWithinPartitions("range", "key", "kind").mapInPandas(
-        lambda batches: _sweep(batches, default), "id long, host string, path string, rule string, verdict string"
-    )
+    return both.sortWithinPartitions("range", "key", "kind").mapInArrow(lambda batches: _sweep(batches, default), FOUND)
