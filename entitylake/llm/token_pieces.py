@@ -86,7 +86,7 @@ def _word(text: str) -> tuple[str, ...]:
 class PieceEncoder:
     """Known pieces are forgotten when they are more than ``max_pieces`` or ``max_chars``; results don't depend on it."""
 
-    def __init__(self, path: str, max_pieces: int = 1_500_000, max_chars: int = 40_000_000):
+    def __init__(self, path: str, max_pieces: int = 800_000, max_chars: int = 20_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
