@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from entitylake.llm import common, token_pieces
@@ -55,9 +55,8 @@ def pieces(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, met = TaskContext.get().partitionId(), Counter()
         for batch in batches:
-            keys, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
-            at = 0
-            for run in token_pieces.by_bytes(texts, batch_bytes):
+            keys, at = batch.column("id").to_pylist(), 0
+            for run in token_pieces.by_bytes(token_pieces.texts_of(batch.column("text")), batch_bytes):
                 rows = []
                 for key, ids in zip(keys[at : at + len(run)], token_pieces.encoder(path).encode(run), strict=True):
                     data = np.concatenate([ids, end]).astype("<u4").tobytes()
@@ -150,13 +149,3 @@ def sequences(placed: DataFrame) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("offset", "ids")))
     ids = F.aggregate(ordered, F.lit(b""), lambda whole, x: F.concat(whole, x["ids"]))
     return placed.groupBy("sequence_id").agg(ids.alias("ids"))
-
-
-def _crc32(ids: pd.Series) -> pd.Series:
-    from zlib import crc32
-
-    return ids.map(crc32).astype("int64")
-
-
-def ids_crc32(ids: str) -> Column:
-    return F.pandas_udf(_crc32, "long")(ids)

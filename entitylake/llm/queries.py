@@ -25,12 +25,12 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = token_output.read_files(token_output.write_files(common.table(spark, sf_dir, "documents")))
-    return documents.select(F.col("id").alias("doc_id"), "start", "n_tokens", packing.ids_crc32("ids").alias("ids_crc32"))
+    return documents.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pieces(common.table(spark, sf_dir, "documents"))
-    crc = packing.ids_crc32("ids").alias("ids_crc32")
+    crc = F.crc32("ids").alias("ids_crc32")
     return packing.place(pieces.select(F.col("id").alias("doc_id"), "piece", "start", "length", crc, "part", "place"))
 
 

@@ -9,7 +9,7 @@ no rows; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,18 +19,17 @@ from pyspark.sql import functions as F
 from entitylake.llm import common, token_pieces
 
 
-def lengths(texts: list[str], path: str, batch_bytes: int) -> np.ndarray:
-    encode = token_pieces.encoder(path)
-    parts, owner = [], []
-    for row, text in enumerate(texts):
-        for part in token_pieces.safe_parts(text, batch_bytes):
-            parts.append(part)
-            owner.append(row)
-    counts = [encode.lengths(run) for run in token_pieces.by_bytes(parts, batch_bytes)]
-    out = np.zeros(len(texts), np.int64)
-    if counts:
-        np.add.at(out, owner, np.concatenate(counts))
-    return out
+def lengths(texts: Iterable[str], path: str, batch_bytes: int) -> np.ndarray:
+    encode, owner = token_pieces.encoder(path), []
+
+    def parts() -> Iterator[str]:
+        for row, text in enumerate(texts):
+            for part in token_pieces.safe_parts(text, batch_bytes):
+                owner.append(row)
+                yield part
+
+    counts = [encode.lengths(run) for run in token_pieces.by_bytes(parts(), batch_bytes)]
+    return np.bincount(owner, np.concatenate(counts)).astype(np.int64) if counts else np.zeros(0, np.int64)
 
 
 def count_tokens(
@@ -47,7 +46,7 @@ def count_tokens(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = pa.array(lengths(batch.column("text").to_pylist(), path, batch_bytes), pa.int64())
+            n = pa.array(lengths(token_pieces.texts_of(batch.column("text")), path, batch_bytes), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_bytes"), n], ["id", "n_bytes", "n"])
 
     text = common.whole_text(text_column)

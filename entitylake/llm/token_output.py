@@ -53,7 +53,7 @@ def write_files(
         found: list[np.ndarray] = []
         for batch in batches:
             at, own = 0, batch.column("id").to_pylist()
-            for run in token_pieces.by_bytes(batch.column("text").to_pylist(), batch_bytes):
+            for run in token_pieces.by_bytes(token_pieces.texts_of(batch.column("text")), batch_bytes):
                 for ids in token_pieces.encoder(path).encode(run):
                     keys.append(own[at])
                     found.append(np.concatenate([ids, end]))

@@ -16,6 +16,7 @@ from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
 # White space before a space: there, a cut at every space could divide one match of the pattern.
 RUN = re.compile(r"\s ")
@@ -47,6 +48,12 @@ def pieces(text: str) -> list[str]:
     return ["  " + first, *rest] if first else rest
 
 
+def texts_of(column: pa.Array, rows: int = 256) -> Iterator[str]:
+    """The texts of an Arrow column, few at a time as Python strings."""
+    for at in range(0, len(column), rows):
+        yield from column.slice(at, rows).to_pylist()
+
+
 def by_bytes(texts: Iterable[str], limit: int) -> Iterator[list[str]]:
     """Runs of texts of about ``limit`` bytes; a longer text is a run of its own."""
     run: list[str] = []
@@ -83,10 +90,22 @@ def _word(text: str) -> tuple[str, ...]:
     return (text,)
 
 
+class _Numbers(dict):
+    """Numbers pieces as they are asked for; ``new`` has those that were not known."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = number = len(self)
+        self.new.append(piece)
+        return number
+
+
 class PieceEncoder:
-    """Known pieces are forgotten when they are more than ``max_pieces`` or ``max_chars``; results don't depend on it."""
+    """Known pieces are forgotten when they are more than ``max_pieces``; results don't depend on it."""
 
-    def __init__(self, path: str, max_pieces: int = 800_000, max_chars: int = 20_000_000):
+    def __init__(self, path: str, max_pieces: int = 600_000, max_chars: int = 16_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -96,27 +115,17 @@ class PieceEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.chars = 0
+        self.known, self.chars, self.used = _Numbers(), 0, 0
         self.ids = np.empty(1 << 16, np.uint32)
-        self.ends = np.zeros(1 << 14, np.int64)
-
-    def _append(self, new: list[str], lengths: np.ndarray, ids: np.ndarray) -> None:
-        n = len(self.known)
-        while n + len(new) + 1 > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        ends = self.ends[n] + np.cumsum(lengths)
-        self.ends[n + 1 : n + 1 + len(new)] = ends
-        while self.ends[n] + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        self.ids[self.ends[n] : self.ends[n] + len(ids)] = ids
-        self.known.update(zip(new, range(n, n + len(new)), strict=True))
-        self.chars += sum(map(len, new))
+        self.starts, self.sizes = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
     def _parts(self, piece: str) -> tuple[str, ...]:
         """The piece in parts, named like pieces are."""
-        if piece.isalpha() or piece.startswith("  ") or any(s in piece for s in self.special):
+        if piece.isalpha() or piece.startswith("  "):
             return (piece,)
+        for special in self.special:
+            if special in piece:
+                return (piece,)
         line, feed, rest = piece.partition("\n")
         if not feed:
             return _word(piece)
@@ -125,60 +134,65 @@ class PieceEncoder:
         first, *after = _word(rest)
         return (*_word(line), "  \n", "  " + first, *after)
 
-    def _learn(self, new: list[str]) -> None:
-        if self.known and (len(self.known) + 2 * len(new) > self.max_pieces or self.chars > self.max_chars):
-            self._forget()
-        parts, whole = {}, set()
-        for piece in new:
-            own = self._parts(piece)
-            whole.update(own)
-            if len(own) > 1:
-                parts[piece] = own
-        whole = [p for p in whole if p not in self.known]
-        texts = [p[2:] if p.startswith("  ") else " " + p for p in whole]
+    def _append(self, numbers: list[int], sizes: np.ndarray, ids: np.ndarray) -> None:
+        while len(self.known) > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.sizes))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        self.starts[numbers] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[numbers] = sizes
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def _learn(self) -> None:
+        """Ids of the pieces that have a number only."""
+        new = self.known.new
+        self.chars += sum(map(len, new))
+        first = len(self.known) - len(new)
+        parts = list(map(self._parts, new))
+        whole = [i for i, own in enumerate(parts) if len(own) == 1]
+        cut = [i for i, own in enumerate(parts) if len(own) > 1]
+        flat = [self.known[part] for i in cut for part in parts[i]]  # numbers parts that are new, too
+        atoms = [*whole, *range(len(parts), len(new))]
+        texts = [p[2:] if p.startswith("  ") else " " + p for p in (new[i] for i in atoms)]
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        self._append(whole, lengths, np.fromiter(chain.from_iterable(found), np.uint32, lengths.sum()))
-        if parts := {p: own for p, own in parts.items() if p not in self.known}:
-            flat = list(chain.from_iterable(parts.values()))
-            ids, ends = self._ids(np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat)))
-            counts = np.fromiter(map(len, parts.values()), np.int64, len(parts))
-            lengths = np.diff(ends[np.cumsum(counts) - 1], prepend=0)
-            self._append(list(parts), lengths, ids)
-
-    def _ids(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self._append([first + i for i in atoms], sizes, np.fromiter(chain.from_iterable(found), np.uint32, sizes.sum()))
+        if cut:
+            ids, ends = self._ids(np.array(flat, np.int64))
+            counts = np.fromiter((len(parts[i]) for i in cut), np.int64, len(cut))
+            self._append([first + i for i in cut], np.diff(ends[np.cumsum(counts) - 1], prepend=0), ids)
+        self.known.new = []
+
+    def _ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of pieces, one after another, and where each piece's end."""
-        starts = self.ends[index]
-        lengths = self.ends[index + 1] - starts
-        ends = np.cumsum(lengths)
+        sizes = self.sizes[numbers]
+        ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
-        return self.ids[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)], ends
+        return self.ids[np.repeat(self.starts[numbers] - (ends - sizes), sizes) + np.arange(total)], ends
 
     def _look_up(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The number of every piece, and where each text's pieces end."""
+        if len(self.known) > self.max_pieces or self.chars > self.max_chars:
+            self._forget()
         words: list[str] = []
         counts = []
         for text in texts:
             own = pieces(text)
             counts.append(len(own))
             words += own
-        index = list(map(self.known.get, words))
-        if None in index:
-            table = self.known
-            self._learn([w for w in {w for w, i in zip(words, index, strict=True) if i is None}])
-            if table is not self.known:  # forgotten: all of this batch is learned anew
-                self._learn([w for w in set(words) if w not in self.known])
-                index = [None] * len(words)
-            index = [self.known[w] if i is None else i for w, i in zip(words, index, strict=True)]
-        return np.array(index, np.int64), np.cumsum(counts, dtype=np.int64)
+        numbers = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        if self.known.new:
+            self._learn()
+        return numbers, np.cumsum(counts, dtype=np.int64)
 
     def lengths(self, texts: list[str]) -> np.ndarray:
-        index, ends = self._look_up(texts)
-        total = np.concatenate([[0], np.cumsum(self.ends[index + 1] - self.ends[index])])
+        numbers, ends = self._look_up(texts)
+        total = np.concatenate([[0], np.cumsum(self.sizes[numbers])])
         return np.diff(total[ends], prepend=0)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        index, piece_ends = self._look_up(texts)
-        flat, ends = self._ids(index)
+        numbers, piece_ends = self._look_up(texts)
+        flat, ends = self._ids(numbers)
         ends = np.concatenate([[0], ends])
         return np.split(flat, ends[piece_ends][:-1])

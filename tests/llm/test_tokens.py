@@ -5,6 +5,7 @@ from zlib import crc32
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from entitylake.llm import packing, token_counts, token_output, token_pieces, wavelet
@@ -101,7 +102,7 @@ def test_packing(documents, texts, library):
         assert end <= 1024
     whole = {r.sequence_id: bytes(r.ids) for r in packing.sequences(placed).collect()}
     assert whole == {s: b"".join(r.ids for r in sorted(own, key=lambda r: r.offset)) for s, own in bins.items()}
-    assert {r.c for r in placed.select(packing.ids_crc32("ids").alias("c")).collect()} == {crc32(r.ids) for r in rows}
+    assert {r.c for r in placed.select(F.crc32("ids").alias("c")).collect()} == {crc32(r.ids) for r in rows}
     assert packing.place(packing.pieces(documents([]))).collect() == []
 
 
