@@ -24,6 +24,10 @@ SAFE = re.compile(r"(?<=\S)(?= )")
 MARKS = "!\"#$%&'()*+,-./0123456789:;<=>?@[\\]^_`{|}~"
 LATIN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xC0, 0x100)))) - {"×", "÷"}
 
+# Fixed value: how a byte-level vocabulary writes a space.
+SPACE = "\u0120"
+WORDS_AT_ONCE = 500
+
 _encoders: dict[str, PieceEncoder] = {}
 
 
@@ -105,12 +109,15 @@ class _Numbers(dict):
 class PieceEncoder:
     """Known pieces are forgotten when they are more than ``max_pieces``; results don't depend on it."""
 
-    def __init__(self, path: str, max_pieces: int = 600_000, max_chars: int = 16_000_000):
+    def __init__(self, path: str, max_pieces: int = 1_200_000, max_chars: int = 32_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
         self.max_pieces, self.max_chars = max_pieces, max_chars
         self._forget()
 
@@ -154,16 +161,33 @@ class PieceEncoder:
         cut = [i for i, own in enumerate(parts) if len(own) > 1]
         flat = [self.known[part] for i in cut for part in parts[i]]  # numbers parts that are new, too
         atoms = [*whole, *range(len(parts), len(new))]
-        texts = [p[2:] if p.startswith("  ") else " " + p for p in (new[i] for i in atoms)]
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        self._append([first + i for i in atoms], sizes, np.fromiter(chain.from_iterable(found), np.uint32, sizes.sum()))
+        words = [i for i in atoms if new[i].isalpha()]
+        others = [i for i in atoms if not new[i].isalpha()]
+        for own, encode in ((words, self._encode_words), (others, self._encode_each)):
+            if own:
+                self._append([first + i for i in own], *encode([new[i] for i in own]))
         if cut:
             ids, ends = self._ids(np.array(flat, np.int64))
             counts = np.fromiter((len(parts[i]) for i in cut), np.int64, len(cut))
             self._append([first + i for i in cut], np.diff(ends[np.cumsum(counts) - 1], prepend=0), ids)
         self.known.new = []
 
+    def _encode_each(self, own: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [p[2:] if p.startswith("  ") else " " + p for p in own]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return sizes, np.fromiter(chain.from_iterable(found), np.uint32, sizes.sum())
+
+    def _encode_words(self, own: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Many words at once: each begins at its space, so at the one token of it that begins with a space."""
+        runs = [" " + " ".join(own[at : at + WORDS_AT_ONCE]) for at in range(0, len(own), WORDS_AT_ONCE)]
+        found = self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in found])
+        starts = np.flatnonzero(self.spaced[ids])
+        if len(starts) != len(own):  # of a tokenizer that doesn't mark spaces so
+            return self._encode_each(own)
+        return np.diff(starts, append=len(ids)), ids
+
     def _ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of pieces, one after another, and where each piece's end."""
         sizes = self.sizes[numbers]
