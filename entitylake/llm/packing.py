@@ -74,7 +74,16 @@ def pieces(
 
 
 def fullest(counts: dict[int, int], room: int) -> list[int]:
-    """Lengths, repeats included, with the largest sum of at most ``room`` that ``counts`` allows."""
+    """Lengths, repeats included, with the largest sum of at most ``room`` that ``counts`` allows.
+
+    One or two pieces that fill the room are preferred, so that short pieces are left for bins that need them.
+    """
+    if room in counts:
+        return [room]
+    for length in sorted(counts, reverse=True):
+        other = room - length
+        if other in counts and (other != length or counts[length] > 1):
+            return [length, other]
     mask, reach, steps = (1 << (room + 1)) - 1, 1, []
     for length in sorted(counts, reverse=True):
         copies = min(counts[length], room // length) if length else 0
