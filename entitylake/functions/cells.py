@@ -41,13 +41,22 @@ def number_of(text: Column, kind: Column) -> Column:
     return F.when(kind == "BOOLEAN", flag).when(text.rlike(NUMBER_PATTERN), plain)
 
 
+def plain_text(number: Column) -> Column:
+    """Text of a double without an exponent, as far as 38 digits with 20 decimals hold it."""
+    text = number.cast("string")
+    digits = F.regexp_replace(text.try_cast("decimal(38,20)").cast("decimal(38,20)").cast("string"), "0+$", "")
+    plain = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
+    held = F.abs(number).between(1e-12, 1e17)
+    return F.when(text.contains("E") & held, F.coalesce(plain, text)).otherwise(text)
+
+
 def number_text(number: Column, original: Column) -> Column:
     """Whole numbers without a fraction, others as doubles, non-numbers as given."""
     whole = (F.rint(number) == number) & (F.abs(number) < F.lit(float("inf")))
     integer = F.coalesce(
         number.try_cast("bigint").cast("string"), number.try_cast("decimal(38,0)").cast("string"), original
     )
-    return F.when(number.isNull(), original).when(whole, integer).otherwise(number.cast("string"))
+    return F.when(number.isNull(), original).when(whole, integer).otherwise(plain_text(number))
 
 
 # -- epochs and dates --------------------------------------------------------
@@ -133,4 +142,4 @@ def base_cell(value: Column, dtype: T.DataType, blank_if_empty: bool = False) ->
         if not nested:
             empty = empty & (F.schema_of_variant(value) != "STRING")
         return F.when(empty, "").otherwise(text)
-    return value.cast("string")
+    return plain_text(value) if isinstance(dtype, T.FractionalType) and not isinstance(dtype, T.DecimalType) else value.cast("string")

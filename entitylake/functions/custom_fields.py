@@ -46,7 +46,9 @@ def _elements(value: Column, dtype: T.DataType, read_type: str = READ_TYPE) -> C
         # an object for a list of one and gives up on lists with other elements.
         text = F.trim(value)
         is_list_text = text.startswith("[") & text.endswith("]")
-        typed = F.from_json(value, read_type, STRICT_JSON)
+        # As the only element of a list, text that goes on after its own list is malformed.
+        wrapped = F.from_json(F.concat(F.lit('{"v":['), value, F.lit("]}")), f"struct<v:array<{read_type}>>", STRICT_JSON)
+        typed = F.when(F.size(wrapped["v"]) == 1, wrapped["v"][0])
         loose = _loose(V.parsed(value, dtype), read_type)
         return F.when(is_list_text, F.coalesce(typed, loose))
     if isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, T.StructType):

@@ -55,12 +55,27 @@ def as_variant(value: Column, dtype: T.DataType) -> Column:
     return value.cast("variant")
 
 
+def strict_json(text: Column) -> Column:
+    """VARIANT of JSON text; NULL for text that goes on after its value, which the parser alone takes.
+
+    Such text is no JSON as the only element of a list, or else not as the member of an object.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    member = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    alone = at(listed, "$[1]").isNull()
+    return F.when(alone & at(member, "$.v").isNotNull() & (size_of(member) == 1), at(listed, "$[0]"))
+
+
+def size_of(value: Column) -> Column:
+    return F.size(F.map_keys(as_map(value)))
+
+
 def parsed(value: Column, dtype: T.DataType) -> Column:
     """VARIANT of a value that may itself be JSON text; bad JSON gives NULL."""
     if isinstance(dtype, T.StringType):
-        return F.try_parse_json(value)
+        return strict_json(value)
     if isinstance(dtype, T.VariantType):
-        return F.when(F.schema_of_variant(value) == "STRING", F.try_parse_json(text_of(value))).otherwise(value)
+        return F.when(F.schema_of_variant(value) == "STRING", strict_json(text_of(value))).otherwise(value)
     return as_variant(value, dtype)
 
 

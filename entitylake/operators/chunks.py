@@ -2,69 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from entitylake.functions import variants as V
+from entitylake.session import scratch_dir
 
 CHUNK_ROWS = 5_000  # Fixed value: data rows per written range.
 ROWS_PER_SLICE = 100_000
-MAX_SLICES = 4_096
+LOCAL_BITS = 33  # Fixed value: bits of monotonically_increasing_id that number a partition's rows.
 
 
 def with_row_numbers(df: DataFrame, order_by: str, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Add ``rn``: 0, 1, 2 … in ascending order of a unique BIGINT column.
 
-    The order is cut into slices at approximate quantiles. Rows are numbered
-    within their slice, and slices start where the counts before them end, so
-    no task sees more than a slice. Cuts are literals, so a recomputed
-    partition numbers its rows as before; no input has to be kept.
+    Rows are dealt to ranges of the order, sorted there and written to the shared folder with their number in
+    the range; a range starts where the counts of those before it end. The written ranges are read from then on,
+    so a lost executor changes no number. The number of ranges follows the number of rows.
     """
+    spark = df.sparkSession
     key = V.named(order_by)
-    slices = _slices(df.count(), df.sparkSession.sparkContext.defaultParallelism, rows_per_slice)
-    cuts = _cuts(df, order_by, slices)
-    sliced = df.withColumn("_slice", _slice_of(key, cuts))
-    within = Window.partitionBy("_slice").orderBy(key)
-    numbered = sliced.withColumn("rn", F.row_number().over(within).cast("bigint") - 1)
-    if not cuts:
-        return numbered.drop("_slice")
-    counts = {r["_slice"]: r["count"] for r in sliced.groupBy("_slice").count().collect()}
-    starts, running = [], 0
-    for number in range(len(cuts) + 1):
-        starts.append(running)
-        running += counts.get(number, 0)
-    start = F.get(F.array(*[F.lit(s).cast("bigint") for s in starts]), F.col("_slice"))
-    return numbered.withColumn("rn", F.col("rn") + start).drop("_slice")
-
-
-def _slices(total: int, cores: int, rows_per_slice: int) -> int:
-    """Enough slices to bound a task, and to busy the cores with small tables."""
-    return min(MAX_SLICES, max(total // rows_per_slice + 1, min(cores, total // CHUNK_ROWS)))
-
-
-def _cuts(df: DataFrame, order_by: str, slices: int) -> list[int]:
-    """Distinct inner boundaries of about ``slices`` equal parts."""
-    if slices < 2:
-        return []
-    shares = [i / slices for i in range(1, slices)]
-    row = df.agg(F.percentile_approx(V.named(order_by), shares, 10 * slices).alias("c")).first()
-    return sorted(set(row.c or []))
-
-
-def _slice_of(key: Column, cuts: list[int]) -> Column:
-    """Number of cuts at or below the key, by bisection over a literal array."""
-    if not cuts:
-        return F.lit(0)
-    return _bisect(key, cuts, 0, len(cuts))
-
-
-def _bisect(key: Column, cuts: list[int], low: int, high: int) -> Column:
-    if low == high:
-        return F.lit(low)
-    middle = (low + high) // 2
-    return F.when(key < cuts[middle], _bisect(key, cuts, low, middle)).otherwise(
-        _bisect(key, cuts, middle + 1, high)
-    )
+    slices = max(df.select(key).count() // rows_per_slice + 1, spark.sparkContext.defaultParallelism)
+    ordered = df.repartitionByRange(slices, key).sortWithinPartitions(key)
+    placed = ordered.withColumn("_place", F.monotonically_increasing_id())
+    path = scratch_dir(spark, "numbered")
+    placed.write.parquet(path)
+    stored = spark.read.schema(placed.schema).parquet(path)
+    stored = stored.withColumn("_slice", F.shiftright("_place", LOCAL_BITS))
+    counts = stored.groupBy("_slice").agg(F.count("*").alias("n"))  # one row per range
+    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col("_slice").alias("_s"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    numbered = stored.join(starts, F.col("_slice") == F.col("_s"))
+    local = F.col("_place") - F.shiftleft("_slice", LOCAL_BITS)
+    return numbered.withColumn("rn", F.col("_start") + local).select(*[V.named(c) for c in df.columns], "rn")
 
 
 def with_chunks(numbered: DataFrame, sheet: str = "Data", chunk_rows: int = CHUNK_ROWS) -> DataFrame:

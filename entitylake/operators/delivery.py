@@ -31,6 +31,7 @@ def missing_targets(targets: dict[str, str]) -> list[str]:
 
 
 def placeholder(entity: str) -> str:
+    # Fixed value: the text of an entity without rows.
     return f"No {entity} data available"
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from entitylake.functions import variants as V
 from entitylake.operators.explode import positions
-from entitylake.operators.fields import MAX_COLUMNS
 
 
 def document_keys(df: DataFrame, doc: str = "doc") -> DataFrame:
@@ -15,12 +14,14 @@ def document_keys(df: DataFrame, doc: str = "doc") -> DataFrame:
     return positions(df, [], F.map_keys(V.as_map(V.named(doc))), "key").select("key").distinct()
 
 
-def header_union(df: DataFrame, doc: str = "doc", limit: int = MAX_COLUMNS) -> list[str]:
-    """All keys in code-point order."""
-    rows = document_keys(df, doc).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} document keys")
-    return sorted(r.key for r in rows)
+def header_union(df: DataFrame, doc: str = "doc", more: DataFrame | None = None) -> list[str]:
+    """All keys in code-point order, those of ``more`` (key) included.
+
+    Headers are metadata: their number follows the definitions, not the documents.
+    """
+    keys = document_keys(df, doc)
+    keys = keys if more is None else keys.unionByName(more.select("key")).distinct()
+    return sorted(r.key for r in keys.collect())
 
 
 def expand_documents(df: DataFrame, keys: list[str], doc: str = "doc", keep_empty: bool = False) -> DataFrame:

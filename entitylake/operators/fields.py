@@ -14,11 +14,6 @@ from entitylake.functions import variants as V
 from entitylake.operators.explode import positions
 from entitylake.specs import CUSTOM_FIELDS
 
-# Widest table we lay out, and largest dictionary we hand to every task.
-# Both are metadata: they grow with the number of field definitions, not rows.
-MAX_COLUMNS = 10_000
-MAX_BROADCAST_TYPES = 10_000
-
 FIELDS = "_fields"
 
 
@@ -79,15 +74,16 @@ def fields_long(df: DataFrame, keep: list[str], column: str = CUSTOM_FIELDS, hea
 def field_types(df: DataFrame, seen: str = "updated_at", key: str = "id", column: str = CUSTOM_FIELDS) -> DataFrame:
     """Dataset-wide dictionary (field_id, field_name) -> type; last seen wins.
 
-    "Last" is by (``seen``, ``key``), then position. The two BIGINTs are packed
+    "Last" is by (``seen``, ``key``), then position; an id that is no number counts by its hash, and a missing or
+    non-numeric ``seen`` is the earliest. The two BIGINTs are packed
     into one decimal so that the pass over all fields is a hash aggregation of
     fixed-width buffers with map-side combine: every document carries the same
     few fields, and a sort of the exploded rows would dominate the job.
     """
     far = 10**18
-    bounded = F.greatest(F.least(V.named(seen), F.lit(far)), F.lit(-far))
-    order = F.when(V.named(seen).isNull(), F.lit(-far)).otherwise(bounded)
-    ids = F.coalesce(V.named(key), F.lit(0)).cast("decimal(20,0)")
+    moment = _number(df, seen)
+    order = F.when(moment.isNull(), F.lit(-far)).otherwise(F.greatest(F.least(moment, F.lit(far)), F.lit(-far)))
+    ids = F.coalesce(_number(df, key), F.xxhash64(_text(df, key)), F.lit(0)).cast("decimal(20,0)")
     packed = (order.cast("decimal(20,0)") * F.lit(Decimal(2**64)) + ids).cast("decimal(38,0)")
     entries = fields_long(df.select(packed.alias("_seen"), V.named(column)), ["_seen"], column, headers_only=True)
     last_of_each_type = entries.groupBy("field_id", "field_name", "own_type").agg(F.max("_seen").alias("last_seen"))
@@ -96,27 +92,35 @@ def field_types(df: DataFrame, seen: str = "updated_at", key: str = "id", column
     )
 
 
-def custom_columns(df: DataFrame, limit: int = MAX_COLUMNS, **how: str) -> list[CustomColumn]:
-    """Discovered custom columns, in (field id, name) order."""
+def _text(df: DataFrame, name: str) -> Column:
+    """A column of any type as text, NULL where the frame has none."""
+    if name not in df.columns:
+        return F.lit(None).cast("string")
+    dtype = df.schema[name].dataType
+    return V.text_of(V.as_variant(V.named(name), dtype)) if not isinstance(dtype, T.AtomicType) else V.named(name).cast("string")
+
+
+def _number(df: DataFrame, name: str) -> Column:
+    return _text(df, name).try_cast("bigint")
+
+
+def custom_columns(df: DataFrame, **how: str) -> list[CustomColumn]:
+    """Discovered custom columns, in (field id, name) order.
+
+    Their number follows the field definitions, not the documents.
+    """
     if how.get("column", CUSTOM_FIELDS) not in df.columns:
         return []
-    rows = field_types(df, **how).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} custom columns; export the long form instead")
+    rows = field_types(df, **how).collect()
     columns = [CustomColumn(r.field_id, r.field_name, r.field_type) for r in rows]
     return sorted(columns, key=lambda c: (not c.field_id.isdigit(), int(c.field_id) if c.field_id.isdigit() else 0, c))
 
 
-def attach_types(long: DataFrame, types: DataFrame, limit: int = MAX_BROADCAST_TYPES) -> DataFrame:
+def attach_types(long: DataFrame, types: DataFrame) -> DataFrame:
     """Join the dictionary to the long form; unknown fields get ``''``.
 
-    A dictionary of up to ``limit`` entries is broadcast: a shuffle on field
-    names would pile every document's copy of a field onto one task. A larger
-    one is joined by shuffle, where adaptive execution splits hot fields.
+    The dictionary is an aggregate of known size by then: adaptive execution
+    broadcasts it if it is small, and splits hot fields of a shuffle otherwise.
     """
-    rows = types.limit(limit + 1).collect()
-    if len(rows) <= limit:
-        small = long.sparkSession.createDataFrame(rows, "field_id string, field_name string, field_type string")
-        types = F.broadcast(small)
     joined = long.join(types, ["field_id", "field_name"], "left")
     return joined.withColumn("field_type", F.coalesce("field_type", F.lit("")))

@@ -8,7 +8,7 @@ concerns an entity, by (ts, seq).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from entitylake.specs import ENTITIES, canonical
@@ -44,10 +44,11 @@ def export_status(events: DataFrame) -> DataFrame:
     """(entity, running, completed, last_page, last_update), never-seen fixed entities included."""
     seeds = entity_names(events).withColumn("kind", F.lit("seed"))
     state = _last_state(events.unionByName(seeds, allowMissingColumns=True))
-    # One row per entity name from here on, so a single window partition is small.
-    everywhere = Window.partitionBy()
-    for_all = [F.first(F.when(F.col("entity").isNull(), F.col(c)), ignorenulls=True).over(everywhere) for c in "pr"]
-    own = state.withColumns({"all_p": for_all[0], "all_r": for_all[1]}).filter(F.col("entity").isNotNull())
+    # Events for all entities are one row by now, which every entity's row meets.
+    nobody = F.col("entity").isNull()
+    for_all = state.filter(nobody).select(nobody.alias("_all"), F.col("p").alias("all_p"), F.col("r").alias("all_r"))
+    own = state.filter(~nobody).withColumn("_all", ~nobody)
+    own = own.join(F.broadcast(for_all), "_all", "left")
     p = F.when(_at("all_p", "_paged") > _at("p", "_paged"), F.col("all_p")).otherwise(F.col("p"))
     r = F.when(_at("all_r", "_run") > _at("r", "_run"), F.col("all_r")).otherwise(F.col("r"))
     return own.select("entity", p.alias("p"), r.alias("r")).select(

@@ -106,11 +106,19 @@ def upsert(
 ) -> DataFrame:
     """Whole-row replace by id: changes win over the base, the last change over earlier ones.
 
-    ``order_by`` gives the order of arrival among the changes.
+    ``order_by`` gives the order of arrival among the changes. A change without an id takes the place of a stored
+    row with its content in the columns that both have. Every side is read once: the join is by id and content,
+    null-safe, so that rows without an id spread by their content.
     """
-    winners = latest_by_id(given(changes, key), key, order_by, total_order)
-    merged = without_ids(base, winners, key).unionByName(winners, allowMissingColumns=True)
-    return merged.unionByName(new_keyless(base, changes, key), allowMissingColumns=True)
+    winners = latest_by_id(with_content_key(changes, key), [key, CONTENT_KEY], order_by, total_order).drop(CONTENT_KEY)
+    shared = [c for c in base.columns if c in changes.columns]
+    text = F.to_json(F.struct(*[V.named(c) for c in sorted(shared)]))
+    content = F.when(V.named(key).isNull(), F.sha2(text, 256))
+    incoming = winners.select(V.named(key).alias("_k"), content.alias("_c"))
+    stored = base.withColumn(CONTENT_KEY, content)
+    same = V.named(key).eqNullSafe(F.col("_k")) & F.col(CONTENT_KEY).eqNullSafe(F.col("_c"))
+    kept = stored.join(incoming, same, "left_anti").drop(CONTENT_KEY)
+    return kept.unionByName(winners, allowMissingColumns=True)
 
 
 def upsert_newest(
@@ -186,13 +194,15 @@ def merge_fields(
 
     A field is carried when it is not NULL, or when the boolean column named
     for it in ``present`` is true (then an explicit NULL overwrites). Changes
-    without an id are inserted, once.
+    without an id are inserted, once. Changes that agree in ``order_by`` go by
+    a hash of the row, whatever the order they are read in.
     """
     columns = [V.named(c) for c in base.columns]
     ids = known_ids(changes, key)
     touched = with_ids(base, ids, key).withColumn("_turn", F.lit(0))
     incoming = given(changes, key).withColumn("_turn", F.lit(1))
     contest = touched.unionByName(incoming, allowMissingColumns=True)
+    contest = contest.withColumn("_tie", F.xxhash64(*[_orderable(contest, c) for c in sorted(contest.columns)]))
     merged = _merged(contest, [c for c in base.columns if c != key], key, order_by, present or {})
     result = without_ids(base, ids, key).unionByName(merged)
     return result.unionByName(new_keyless(base, changes, key), allowMissingColumns=True).select(*columns)
@@ -202,7 +212,7 @@ def _merged(
     contest: DataFrame, fields: list[str], key: str, order_by: Sequence[str], present: dict[str, str]
 ) -> DataFrame:
     turn = F.col("_turn")
-    order = F.struct(turn, *[V.named(c) for c in order_by])
+    order = F.struct(turn, *[V.named(c) for c in order_by], F.col("_tie"))
     last = []
     for name in fields:
         carried = V.named(name).isNotNull()

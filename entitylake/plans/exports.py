@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from entitylake.functions import variants as V
 from entitylake.operators.chunks import with_chunks, with_row_numbers
-from entitylake.operators.delivery import missing_targets, placeholder
+from entitylake.operators.delivery import placeholder
 from entitylake.operators.fields import custom_columns
 from entitylake.operators.filters import updated_range
 from entitylake.operators.layouts import sheet_rows, workbook_table
-from entitylake.specs import ENTITIES
+from entitylake.specs import ENTITIES, canonical_name
 
 REPORT_SCHEMA = "entity string, status string, rows bigint, error string"
 ORDER = "_order"
+# The lines of a summary without entities.
 SUMMARY = ("No data available to export", "Please export data first")
 
 
@@ -37,7 +38,7 @@ def _per_entity(
             status, rows = export(entity, df)
             report.append((entity, status, rows, None))
         except Exception as error:
-            report.append((entity, "failed", 0, str(error)[:1000]))
+            report.append((entity, "failed", 0, str(error)))
     return report
 
 
@@ -88,12 +89,12 @@ def export_sheets(
 ) -> DataFrame:
     """Header and numbered, chunked cell rows per entity below ``out``; returns the report.
 
-    Empty entities are skipped; an entity without a target fails alone.
+    Aliases go by their entity's name. Empty entities are skipped; an entity without a target fails alone.
     """
-    without = set(missing_targets(targets))
+    given = {canonical_name(name) for name, target in targets.items() if target}
 
     def export(entity: str, df: DataFrame) -> tuple[str, int]:
-        if entity in without:
+        if entity not in given:
             raise LookupError(f"no delivery target for {entity}")
         chosen = updated_range(df, date_from, date_to)
         if chosen.isEmpty():
@@ -106,7 +107,8 @@ def export_sheets(
         placed = with_chunks(with_row_numbers(rows, ORDER)).drop(ORDER)
         return "written", _observed_write(placed, f"{out}/{entity}/rows", fmt)
 
-    return spark.createDataFrame(_per_entity(spark, frames, export), REPORT_SCHEMA)
+    named = {canonical_name(name): df for name, df in frames.items()}
+    return spark.createDataFrame(_per_entity(spark, named, export), REPORT_SCHEMA)
 
 
 def row_order(df: DataFrame, key: str) -> Column:

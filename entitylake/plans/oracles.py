@@ -163,15 +163,19 @@ SELECT o_orderkey AS id, o_custkey AS contact_id, o_totalprice AS price, {_secon
        CASE WHEN o_orderkey % 9 = 0 THEN 'override' END AS "custom_price_16"
 FROM orders"""
 ORACLES["wide_typed"] = f"""
-SELECT o_orderkey AS id, round(o_totalprice, 2) AS "custom_Total_13",
-       strftime(o_orderdate, '%Y-%m-%d') AS "custom_Ordered_14",
-       o_orderstatus AS "custom_Status_10", {_TAGS} AS "custom_Tags_12" FROM orders"""
+SELECT * REPLACE (round(CAST("custom_Total_13" AS DOUBLE), 2) AS "custom_Total_13",
+                  strftime(to_timestamp(CAST("custom_Ordered_14" AS BIGINT)) AT TIME ZONE 'UTC', '%Y-%m-%d') AS "custom_Ordered_14")
+FROM ({ORACLES["wide_by_field_id"]})"""
 ORACLES["wide_by_name"] = f"""
 SELECT CAST(o_orderkey AS VARCHAR) AS id,
        CASE WHEN o_orderkey % 6 = 0 THEN '' WHEN o_orderkey % 3 = 0 THEN lower(o_orderstatus)
             ELSE o_orderstatus END AS "Status",
        {_GUARDED_PRIORITY} AS "Priority", {_TAGS} AS "Tags", {_PRICE_TEXT} AS "Total", {_ORDERED_CELL} AS "Ordered",
-       CASE WHEN o_orderkey % 9 = 0 THEN 'override' ELSE CAST(o_totalprice AS VARCHAR) END AS price
+       CASE WHEN o_orderkey % 9 = 0 THEN 'override' ELSE CAST(o_totalprice AS VARCHAR) END AS price,
+       CAST(o_custkey AS VARCHAR) AS contact_id, 'https://crm.example/deals/' || o_orderkey AS link_url,
+       {_formula("o_orderdate", True)} AS updated_at,
+       CASE WHEN o_orderstatus = 'F' THEN {_formula("o_orderdate", True)} ELSE '0' END AS closed_at,
+       CASE WHEN o_orderstatus = 'P' THEN '' ELSE {_DEAL_TAGS} END AS tags
 FROM orders"""
 ORACLES["sheet_rows"] = f"""
 SELECT c_mktsegment AS "Segment", CAST(c_custkey AS VARCHAR) AS id,
@@ -180,21 +184,26 @@ SELECT c_mktsegment AS "Segment", CAST(c_custkey AS VARCHAR) AS id,
        CASE WHEN c_custkey = 0 THEN '0' ELSE {_formula("to_timestamp(c_custkey * 3600) AT TIME ZONE 'UTC'", True)} END AS updated_at
 FROM customer"""
 ORACLES["header_union"] = """
-SELECT string_agg(key, ',' ORDER BY key COLLATE "C") AS headers FROM (
+SELECT row_number() OVER (ORDER BY key COLLATE "C") - 1 AS pos, key AS header FROM (
   SELECT unnest(['id', 'contact_id', 'price', 'updated_at', 'closed_at', 'tags', '_links']) AS key
   WHERE EXISTS (SELECT 1 FROM orders)
   UNION SELECT unnest(['id', 'name', 'phone', 'updated_at', '_links']) WHERE EXISTS (SELECT 1 FROM customer)
-  UNION SELECT unnest(['id', 'name', 'balance', 'updated_at', '_links']) WHERE EXISTS (SELECT 1 FROM supplier))"""
+  UNION SELECT unnest(['id', 'name', 'balance', 'updated_at', '_links']) WHERE EXISTS (SELECT 1 FROM supplier)
+  UNION SELECT unnest(['id', 'type', 'created_by', 'created_at', 'updated_at', 'props']) WHERE EXISTS (SELECT 1 FROM events)
+  UNION SELECT unnest(['Status', 'Priority', 'Tags', 'Total', 'Ordered']) WHERE EXISTS (SELECT 1 FROM orders)
+  UNION SELECT 'Segment' WHERE EXISTS (SELECT 1 FROM customer))"""
 
 # -- cells ---------------------------------------------------------------------------
 
 ORACLES["numeric_cells"] = """
-SELECT c_custkey AS id, CASE c_custkey % 6
+SELECT c_custkey AS id, CASE c_custkey % 8
   WHEN 0 THEN regexp_replace(CAST(c_acctbal AS VARCHAR), '\\.0$', '')
   WHEN 1 THEN CAST(CAST(floor(c_acctbal) AS BIGINT) AS VARCHAR)
   WHEN 2 THEN CAST(CAST(floor(c_acctbal) AS BIGINT) AS VARCHAR)
   WHEN 3 THEN 'abc' || CAST(floor(c_acctbal) AS BIGINT)
-  WHEN 4 THEN CAST(CAST(floor(c_acctbal) AS BIGINT) * 100 AS VARCHAR) END AS cell
+  WHEN 4 THEN CAST(CAST(floor(c_acctbal) AS BIGINT) * 100 AS VARCHAR)
+  WHEN 6 THEN (c_custkey + 10000000) || '.25'
+  WHEN 7 THEN '0.000' || (c_custkey % 9 + 1) || '5' END AS cell
 FROM customer"""
 
 _DAY = "year(ts) || '-' || month(ts) || '-' || day(ts)"
@@ -249,7 +258,7 @@ SELECT entity, 'No ' || entity || ' data available' AS "Info" FROM (
 ORACLES["target_lookup"] = """
 SELECT 'deals' AS entity, o_orderkey AS id, 'sheet-deals' AS target FROM orders
 UNION ALL SELECT 'contacts', c_custkey, 'sheet-contacts' FROM customer
-UNION ALL SELECT 'companies', s_suppkey, 'sheet-companies' FROM supplier WHERE s_acctbal > 1e9
+UNION ALL SELECT 'companies', s_suppkey, 'sheet-companies' FROM supplier
 UNION ALL SELECT 'events', event_id, NULL FROM events"""
 
 ORACLES["export_report"] = """
@@ -281,7 +290,7 @@ SELECT event_id, {_seconds('ts')} AS at, event_type AS component FROM events WHE
 ORACLES["entity_stats"] = """
 SELECT 'deals' AS entity, count(*) AS n FROM orders
 UNION ALL SELECT 'contacts', count(*) FROM customer
-UNION ALL SELECT 'companies', count(*) FROM supplier WHERE s_acctbal > 1e9
+UNION ALL SELECT 'companies', count(*) FROM supplier
 UNION ALL SELECT 'events', count(*) FROM events
 UNION ALL SELECT 'logs', count(*) FROM events"""
 
@@ -294,7 +303,7 @@ _ROUTE = """CASE event_type WHEN 'click' THEN 'deals' WHEN 'view' THEN 'contacts
 _PROGRESS = f"""
 SELECT {_ROUTE.format(purchase="'deals'", other="'unknown'")} AS entity,
        CASE WHEN value > 400 THEN 'reset' WHEN user_id % 3 = 0 THEN 'progress'
-            WHEN user_id % 3 = 1 THEN 'started' ELSE 'stopped' END AS kind,
+            WHEN user_id % 3 = 1 OR event_type <> 'view' THEN 'started' ELSE 'stopped' END AS kind,
        event_id // 50 + 1 AS page, event_id % 50 = 49 AS completed, ts, event_id FROM events"""
 _STATUS = f"""
 WITH progress AS ({_PROGRESS}),
@@ -324,3 +333,25 @@ ORACLES["webhook_stream"] = ORACLES["latest_by_id"]
 ORACLES["page_load"] = """
 SELECT o_orderkey AS id, o_orderstatus AS status, 'https://crm.example/deals/' || o_orderkey AS link_url,
        o_orderkey // 50 + 1 AS page FROM orders"""
+ORACLES["page_load_range"] = f"""
+SELECT o_orderkey AS id, {_seconds('o_orderdate')} AS updated_at FROM orders
+WHERE {_seconds('o_orderdate')} BETWEEN epoch(TIMESTAMP '1994-01-01') AND epoch(TIMESTAMP '1995-12-31')"""
+ORACLES["stored_export"] = f"""
+SELECT CAST(id AS VARCHAR) AS id, regexp_replace(CAST(price AS VARCHAR), '\\.0$', '') AS price,
+       CASE WHEN id % 7 <> 0 THEN CAST(updated_at AS VARCHAR) END AS updated_at, link_url,
+       "custom_Status_10", "custom_Priority_11", "custom_Tags_12", "custom_Total_13", "custom_Ordered_14",
+       "custom_Status_15", "custom_price_16" FROM ({ORACLES["wide_by_field_id"]})"""
+_KINDS = ", ".join(f"'{verb}_{noun}'" for verb in ("add", "delete", "update") for noun in ("company", "contact", "event", "lead"))
+ORACLES["webhook_reload"] = f"""
+WITH kinds AS (SELECT event_id, ([{_KINDS}, 'unknown_lead'])[event_id % 13 + 1] AS event_type FROM events),
+routed AS (SELECT *, CASE split_part(event_type, '_', 2) WHEN 'lead' THEN 'deals' WHEN 'contact' THEN 'contacts'
+  WHEN 'company' THEN 'companies' ELSE 'events' END AS entity FROM kinds WHERE event_type <> 'unknown_lead')
+SELECT entity, event_type, count(*) AS n FROM routed GROUP BY ALL
+UNION ALL SELECT NULL, 'unknown_lead', count(*) FROM kinds WHERE event_type = 'unknown_lead' HAVING count(*) > 0
+UNION ALL SELECT 'deals', 'row', o_orderkey FROM orders
+WHERE o_orderkey NOT IN (SELECT event_id FROM routed WHERE event_type = 'delete_lead')"""
+ORACLES["load_traces"] = """
+WITH sizes AS (SELECT o_orderkey // 50 + 1 AS page, count(*) AS n FROM orders GROUP BY ALL)
+SELECT 'deals' AS entity, max(page) AS page, arg_max(n < 50, page) AS completed, NULL::VARCHAR AS message FROM sizes
+UNION ALL SELECT unnest(['contacts', 'companies', 'events']), 0, false, NULL
+UNION ALL SELECT 'load', NULL, NULL, 'Loaded ' || n || ' deals of page ' || page FROM sizes"""

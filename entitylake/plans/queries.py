@@ -17,8 +17,8 @@ from entitylake.plans import exports
 from entitylake.plans import standins as S
 from entitylake.plans.standins import table
 from entitylake.session import scratch_dir
+from entitylake.sources.history import History
 from entitylake.sources.landing import stream_webhooks
-from entitylake.sources.tables import EntityTable
 from entitylake.streaming import loads
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -262,20 +262,14 @@ def wide_by_field_id(spark, sf_dir):
 def wide_typed(spark, sf_dir):
     deals = S.deals(spark, sf_dir)
     wide = layouts.workbook_table(deals, fields.custom_columns(deals), typed=True)
-    return wide.select(
-        "id",
-        F.round("custom_Total_13", 2).alias("custom_Total_13"),
-        F.col("custom_Ordered_14").cast("string").alias("custom_Ordered_14"),
-        "custom_Status_10",
-        "custom_Tags_12",
-    )
+    typed = {"custom_Total_13": F.round("custom_Total_13", 2), "custom_Ordered_14": F.col("custom_Ordered_14").cast("string")}
+    return wide.withColumns(typed)
 
 
 @query
 def wide_by_name(spark, sf_dir):
     deals = S.deals(spark, sf_dir)
-    wide = layouts.sheet_table(deals, fields.custom_columns(deals))
-    return wide.select("id", "Status", "Priority", "Tags", "Total", "Ordered", "price")
+    return layouts.sheet_table(deals, fields.custom_columns(deals))
 
 
 @query
@@ -286,13 +280,14 @@ def sheet_rows(spark, sf_dir):
 
 @query
 def header_union(spark, sf_dir):
-    deals, contacts = S.deals(spark, sf_dir), S.contacts(spark, sf_dir)
+    frames = [S.deals(spark, sf_dir), S.contacts(spark, sf_dir), S.companies(spark, sf_dir), S.events(spark, sf_dir)]
     docs = [
         df.select(F.to_variant_object(F.struct(*[F.col(c) for c in df.columns if c != "custom_fields_values"])).alias("doc"))
-        for df in (deals, contacts, S.companies(spark, sf_dir))
+        for df in frames
     ]
-    keys = documents.document_keys(pages.union_batches(docs))
-    return keys.agg(F.array_join(F.array_sort(F.collect_set("key")), ",").alias("headers"))
+    custom = [fields.fields_long(df, ["id"], headers_only=True).select(F.col("field_name").alias("key")) for df in frames[:2]]
+    headers = documents.header_union(pages.union_batches(docs), more=pages.union_batches(custom))
+    return spark.createDataFrame(list(enumerate(headers)), "pos bigint, header string")
 
 
 # -- cells ---------------------------------------------------------------------------
@@ -319,13 +314,15 @@ def numeric_cells(spark, sf_dir):
     balance, key = F.col("c_acctbal"), F.col("c_custkey")
     whole = F.floor(balance).cast("string")
     value = planted(
-        key % 6,
+        key % 8,
         quoted(balance.cast("string")),
         quoted(F.concat(whole, F.lit(".0"))),
         quoted(F.concat(F.lit(" "), whole, F.lit(" "))),
         quoted(F.concat(F.lit("abc"), whole)),
         F.concat(whole, F.lit("e2")),
         F.lit("null"),
+        F.concat(key + 10_000_000, F.lit(".25")),  # from 10^7 on, doubles print with an exponent
+        F.concat(F.lit("0.000"), key % 9 + 1, F.lit("5")),
     )
     probed = probe(table(spark, sf_dir, "customer").select(key.alias("id"), value.alias("v")))
     numbered = probed.withColumn("n", cells.number_of(F.col("text"), F.col("kind")))
@@ -412,14 +409,20 @@ def delivered(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {
         "leads": S.deals(spark, sf_dir),
         "contacts": S.contacts(spark, sf_dir),
-        "companies": S.companies(spark, sf_dir).filter(F.col("balance") > 1e9),
+        "companies": S.companies(spark, sf_dir),
         "events": S.events(spark, sf_dir),
     }
 
 
+def without_companies(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The same with an entity that has no rows, which is what placeholders and reports are about."""
+    frames = delivered(spark, sf_dir)
+    return {**frames, "companies": frames["companies"].filter(F.col("balance") > 1e9)}
+
+
 @query
 def empty_placeholder(spark, sf_dir):
-    return delivery.empty_placeholders(delivered(spark, sf_dir))
+    return delivery.empty_placeholders(without_companies(spark, sf_dir))
 
 
 TARGETS = {"leads": "sheet-deals", "contacts": "sheet-contacts", "companies": "sheet-companies"}
@@ -433,13 +436,13 @@ def target_lookup(spark, sf_dir):
 
 @query
 def export_report(spark, sf_dir):
-    frames = {("deals" if name == "leads" else name): df for name, df in delivered(spark, sf_dir).items()}
+    frames = without_companies(spark, sf_dir)
     return exports.export_sheets(spark, frames, scratch_dir(spark, "sheets"), TARGETS)
 
 
 @query
 def workbook_report(spark, sf_dir):
-    frames = delivered(spark, sf_dir)
+    frames = without_companies(spark, sf_dir)
     return exports.export_workbook(spark, frames, scratch_dir(spark, "workbook"), date_from="1970-02-01")
 
 
@@ -508,19 +511,14 @@ def webhook_route(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "event_type", routed.alias("entity"))
 
 
-def landing_files(spark: SparkSession) -> int:
-    """Files a batch takes: a few per core, so that batches grow with the cluster."""
-    return 2 * spark.sparkContext.defaultParallelism
-
-
 @query
 def webhook_stream(spark, sf_dir):
     folder = scratch_dir(spark, "webhooks")
     body = F.to_json(F.struct("event_id", "user_id", "event_type", S.epoch("ts").alias("at"), F.col("props")))
     events = table(spark, sf_dir, "events").select(body.alias("value"), F.to_date("ts").alias("day"))
     events.write.partitionBy("day").text(f"{folder}/landing")
-    feed = stream_webhooks(spark, f"{folder}/landing", landing_files(spark))
-    people = EntityTable(spark, f"{folder}/table", order_by=("updated_at", "event_id"))
+    feed = stream_webhooks(spark, f"{folder}/landing")
+    people = History(spark, f"{folder}/table", order_by=("updated_at", "event_id"))
     body = F.col("body")
     rows = feed.select(
         V.at(body, "$.user_id", "bigint").alias("id"),
@@ -529,21 +527,24 @@ def webhook_stream(spark, sf_dir):
         "event_type",
         V.at(body, "$.props", "string").alias("props"),
     )
-    loads.upsert_stream(
-        rows, people, f"{folder}/checkpoint", ("updated_at", "event_id"), "people"
-    ).awaitTermination()
+    people.stream(rows, f"{folder}/checkpoint", "people").awaitTermination()
     return people.current().select("id", "updated_at", "event_id", "event_type", "props")
 
 
-@query
-def page_load(spark, sf_dir):
+def loaded_deals(spark: SparkSession, pages: DataFrame, to_rows: Callable[[DataFrame], DataFrame], **how: str) -> History:
+    """Pages (value) landed as text and loaded."""
     folder = scratch_dir(spark, "pages")
-    S.deal_pages(spark, sf_dir).select("value").write.text(f"{folder}/landing")
-    deals = EntityTable(spark, f"{folder}/table")
+    pages.select("value").write.text(f"{folder}/landing")
+    deals = History(spark, f"{folder}/table", order_by=("page", "pos"))
+    loads.load_pages(spark, f"{folder}/landing", "deals", deals, f"{folder}/checkpoint", to_rows, 100, **how).awaitTermination()
+    return deals
+
 
-    def to_rows(batch: DataFrame) -> DataFrame:
+@query
+def page_load(spark, sf_dir):
+    def to_rows(documents: DataFrame) -> DataFrame:
         doc = F.col("doc")
-        return batch.select(
+        return documents.select(
             V.at(doc, "$.id", "bigint").alias("id"),
             V.at(doc, "$.status", "string").alias("status"),
             V.at(doc, "$._links.self.href", "string").alias("link_url"),
@@ -551,7 +552,67 @@ def page_load(spark, sf_dir):
             "pos",
         )
 
-    loads.load_pages(
-        spark, f"{folder}/landing", "deals", deals, f"{folder}/checkpoint", to_rows, pages_per_batch=landing_files(spark)
-    ).awaitTermination()
+    deals = loaded_deals(spark, S.deal_pages(spark, sf_dir), to_rows)
     return deals.current().select("id", "status", "link_url", "page")
+
+
+@query
+def page_load_range(spark, sf_dir):
+    """Landed pages loaded for a range of dates."""
+
+    def to_rows(documents: DataFrame) -> DataFrame:
+        doc = F.col("doc")
+        return documents.select(V.at(doc, "$.id", "bigint").alias("id"), V.at(doc, "$.updated_at", "bigint").alias("updated_at"), "page", "pos")
+
+    deals = loaded_deals(spark, S.deal_pages(spark, sf_dir), to_rows, date_from="1994-01-01", date_to="1995-12-31")
+    return deals.current().select("id", "updated_at")
+
+
+@query
+def load_traces(spark, sf_dir):
+    """Progress and log of a load, read back after it."""
+
+    def to_rows(documents: DataFrame) -> DataFrame:
+        return documents.select(V.at(F.col("doc"), "$.id", "bigint").alias("id"), "page", "pos")
+
+    deals = loaded_deals(spark, S.deal_pages(spark, sf_dir), to_rows)
+    folder = scratch_dir(spark, "traces")
+    loads.record_load(deals, "leads", f"{folder}/progress", f"{folder}/log")
+    events = spark.read.schema(progress.PROGRESS_SCHEMA).parquet(f"{folder}/progress")
+    status = progress.export_status(events).select("entity", F.col("last_page").cast("bigint").alias("page"), "completed")
+    entries = oplog.recent_logs(spark.read.parquet(f"{folder}/log"), count=0, message="loaded", level="info")
+    return pages.union_batches([status, entries.select(F.col("component").alias("entity"), "message")])
+
+
+@query
+def stored_export(spark, sf_dir):
+    """Landed pages with custom fields, kept as whole documents, delivered as a wide table."""
+
+    def to_rows(documents: DataFrame) -> DataFrame:
+        return documents.select(V.at(F.col("doc"), "$.id", "string").alias("id"), "page", "pos", F.col("doc").cast("string").alias("text"))
+
+    deals = loaded_deals(spark, S.whole_deal_pages(spark, sf_dir), to_rows).current()
+    whole = deals.select(F.parse_json("text").alias("doc"))
+    docs = documents.expand_documents(whole, documents.header_union(whole))
+    wide = layouts.workbook_table(docs, fields.custom_columns(docs))
+    return wide.select(*[V.named(c).cast("string").alias(c) for c in wide.columns])
+
+
+@query
+def webhook_reload(spark, sf_dir):
+    """Events as the routed types: stored, their entities reloaded, deleted deals gone."""
+    folder = scratch_dir(spark, "feed")
+    S.deal_pages(spark, sf_dir).select("value").write.text(f"{folder}/landing/deals")
+    kinds = F.array(*[F.lit(kind) for kind in (*sorted(loads.event_types()), "unknown_lead")])
+    kind = F.element_at(kinds, (F.col("event_id") % F.size(kinds) + 1).cast("int"))
+    body = F.to_json(F.struct(kind.alias("event_type"), F.col("event_id").alias("id")))
+    table(spark, sf_dir, "events").select(body.alias("value")).write.text(f"{folder}/hooks")
+    deals = History(spark, f"{folder}/table", order_by=("page", "pos"))
+    to_rows = lambda docs: docs.select(V.at(F.col("doc"), "$.id", "bigint").alias("id"), "page", "pos")
+    reload = loads.reload_landed(spark, f"{folder}/landing", {"deals": deals}, f"{folder}/loads", {"deals": to_rows})
+    loads.apply_webhooks(
+        stream_webhooks(spark, f"{folder}/hooks"), {"deals": deals}, f"{folder}/checkpoint", f"{folder}/archive", reload, True
+    ).awaitTermination()
+    archive = spark.read.parquet(f"{folder}/archive").groupBy("entity", "event_type").agg(F.count("*").alias("n"))
+    left = deals.current().select(F.lit("deals").alias("entity"), F.lit("row").alias("event_type"), F.col("id").alias("n"))
+    return archive.unionByName(left)

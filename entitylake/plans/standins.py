@@ -137,6 +137,25 @@ def deal_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paged.select("page", F.to_json(envelope).alias("value"))
 
 
+def whole_deal_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page, value): API pages of all that ``deals`` has; every seventh has no update time, every fifth a text id."""
+    rows = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    own = F.struct(
+        F.when(key % 5 != 0, key).alias("id"),
+        F.when(key % 5 == 0, key.cast("string")).alias("text_id"),
+        F.col("o_totalprice").alias("price"),
+        F.when(key % 7 != 0, epoch("o_orderdate")).alias("updated_at"),
+        link("deals", key).alias("_links"),
+    )
+    # The custom fields are a list beside the others, not a text.
+    text = F.concat(F.expr("substring(t, 1, length(t) - 1)"), F.lit(',"custom_fields_values":'), F.col("fields"), F.lit("}"))
+    paged = rows.select(F.expr("o_orderkey div 50 + 1").alias("page"), F.regexp_replace(F.to_json(own), '"text_id"', '"id"').alias("t"), deal_fields().alias("fields"))
+    paged = paged.select("page", text.alias("document")).groupBy("page").agg(F.array_sort(F.collect_list("document")).alias("documents"))
+    value = F.concat(F.lit('{"_page":'), F.col("page").cast("string"), F.lit(',"_embedded":{"leads":['), F.array_join("documents", ","), F.lit("]}}"))
+    return paged.select("page", value.alias("value"))
+
+
 # Stand-in for the webhook types: which entity an event of a type concerns.
 EVENT_ROUTES = {"click": "deals", "view": "contacts", "signup": "companies", "purchase": "events"}
 
@@ -159,7 +178,8 @@ def progress_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as load progress and run registry.
 
     Purchases restart an entity's progress; errors belong to an entity nobody
-    knows. Odd users start a run, even users end one, others report a page.
+    knows. A third of the users report a page, the others start a run; only
+    runs of viewed entities are ended, by half of these.
     """
     entity = F.when(F.col("event_type") == "purchase", "leads").otherwise(
         F.element_at(F.create_map(*[F.lit(x) for kv in EVENT_ROUTES.items() for x in kv]), F.col("event_type"))
@@ -168,7 +188,7 @@ def progress_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = (
         F.when(F.col("value") > 400, "reset")
         .when(third == 0, "progress")
-        .when(third == 1, "started")
+        .when((third == 1) | (F.col("event_type") != "view"), "started")
         .otherwise("stopped")
     )
     return table(spark, sf_dir, "events").select(

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -39,12 +43,23 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder every executor can reach.
+    """A fresh folder every executor can reach, below ``spark.checkpoint.dir``.
 
-    On a cluster that is below ``spark.checkpoint.dir``; only where the
-    setting is absent (tests, a laptop) a local temporary folder is used.
+    Where the setting is absent a local temporary folder stands in, for a
+    session whose executors are this very process; any other session needs it.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"{name}-")
+    if not shared:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+        shared = _local_folder()
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@cache
+def _local_folder() -> str:
+    """One folder per process, gone when it ends."""
+    folder = tempfile.mkdtemp(prefix="scratch-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder

@@ -18,7 +18,7 @@ PAGE_IN_PATH = r"page=(\d+)"
 
 
 def _page_columns(text: DataFrame, entity: str) -> DataFrame:
-    envelope = F.try_parse_json("value")
+    envelope = V.strict_json(F.col("value"))
     in_path = F.regexp_extract(F.col("_metadata.file_path"), PAGE_IN_PATH, 1)
     return text.select(
         F.lit(canonical_name(entity)).alias("entity"),
@@ -79,7 +79,7 @@ WEBHOOK_SCHEMA = T.StructType([T.StructField("value", T.StringType())])
 
 
 def _webhook_columns(text: DataFrame, received_at: Column) -> DataFrame:
-    body = F.try_parse_json("value")
+    body = V.strict_json(F.col("value"))
     return text.select(F.col("value").alias("raw"), body.alias("body"), received_at.alias("_received_at")).select(
         V.at(F.col("body"), "$.event_type", "string").alias("event_type"), "body", "raw", "_received_at"
     )

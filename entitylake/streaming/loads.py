@@ -1,9 +1,9 @@
 """Loads that continue where they stopped.
 
 The checkpoint of a query is its progress: it moves on after a batch is
-committed to the table, so a stop or a crash between the two repeats the batch,
-which the table recognises and skips. Restarting from scratch means a new
-checkpoint folder; the stored rows stay and the replay changes nothing.
+written, so a stop or a crash between the two repeats the batch, whose rows the
+sink replaces. Restarting from scratch means a new checkpoint folder; the
+stored rows stay and the replay changes nothing.
 """
 
 from __future__ import annotations
@@ -14,10 +14,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from entitylake.operators.pages import explode_envelopes
-from entitylake.sources.landing import stream_pages
-from entitylake.sources.tables import EntityTable
-from entitylake.specs import DELETE_VERB, ENTITIES, EVENT_VERBS
+from entitylake.functions import variants as V
+from entitylake.operators.filters import updated_range
+from entitylake.operators.oplog import append_log
+from entitylake.operators.pages import PAGE_SIZE, explode_envelopes
+from entitylake.operators.progress import append_progress
+from entitylake.sources.history import History
+from entitylake.sources.landing import quarantined, stream_pages
+from entitylake.specs import DELETE_VERB, ENTITIES, EVENT_VERBS, canonical_name
 
 
 # -- routing -------------------------------------------------------------------
@@ -44,80 +48,111 @@ def is_delete(event_type: Column) -> Column:
 
 # -- queries -------------------------------------------------------------------
 
-def upsert_stream(
-    changes: DataFrame,
-    table: EntityTable,
-    checkpoint: str,
-    order_by: Sequence[str],
-    name: str,
-    transform: Callable[[DataFrame], DataFrame] | None = None,
-) -> StreamingQuery:
-    """Upsert all available input into ``table``, batch by batch, then end."""
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        rows = transform(batch) if transform else batch
-        table.upsert(rows, order_by, f"{checkpoint}#{batch_id}")
-
-    return (
-        changes.writeStream.foreachBatch(apply)
-        .option("checkpointLocation", checkpoint)
-        .queryName(name)
-        .trigger(availableNow=True)
-        .start()
-    )
-
-
 def load_pages(
     spark: SparkSession,
     landing: str,
     entity: str,
-    table: EntityTable,
+    table: History,
     checkpoint: str,
     to_rows: Callable[[DataFrame], DataFrame],
-    order_by: Sequence[str] = ("page", "pos"),
     pages_per_batch: int = 10,
     whole_files: bool = False,
+    date_from: str | None = None,
+    date_to: str | None = None,
 ) -> StreamingQuery:
-    """Landed pages of an entity into its table; the result does not depend on the batch size.
+    """Landed pages of an entity appended to its table.
 
-    ``to_rows`` turns (entity, source, page, pos, doc) into table rows and
-    must keep the ``order_by`` columns.
+    ``to_rows`` turns (entity, source, page, pos, doc) into table rows and keeps page and position, by which the
+    table is ordered, so the result does not depend on the batch size. A date range limits documents by their
+    ``updated_at``. Pages that are no JSON have no rows; ``quarantine_pages`` keeps them.
     """
     pages = stream_pages(spark, landing, entity, pages_per_batch, whole_files).drop("raw")
-    return upsert_stream(
-        explode_envelopes(pages, entity), table, checkpoint, order_by, f"load-{entity}", transform=to_rows
+    documents = explode_envelopes(pages, entity)
+    if date_from or date_to:
+        documents = documents.withColumn("_updated", V.at(F.col("doc"), "$.updated_at"))
+        documents = updated_range(documents, date_from, date_to, column="_updated").drop("_updated")
+    return table.stream(to_rows(documents), checkpoint, f"load-{entity}")
+
+
+def record_load(table: History, entity: str, progress_path: str, log_path: str, page_size: int = PAGE_SIZE) -> None:
+    """Leave the load's traces: a progress event and a log entry per page that has arrived.
+
+    A page with fewer documents than a full one completes the entity. The events of one call share a time and
+    are ordered by page.
+    """
+    sizes = table.changes().groupBy("page").agg(F.count("*").alias("n"))
+    name = F.lit(canonical_name(entity))
+    events = sizes.select(
+        name.alias("entity"),
+        F.lit("progress").alias("kind"),
+        F.col("page").cast("int").alias("page"),
+        (F.col("n") < page_size).alias("completed"),
+        F.current_timestamp().alias("ts"),
+        F.col("page").cast("bigint").alias("seq"),
+    )
+    append_progress(events, progress_path)
+    message = F.concat(F.lit("Loaded "), F.col("n"), F.lit(" "), name, F.lit(" of page "), F.col("page"))
+    entries = sizes.select(
+        F.lit(None).cast("timestamp").alias("timestamp"),
+        F.lit("load").alias("component"),
+        F.lit("info").alias("level"),
+        message.alias("message"),
+        F.lit(None).cast("string").alias("details"),
+    )
+    append_log(entries, log_path)
+
+
+def quarantine_pages(
+    spark: SparkSession, landing: str, entity: str, out: str, checkpoint: str, pages_per_batch: int = 10, whole_files: bool = False
+) -> StreamingQuery:
+    """Landed text of an entity that is no JSON, kept with its source in parquet below ``out``."""
+    bad = quarantined(stream_pages(spark, landing, entity, pages_per_batch, whole_files))
+    return (
+        bad.select("entity", "source", "raw")
+        .writeStream.format("parquet")
+        .option("path", out)
+        .option("checkpointLocation", checkpoint)
+        .queryName(f"quarantine-{entity}")
+        .trigger(availableNow=True)
+        .start()
     )
 
 
 def apply_webhooks(
     webhooks: DataFrame,
-    tables: dict[str, EntityTable],
+    tables: dict[str, History],
     checkpoint: str,
+    archive: str,
     reload: Callable[[str, int], None] | None = None,
     apply_deletes: bool = False,
     id_path: str = "$.id",
     routes: dict[str, str] | None = None,
-    archive: str | None = None,
 ) -> StreamingQuery:
-    """Store landed events and reload each entity they touch, once per batch.
+    """Store landed events below ``archive`` and reload each entity they touch, once per batch.
 
     ``apply_deletes`` also removes the ids of delete events, which the plain
-    feed leaves alone.
+    feed leaves alone. A batch is parsed once, for the archive; the rest reads that.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        routed = batch.withColumn("entity", routed_entity(F.col("event_type"), routes))
-        if archive:
-            folder = f"{archive.rstrip('/')}/batch={batch_id}"
-            routed.select("event_type", "entity", "raw", "_received_at").write.mode("overwrite").parquet(folder)
-        touched = [r.entity for r in routed.select("entity").filter("entity is not null").distinct().collect()]
+        folder = f"{archive.rstrip('/')}/batch={batch_id}"
+        routed = batch.select(
+            "event_type",
+            routed_entity(F.col("event_type"), routes).alias("entity"),
+            V.at(F.col("body"), id_path, "string").alias("object_id"),
+            "raw",
+            "_received_at",
+        )
+        routed.write.mode("overwrite").parquet(folder)
+        stored = batch.sparkSession.read.schema(routed.schema).parquet(folder)
+        # At most the names in the routes.
+        touched = [r.entity for r in stored.select("entity").filter("entity is not null").distinct().collect()]
         for entity in sorted(touched):
             if reload:
                 reload(entity, batch_id)
             if apply_deletes and entity in tables:
-                ids = routed.filter((F.col("entity") == entity) & is_delete(F.col("event_type")))
-                ids = ids.select(F.try_variant_get("body", id_path, "bigint").alias(tables[entity].key))
-                tables[entity].delete(ids, f"{checkpoint}#{batch_id}")
+                ids = stored.filter((F.col("entity") == entity) & is_delete(F.col("event_type")))
+                tables[entity].delete(ids.select(F.col("object_id").alias(tables[entity].key)))
 
     return (
         webhooks.writeStream.foreachBatch(apply)
@@ -131,7 +166,7 @@ def apply_webhooks(
 def reload_landed(
     spark: SparkSession,
     landing: str,
-    tables: dict[str, EntityTable],
+    tables: dict[str, History],
     checkpoints: str,
     to_rows: dict[str, Callable[[DataFrame], DataFrame]],
     **how: object,

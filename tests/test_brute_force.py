@@ -5,7 +5,7 @@ import random
 import pytest
 
 from entitylake.operators import upsert as U
-from entitylake.sources.tables import EntityTable
+from entitylake.sources.history import ARRIVED, History
 
 SCHEMA = "id long, a string, b string, seq long"
 
@@ -42,19 +42,19 @@ def test_upsert_and_merge(spark, seed):
 
 @pytest.mark.parametrize("newest", [False, True])
 def test_table_over_many_batches(spark, tmp_path, newest):
-    table = EntityTable(spark, str(tmp_path / "t"), order_by=["seq"] if newest else [], compact_after=3)
+    table = History(spark, str(tmp_path / "t"), order_by=["seq"] if newest else [ARRIVED, "seq"])
     rng = random.Random(7)
     expected = {}
     firsts = [40, 0, 120, 80, 160, 20]  # late batches among them
     for number, first in enumerate(firsts):
         batch = history(first, 25, first)
-        table.upsert(spark.createDataFrame(batch, SCHEMA).repartition(3), ["seq"], f"b{number}")
+        table.append(spark.createDataFrame(batch, SCHEMA).repartition(3))
         for key, a, b, seq in sorted(batch, key=lambda r: r[3]):
             if not newest or key not in expected or seq >= expected[key][2]:
                 expected[key] = (a, b, seq)
         if number % 2:
             gone = rng.sample(range(12), 3)
-            table.delete(spark.createDataFrame([(g,) for g in gone], "id long"), f"d{number}")
+            table.delete(spark.createDataFrame([(g,) for g in gone], "id long"))
             for key in gone:
                 expected.pop(key, None)
         assert table_of(table.current()) == expected

@@ -31,6 +31,9 @@ def field_cells(spark, field_type, values):
         ("numeric", '[{"value": "12d"}]', "12d", "12d"),
         ("numeric", '[{"value": true}]', "true", "1"),
         ("numeric", '[{"value": null}]', None, ""),
+        ("numeric", '[{"value": 12345678.25}]', "12345678.25", "12345678.25"),
+        ("numeric", '[{"value": 0.0004}]', "0.0004", "0.0004"),
+        ("numeric", '[{"value": "1.5e-4"}]', "1.5e-4", "0.00015"),
         ("numeric", '[{"value": 1e20}]', "1.0E20", "100000000000000000000"),
         ("date", '[{"value": 1700000000}]', "1700000000", "=DATE(2023;11;14)"),
         ("datetime", '[{"value": 1700000000}]', "1700000000", "=DATE(2023;11;14) + TIME(22;13;20)"),

@@ -92,19 +92,32 @@ def test_long_and_wide_agree(spark, stages):
     assert from_wide == {(r.id, r.field_id, r.workbook_value) for r in long.collect()}
 
 
-def test_too_many_columns_fail_clearly(spark, stages):
-    with pytest.raises(ValueError, match="custom columns"):
-        fields.custom_columns(stages, limit=2)
+def test_dictionary_is_joined_without_a_hint(stages, spark):
+    long = fields.fields_long(stages, ["id"])
+    typed = fields.attach_types(long, fields.field_types(stages))
+    assert "ResolvedHint" not in typed._jdf.queryExecution().analyzed().toString()
+    assert len(typed.collect()) == 3
 
 
-def test_large_dictionary_is_joined_by_shuffle(stages):
-    types = fields.field_types(stages)
-    long = fields.fields_long(stages, ["id"])
-    by_limit = [
-        sorted((r.id, r.field_id, r.field_type) for r in fields.attach_types(long, types, limit).collect())
-        for limit in (100, 1)
+def test_columns_of_whole_documents_with_odd_ids(spark):
+    field = '[{"field_id": 1, "field_name": "F", "field_type": "%s", "values": [{"value": "v"}]}]'
+    docs = [
+        '{"id": 5, "updated_at": 7, "custom_fields_values": %s}' % (field % "text"),
+        '{"id": "x", "updated_at": 9, "custom_fields_values": %s}' % (field % "url"),
+        '{"id": null, "custom_fields_values": %s}' % (field % "date"),
     ]
-    assert by_limit[0] == by_limit[1] and len(by_limit[0]) == 3
+    df = spark.createDataFrame([(d,) for d in docs], "t string").select(F.parse_json("t").alias("doc"))
+    whole = documents.expand_documents(df, documents.header_union(df))
+    assert [c.field_type for c in fields.custom_columns(whole)] == ["url"]
+    assert layouts.workbook_table(whole, fields.custom_columns(whole)).count() == 3
+    bare = whole.drop("updated_at")
+    assert len(fields.custom_columns(bare)) == 1 and layouts.sheet_table(bare, fields.custom_columns(bare)).count() == 3
+
+
+@pytest.mark.parametrize("text", ['[{"field_id": 1, "field_name": "F", "values": []}] junk ]', "[1] [2]", "{}", "nul"])
+def test_text_that_is_no_json_has_no_fields(spark, text):
+    df = spark.createDataFrame([(1, text)], "id long, custom_fields_values string")
+    assert fields.fields_long(df, ["id"]).count() == 0
 
 
 def test_documents_by_layout(spark):

@@ -216,3 +216,19 @@ def test_sheet_export(spark, tmp_path):
     stored = spark.read.parquet(f"{tmp_path}/s/deals/rows").collect()
     assert sorted(r.rn for r in stored) == [0, 1, 2, 3] and {r.range for r in stored} == {"Data!A2"}
     assert ["1", "'+1", "=DATE(1970;1;1) + TIME(0;0;1)"] in [r.cells for r in stored]
+
+
+def test_aliases_and_unknown_entities_need_a_target(spark, tmp_path):
+    df = spark.createDataFrame([(1, 5, "n")], "id long, updated_at long, name string")
+    report = exports.export_sheets(spark, {"leads": df, "tasks": df}, f"{tmp_path}/s", {"contacts": "x", "companies": ""})
+    assert {(r.entity, r.status) for r in report.collect()} == {("deals", "failed"), ("tasks", "failed")}
+    report = exports.export_sheets(spark, {"leads": df}, f"{tmp_path}/t", {"deals": "x"})
+    assert [(r.entity, r.status) for r in report.collect()] == [("deals", "written")]
+
+
+def test_status_of_all_entities_needs_no_single_task(spark):
+    rows = [("deals", "started", None, None, datetime(2024, 1, 1), 1), (None, "clear_running", None, None, datetime(2024, 1, 2), 2)]
+    rows += [("contacts", "started", None, None, datetime(2024, 1, 3), 3)]
+    status = progress.export_status(spark.createDataFrame(rows, progress.PROGRESS_SCHEMA))
+    assert {r.entity: r.running for r in status.collect()} == {"deals": False, "contacts": True, "companies": False, "events": False}
+    assert "SinglePartition" not in status._jdf.queryExecution().executedPlan().toString()

@@ -65,3 +65,8 @@ def test_spread_only_where_splits_are_few(spark, stored):
     assert spread(one, "id").rdd.getNumPartitions() == cores
     many = spark.range(0, 100, 1, cores)
     assert "Exchange" not in plan(spread(many, "id"))
+
+
+def test_an_upsert_reads_each_side_once(spark):
+    for name, scans in (("upsert_by_id", 3), ("replay_idempotent", 6)):
+        assert plan(QUERIES[name](spark, SF_DIR)).count("FileScan") <= scans

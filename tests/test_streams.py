@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from entitylake.functions import variants as V
 from entitylake.sources import landing
 from entitylake.sources.paged import paged_source, read_paged
-from entitylake.sources.tables import EntityTable
+from entitylake.sources.history import History
 from entitylake.streaming import loads
 
 
@@ -37,7 +37,7 @@ def pages(tmp_path):
 
 
 def load(spark, pages, tmp_path, per_batch, name):
-    table = EntityTable(spark, f"{tmp_path}/{name}", order_by=["page", "pos"])
+    table = History(spark, f"{tmp_path}/{name}", order_by=["page", "pos"])
     loads.load_pages(
         spark, str(pages), "deals", table, f"{tmp_path}/{name}-checkpoint", to_rows, pages_per_batch=per_batch
     ).awaitTermination()
@@ -52,43 +52,41 @@ def test_result_does_not_depend_on_batch_size(spark, pages, tmp_path):
 
 def test_resume_takes_only_new_pages_and_replay_changes_nothing(spark, pages, tmp_path):
     table = load(spark, pages, tmp_path, 2, "t")
-    commits = len(table.commits())
+    arrived = table.changes().count()
     load(spark, pages, tmp_path, 2, "t")
-    assert len(table.commits()) == commits
+    assert table.changes().count() == arrived
     land(pages, 6, [{"id": 60, "v": "p6"}])
     load(spark, pages, tmp_path, 2, "t")
-    assert len(table.commits()) == commits + 1 and (60, "p6") in state(table)
+    assert table.changes().count() == arrived + 1 and (60, "p6") in state(table)
     before = state(table)
     loads.load_pages(spark, str(pages), "deals", table, f"{tmp_path}/fresh", to_rows).awaitTermination()
-    assert state(table) == before
+    assert state(table) == before and table.changes().count() == 2 * (arrived + 1)
 
 
-def test_crash_between_commit_and_checkpoint(spark, pages, tmp_path):
-    table = EntityTable(spark, f"{tmp_path}/t", order_by=["page", "pos"])
-    upsert, calls = table.upsert, []
-
-    def failing(*args):
-        upsert(*args)
-        calls.append(args)
-        if len(calls) == 2:
-            raise RuntimeError("lost driver")
-
-    table.upsert = failing
-    query = loads.load_pages(spark, str(pages), "deals", table, f"{tmp_path}/c", to_rows, pages_per_batch=2)
-    with pytest.raises(Exception, match="lost driver"):
-        query.awaitTermination()
-    table.upsert = upsert
-    committed = len(table.commits())
+def test_load_of_a_date_range(spark, tmp_path):
+    stamps = {1: 100, 2: 86_400, 3: "90000", 4: None, 5: 172_800.5, 6: 400_000}
+    land(tmp_path / "in", 1, [{"id": i, "v": "x", "updated_at": t} for i, t in stamps.items()])
+    table = History(spark, f"{tmp_path}/t", order_by=["page", "pos"])
     loads.load_pages(
-        spark, str(pages), "deals", table, f"{tmp_path}/c", to_rows, pages_per_batch=2
+        spark, f"{tmp_path}/in", "deals", table, f"{tmp_path}/c", to_rows, date_from="1970-01-02", date_to="1970-01-03T23:00:00"
     ).awaitTermination()
-    assert len(table.commits()) == committed + 1
-    assert state(table) == state(load(spark, pages, tmp_path, 100, "whole"))
+    assert [i for i, _ in state(table)] == [2, 5]
+
+
+def test_bad_pages_land_in_quarantine(spark, pages, tmp_path):
+    (pages / "page=2" / "bad.json").write_text("not json\n")
+    (pages / "page=3" / "bad.json").write_text('{"_embedded": {}} trailing\n')
+    table = load(spark, pages, tmp_path, 2, "t")
+    for _ in range(2):
+        loads.quarantine_pages(spark, str(pages), "leads", f"{tmp_path}/bad", f"{tmp_path}/bad-c").awaitTermination()
+    kept = spark.read.parquet(f"{tmp_path}/bad").collect()
+    assert sorted(r.raw for r in kept) == ["not json", '{"_embedded": {}} trailing'] and {r.entity for r in kept} == {"deals"}
+    assert len(state(table)) == 16
 
 
 def test_one_failing_entity_leaves_the_others(spark, pages, tmp_path):
     def start(entity, rows):
-        table = EntityTable(spark, f"{tmp_path}/{entity}")
+        table = History(spark, f"{tmp_path}/{entity}", order_by=["page", "pos"])
         return lambda: loads.load_pages(spark, str(pages), entity, table, f"{tmp_path}/{entity}-c", rows)
 
     def broken(batch):
@@ -154,8 +152,8 @@ def test_webhooks_store_all_and_reload_touched(spark, feed, tmp_path):
         landing.stream_webhooks(spark, str(feed)),
         {},
         f"{tmp_path}/c",
+        f"{tmp_path}/archive",
         reload=lambda entity, batch: reloaded.append((entity, batch)),
-        archive=f"{tmp_path}/archive",
     )
     query.awaitTermination()
     assert reloaded == [("contacts", 0), ("deals", 0)]
@@ -166,24 +164,24 @@ def test_webhooks_store_all_and_reload_touched(spark, feed, tmp_path):
 
 
 def test_webhook_loads_what_has_landed(spark, feed, tmp_path):
-    table = EntityTable(spark, f"{tmp_path}/deals")
+    table = History(spark, f"{tmp_path}/deals", order_by=["page", "pos"])
     land(tmp_path / "landing" / "deals", 1, [{"id": 1, "v": "a"}])
     (tmp_path / "landing" / "contacts").mkdir()
     reload = loads.reload_landed(spark, f"{tmp_path}/landing", {"deals": table}, f"{tmp_path}/loads", {"deals": to_rows})
     for number in range(2):
         query = loads.apply_webhooks(
-            landing.stream_webhooks(spark, str(feed)), {}, f"{tmp_path}/feed{number}", reload=reload
+            landing.stream_webhooks(spark, str(feed)), {}, f"{tmp_path}/feed{number}", f"{tmp_path}/archive{number}", reload
         )
         query.awaitTermination()
-    assert state(table) == [(1, "a")] and len(table.commits()) == 1
+    assert state(table) == [(1, "a")] and table.changes().count() == 1
 
 
 @pytest.mark.parametrize("apply_deletes, left", [(False, [3, 4]), (True, [4])])
 def test_deletes_are_opt_in(spark, feed, tmp_path, apply_deletes, left):
-    contacts = EntityTable(spark, f"{tmp_path}/contacts")
-    contacts.upsert(spark.createDataFrame([(3, 1), (4, 1)], "id long, seq long"), ["seq"])
+    contacts = History(spark, f"{tmp_path}/contacts", order_by=["seq"])
+    contacts.append(spark.createDataFrame([(3, 1), (4, 1)], "id long, seq long"))
     loads.apply_webhooks(
-        landing.stream_webhooks(spark, str(feed)), {"contacts": contacts}, f"{tmp_path}/c", apply_deletes=apply_deletes
+        landing.stream_webhooks(spark, str(feed)), {"contacts": contacts}, f"{tmp_path}/c", f"{tmp_path}/archive", apply_deletes=apply_deletes
     ).awaitTermination()
     assert sorted(r.id for r in contacts.current().collect()) == left
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from entitylake.operators import upsert as U
-from entitylake.sources.tables import EntityTable
+from entitylake.sources.history import ARRIVED, History
 
 SCHEMA = "id long, a string, seq long"
 
@@ -96,71 +96,45 @@ def change(spark, *data):
 
 
 def test_table_life(spark, tmp_path):
-    table = EntityTable(spark, str(tmp_path / "t"))
+    table = History(spark, str(tmp_path / "t"), order_by=[ARRIVED, "seq"])
     with pytest.raises(LookupError):
         table.current()
-    assert table.upsert(change(spark, (1, "a", 1), (1, "b", 2), (2, "c", 1), (None, "k", 1)), ["seq"], "b0")
-    assert not table.upsert(change(spark, (1, "never", 9)), ["seq"], "b0")
-    assert not table.upsert(change(spark).limit(0), ["seq"], "b1")
-    table.upsert(change(spark, (2, "d", 1), (3, "e", 1), (None, "k", 1)), ["seq"], "b2")
+    table.append(change(spark, (1, "a", 1), (1, "b", 2), (2, "c", 1), (None, "k", 1)))
+    table.append(change(spark).limit(0))
+    table.append(change(spark, (2, "d", 1), (3, "e", 1), (None, "k", 1)))
     assert rows(table.current()) == [(1, "b", 2), (2, "d", 1), (3, "e", 1), (None, "k", 1)]
-    table.delete(spark.createDataFrame([(1,), (44,)], "id long"), "b3")
+    table.delete(spark.createDataFrame([(1,), (44,), (None,)], "id long"))
     assert rows(table.current()) == [(2, "d", 1), (3, "e", 1), (None, "k", 1)]
-    table.upsert(change(spark, (1, "back", 1)), ["seq"], "b4")
+    table.append(change(spark, (1, "back", 1)))
     before = rows(table.current())
     assert (1, "back", 1) in before
-    table.compact()
-    assert rows(table.current()) == before
-    assert not table.replace_all(change(spark).limit(0))
-    assert table.replace_all(change(spark, (5, "only", 1)))
-    assert rows(table.current()) == [(5, "only", 1)]
-
-
-def test_table_compacts_itself(spark, tmp_path):
-    table = EntityTable(spark, str(tmp_path / "t"), compact_after=2)
-    for n in range(4):
-        table.upsert(change(spark, (n, str(n), n), (0, f"zero{n}", n)), ["seq"], f"b{n}")
-    assert [c.kind for c in table.commits()] == ["base", "delta", "delta", "base", "delta"]
-    assert rows(table.current())[0] == (0, "zero3", 3)
-    assert table.current().count() == 4
-
-
-def test_newest_table_takes_late_batches(spark, tmp_path):
-    table = EntityTable(spark, str(tmp_path / "t"), order_by=["seq"])
-    table.upsert(change(spark, (1, "new", 9), (2, "two", 1)), ["seq"])
-    table.upsert(change(spark, (1, "late", 3)), ["seq"])
+    compacted = table.compact(str(tmp_path / "compacted"))
+    assert rows(compacted.current()) == before and compacted.changes().count() == len(before)
+
+
+def test_ordered_table_takes_late_batches(spark, tmp_path):
+    table = History(spark, str(tmp_path / "t"), order_by=["seq"])
+    table.append(change(spark, (1, "new", 9), (2, "two", 1)))
+    table.append(change(spark, (1, "late", 3)))
     assert rows(table.current()) == [(1, "new", 9), (2, "two", 1)]
     table.delete(spark.createDataFrame([(1,)], "id long"))
     assert rows(table.current()) == [(2, "two", 1)]
-    table.upsert(change(spark, (1, "again", 2)), ["seq"])
+    table.append(change(spark, (1, "again", 2)))
     assert rows(table.current()) == [(1, "again", 2), (2, "two", 1)]
 
 
-def test_uncommitted_data_is_not_seen(spark, tmp_path):
-    table = EntityTable(spark, str(tmp_path / "t"))
-    table.upsert(change(spark, (1, "a", 1)), ["seq"], "b0")
-    change(spark, (1, "crashed", 2)).write.parquet(str(tmp_path / "t" / "delta" / "v=1"))
-    assert rows(table.current()) == [(1, "a", 1)]
-    table.upsert(change(spark, (1, "b", 2)), ["seq"], "b1")
-    assert rows(table.current()) == [(1, "b", 2)]
-
+def test_new_columns_and_text_ids(spark, tmp_path):
+    table = History(spark, str(tmp_path / "t"), order_by=["seq"])
+    table.append(spark.createDataFrame([("x", "a", 1), ("2", "b", 1)], "id string, a string, seq long"))
+    table.append(spark.createDataFrame([("2", "w", 6, True)], "id string, a string, seq long, extra boolean"))
+    assert {(r.id, r.extra) for r in table.current().collect()} == {("x", None), ("2", True)}
+    table.delete(spark.createDataFrame([("x",)], "id string"))
+    assert [r.id for r in table.current().collect()] == ["2"]
 
-def test_table_merge_and_new_columns(spark, tmp_path):
-    table = EntityTable(spark, str(tmp_path / "t"))
-    table.upsert(change(spark, (1, "a", 1), (2, "b", 1)), ["seq"])
-    table.merge_fields(spark.createDataFrame([(1, "m", 5), (3, "n", 5)], "id long, a string, seq long"), ["seq"])
-    assert rows(table.current()) == [(1, "m", 5), (2, "b", 1), (3, "n", 5)]
-    wider = spark.createDataFrame([(2, "w", 6, True)], SCHEMA + ", extra boolean")
-    table.upsert(wider, ["seq"])
-    assert {(r.id, r.extra) for r in table.current().collect()} == {(1, None), (2, True), (3, None)}
 
-
-def test_replacement_merges_rows_of_one_id(spark, tmp_path):
-    rows_in = spark.createDataFrame(
-        [(1, "a", None, 1), (1, None, "b", 2), (None, "k", None, 1)], "id long, a string, b string, seq long"
-    )
-    table = EntityTable(spark, str(tmp_path / "t"))
-    table.replace_all(rows_in, order_by=["seq"])
-    assert rows(table.current()) == [(1, "a", "b", 2), (None, "k", None, 1)]
-    table.replace_all(rows_in)
-    assert [r.id for r in table.current().collect() if r.id] == [1]
+def test_merge_on_an_empty_base_and_of_ties(spark):
+    schema = "id long, a string, b string, seq long"
+    changes = [(1, "a", None, 1), (1, None, "b", 2), (2, "v0", None, 5), (2, "v7", None, 5), (None, "k", None, 1)]
+    empty = spark.createDataFrame([], schema)
+    results = [rows(U.merge_fields(empty, spark.createDataFrame(order, schema))) for order in (changes, changes[::-1])]
+    assert results[0] == results[1] and results[0][0] == (1, "a", "b", 2) and len(results[0]) == 3
