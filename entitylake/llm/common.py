@@ -19,8 +19,16 @@ WORDS = r"[^\x20\x09-\x0D]+"
 _shipped: set[str] = set()
 
 
+#: Bytes of an Arrow batch, so that very long texts make no large one.
+BATCH_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Hand this package to the Python workers, once per application. Spark itself serves the file to executors."""
+    """Hand this package to the Python workers, once per application. Spark itself serves the file to executors.
+
+    Batches for Python are bounded by bytes from then on; results don't depend on it.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if spark.sparkContext.applicationId not in _shipped:
         package = Path(__file__).resolve().parents[1]
         folder = tempfile.mkdtemp(prefix="package-")

@@ -25,9 +25,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from entitylake.llm import common, repeats
@@ -224,7 +223,7 @@ def _repeated(digits: Digits, starts: np.ndarray, lengths: np.ndarray, ids: np.n
     return np.cumsum(change[:-1]) > 0
 
 
-def _remove(docs: DataFrame, told: DataFrame, depth: Depth) -> DataFrame:
+def _remove(docs: DataFrame, told: DataFrame, depth: Depth, as_text: bool) -> DataFrame:
     def cut(told: Told, rows: pa.RecordBatch) -> pa.RecordBatch:
         ids, kept = rows.column("doc").to_numpy(), []
         sizes: list[np.ndarray] = []
@@ -242,18 +241,24 @@ def _remove(docs: DataFrame, told: DataFrame, depth: Depth) -> DataFrame:
             array = np.frombuffer(data, np.uint8)
             for text, start, length, n in zip(texts[part], starts.tolist(), lengths.tolist(), removed[-1].tolist(), strict=True):
                 kept.append(text if not n else array[start : start + length][~gone[start : start + length]].tobytes())
+        if as_text:
+            kept = [x.decode("utf-8", "ignore") for x in kept]
+        kind = pa.string() if as_text else pa.binary()
         numbers = [pa.array(np.concatenate(x)) for x in (sizes, removed, spans)]
         return pa.RecordBatch.from_arrays(
-            [rows.column("rest"), pa.array(kept, pa.binary()), *numbers], ["rest", "kept", "n_bytes", "n_removed", "n_spans"]
+            [rows.column("rest"), pa.array(kept, kind), *numbers], ["rest", "kept", "n_bytes", "n_removed", "n_spans"]
         )
 
     rest = docs.schema["rest"].dataType.simpleString()
-    schema = "rest " + rest + ", kept binary, n_bytes long, n_removed long, n_spans long"
+    schema = "rest " + rest + f", kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long"
     return _told(docs, told, cut, schema)
 
 
-def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", depth: Depth | None = None) -> DataFrame:
-    """Per document its other columns as ``rest``, the bytes kept, and counts of bytes, removed bytes and removed runs."""
+def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", depth: Depth | None = None, as_text: bool = False) -> DataFrame:
+    """Per document its other columns as ``rest``, the bytes kept, and counts of bytes, removed bytes and removed runs.
+
+    ``as_text`` gives what is kept as text; what is left of a character that was cut in two then goes.
+    """
     common.ship(docs.sparkSession)
     depth = depth or Depth()
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_column])
@@ -268,13 +273,4 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     second = _firsts(_second_pass(runs, depth), "repeat-second")
     last = _last_pass(runs, second, depth).groupBy("content").agg(F.min("doc").alias("doc"))
     last = common.stored(last.select("doc", "content", F.lit(False).alias("several")), "repeat-last")
-    return _remove(rows, first.unionByName(second).unionByName(last), depth)
-
-
-def _decoded(kept: pd.Series) -> pd.Series:
-    return kept.map(lambda x: x.decode("utf-8", "ignore"))
-
-
-def valid_text(kept: str) -> Column:
-    """The kept bytes as text; what is left of a character that was cut in two goes."""
-    return F.pandas_udf(_decoded, "string")(kept)
+    return _remove(rows, first.unionByName(second).unionByName(last), depth, as_text)
