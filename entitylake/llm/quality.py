@@ -186,7 +186,8 @@ def learn(
         F.min(label_column).alias("label")
     )
     rows = measured.filter(~base_failed()).select(F.col(id_column).alias("id"), *STATS).join(votes, F.col("id") == F.col("labelled"))
-    sample = rows.orderBy(common.hash60(F.col("id")), "id", *STATS).limit(max_labelled).select(*STATS, "label").collect()
+    rows = rows.select("id", *STATS, "label")
+    sample = common.least(rows, common.hash60(F.col("id")), max_labelled).collect()
     if not sample:
         return []
     stats = {name: np.array([r[name] for r in sample], float) for name in STATS}

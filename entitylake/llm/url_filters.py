@@ -45,7 +45,7 @@ def host_key(name: Column) -> Column:
 
 
 def _cuts(keyed: DataFrame, ranges: int, sample_keys: int) -> list[str]:
-    sample = sorted(r.at for r in keyed.select("at").orderBy(F.xxhash64("at"), "at").limit(sample_keys).collect())
+    sample = sorted(r.at for r in common.least(keyed.select("at"), common.hash60(F.col("at")), sample_keys).collect())
     return sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
 
 
