@@ -59,6 +59,33 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_key(id_column: str, text_column: str) -> list[Column]:
+    """The id and the digest of the text, by which a document is found again."""
+    return [F.col(id_column).cast("long").alias("id"), F.xxhash64(whole_text(text_column)).alias("digest")]
+
+
+def one_per_part(docs: DataFrame, made: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row of each part, with all columns. made: per row of docs its ``row_key`` and part.
+
+    It is the row with the least id, a null id last; of several with that id, the one with the least digest of its
+    text, and of several with that text too, the one that is least as JSON.
+    """
+    keys = made.groupBy("part", "id", "digest").agg(F.count("*").alias("n"))
+    rank = F.struct(F.col("id").isNull(), "id", "digest")
+    first = keys.groupBy("part").agg(F.min(rank).alias("first"))
+    judged = keys.join(first, "part").select("id", "digest", (rank == F.col("first")).alias("stays"), "n")
+    rows = docs.select(F.struct("*").alias("row"), *row_key(id_column, text_column))
+
+    def met(which: DataFrame, how: str) -> DataFrame:
+        key = which.select(F.col("id").alias("key_id"), F.col("digest").alias("key_digest"))
+        return rows.join(key, F.col("id").eqNullSafe(F.col("key_id")) & (F.col("digest") == F.col("key_digest")), how)
+
+    alone = met(judged.filter("not stays or n > 1"), "left_anti").select("row.*")
+    # Only rows that have the same id and text as another are grouped.
+    again = met(judged.filter("stays and n > 1"), "left_semi").groupBy("id", "digest").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return alone.unionByName(again.select("row.*"))
+
+
 def hash60(*columns: Column) -> Column:
     """A number of 60 bits that any SQL engine gives too: the first 15 hexadecimal digits of an MD5 sum."""
     text = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("null")) for c in columns])

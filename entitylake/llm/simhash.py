@@ -1,7 +1,7 @@
 """SimHash near-duplicates: fingerprints within a Hamming budget, joined by binary tries.
 
-Fingerprints are made in one pass over whole texts. Equal fingerprints are one node, the least id that has it, so
-copies never meet as pairs. To spread the trie, the 64 bits are cut into ``blocks`` parts: two fingerprints with
+Fingerprints are made in one pass over whole texts. A node is a fingerprint, whatever ids have it, so copies never
+meet as pairs and an id that several documents share links nothing. To spread the trie, the 64 bits are cut into ``blocks`` parts: two fingerprints with
 at most ``budget`` differing bits agree in some ``blocks - budget`` parts entirely, so for each choice of parts
 the nodes that agree there form a bucket, and in one of the buckets every pair is found. A bucket is joined with
 itself by a trie walk that keeps components only, and gives at most one link per node. Components of all links
@@ -10,9 +10,9 @@ are found by alternating stars over written edge tables.
 With 6 parts and 4 bits, a node is in 15 buckets that share 21 bits or more; more ``blocks`` give smaller buckets.
 
 Defined cases: a null text has no words; without words a fingerprint is zero and is linked like any other. Fewer
-words than a shingle form one shingle. Repeated ids are documents each. A document with a null id gets the
-component of its fingerprint's other documents and links nothing by itself; without others its component is null.
-An empty table gives no rows. Other columns are not read.
+words than a shingle form one shingle. Repeated ids are documents each. A document with a null id is linked like
+any other; the component of documents that all have none is null. An empty table gives no rows. Other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -52,17 +52,17 @@ def fingerprint(text: str, shingle: int = 4) -> bytes:
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 4) -> DataFrame:
-    """Per document its id and its fingerprint as a signed number."""
+    """Per document its id, the digest of its text, and its fingerprint as a signed number."""
     common.ship(docs.sparkSession)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits = b"".join(fingerprint(t.as_py(), shingle) for t in batch.column("text"))
             fp = np.frombuffer(bits, ">i8").astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fp)], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), pa.array(fp)], ["id", "digest", "fp"])
 
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), common.whole_text(text_column).alias("text"))
-    return rows.mapInArrow(of, "id long, fp long")
+    rows = docs.select(*common.row_key(id_column, text_column), common.whole_text(text_column).alias("text"))
+    return rows.mapInArrow(of, "id long, digest long, fp long")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
@@ -90,11 +90,11 @@ def _masks(blocks: int, budget: int) -> list[int]:
 
 
 def links(nodes: DataFrame, budget: int = 4, blocks: int = 6) -> DataFrame:
-    """Links a, b that join all nodes (id, fp, n) within the budget to components."""
+    """Links a, b that join all nodes (fp, n) within the budget to components."""
     common.ship(nodes.sparkSession)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for choice, key, fp, node, n in _runs(batches, ["choice", "key", "fp", "id", "n"]):
+        for choice, key, fp, n in _runs(batches, ["choice", "key", "fp", "n"]):
             new = np.concatenate([[True], (choice[1:] != choice[:-1]) | (key[1:] != key[:-1])]) if len(key) else np.empty(0, bool)
             starts = np.flatnonzero(new)
             size = np.diff(np.append(starts, len(key)))
@@ -103,38 +103,46 @@ def links(nodes: DataFrame, budget: int = 4, blocks: int = 6) -> DataFrame:
                 continue
             size = size[size > 1]
             starts = np.cumsum(size) - size
-            fp, node, n = fp[keep].view(np.uint64), node[keep], n[keep]
+            fp, n = fp[keep].view(np.uint64), n[keep]
             # Signed order has the upper half first; the trie needs the order of the bits.
             order = np.lexsort((fp, np.repeat(np.arange(len(size)), size)))
-            fp, node, n = fp[order], node[order], n[order]
+            fp, n = fp[order], n[order]
             label = trie_join.components(fp, starts, n, budget)
             linked = np.flatnonzero(label != np.arange(len(label)))
+            node = fp.view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[label[linked]])], ["a", "b"])
 
     tries = [F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(_masks(blocks, budget))]
-    buckets = nodes.select("id", "fp", "n", F.explode(F.array(*tries)).alias("t")).select("t.*", "fp", "id", "n")
+    buckets = nodes.select("fp", "n", F.explode(F.array(*tries)).alias("t")).select("t.*", "fp", "n")
     buckets = buckets.repartition(common.partitions(nodes.sparkSession), "choice", "key").sortWithinPartitions("choice", "key")
     return buckets.mapInArrow(walk, "a long, b long")
 
 
-def near_duplicates(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 4, budget: int = 4, blocks: int = 6
-) -> DataFrame:
-    """Per document its id, fingerprint (hexadecimal) and component_id, the least id that links lead to."""
+def _labelled(docs: DataFrame, id_column: str, text_column: str, shingle: int, budget: int, blocks: int) -> DataFrame:
+    """Per document id, digest, fp, part (the least fingerprint that links lead to) and component_id."""
     made = common.stored(fingerprints(docs, id_column, text_column, shingle), "fingerprints")
     nodes = made.groupBy("fp").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     nodes = common.stored(nodes, "fingerprint-nodes")
-    found = components.labels(links(nodes.filter("id is not null"), budget, blocks), "a", "b")
-    of = nodes.join(found, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    found = components.labels(links(nodes, budget, blocks), "a", "b")
+    of = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "id", F.coalesce("component", "fp").alias("part"))
+    least = of.groupBy("part").agg(F.min("id").alias("component_id"))
+    of = of.join(least, "part").select("fp", "part", "component_id")
     # A fingerprint may hold a third of all documents; its single row here meets them in parts that adaptive execution splits.
-    return made.join(of, "fp").select(
+    return made.join(of, "fp")
+
+
+def near_duplicates(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 4, budget: int = 4, blocks: int = 6
+) -> DataFrame:
+    """Per document its id, fingerprint (hexadecimal) and component_id, the least id that links lead to."""
+    return _labelled(docs, id_column, text_column, shingle, budget, blocks).select(
         F.col("id").alias(id_column), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def keep_one(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
-    """The documents whose id is the least of their component, with all columns; those without id stay."""
-    made = near_duplicates(docs, id_column, **options)
-    dropped = made.filter(F.col(id_column) != F.col("component_id")).select(F.col(id_column).alias("dropped_id"))
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_column).cast("long").alias("id"))
-    return rows.join(dropped, F.col("id") == F.col("dropped_id"), "left_anti").select("row.*")
+def keep_one(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 4, budget: int = 4, blocks: int = 6
+) -> DataFrame:
+    """One document of each component, the one with the least id, with all columns; see ``common.one_per_part``."""
+    made = _labelled(docs, id_column, text_column, shingle, budget, blocks)
+    return common.one_per_part(docs, made, id_column, text_column)

@@ -132,6 +132,16 @@ def test_near_duplicates_of_odd_tables(documents):
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in rows) == [(-1, -1), (-1, 5), (5, 5), (5, 5), (9, 5)]
 
 
+def test_one_document_of_each_group_stays_whatever_the_ids(documents):
+    text, other, third = "one two three four five six", "quite unlike words of some length here", "a null id and nothing like it"
+    rows = [(3, text), (5, text), (5, other), (7, third), (7, third), (None, text), (None, other + " too"), (None, other + " too"), (8, None), (8, "")]
+    made = simhash.near_duplicates(documents(rows)).collect()
+    assert len({r.fingerprint for r in made}) == 5
+    assert {(r.doc_id, r.component_id) for r in made} == {(3, 3), (5, 3), (5, 5), (7, 7), (None, 3), (None, None), (8, 8)}
+    kept = simhash.keep_one(documents(rows)).select("doc_id", "text").collect()
+    assert sorted((r.doc_id or 99, r.text or "") for r in kept) == [(3, text), (5, other), (7, third), (8, ""), (99, other + " too")]
+
+
 @pytest.mark.parametrize(("n", "bits"), [(1, 64), (300, 64), (400, 12), (700, 16)])
 def test_trie_walk(n, bits):
     r = np.random.default_rng(n)
