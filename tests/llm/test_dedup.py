@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from entitylake.llm import components, simhash, suffix_dedup, trie_join
+from entitylake.llm import components, near_copies, simhash, suffix_dedup, trie_join
 
 
 def removed(docs, threshold=100):
@@ -142,6 +142,48 @@ def test_one_document_of_each_group_stays_whatever_the_ids(documents):
     assert sorted((r.doc_id or 99, r.text or "") for r in kept) == [(3, text), (5, other), (7, third), (8, ""), (99, other + " too")]
 
 
+def similarity(x, y):
+    sets = []
+    for text in (x, y):
+        words = text.lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_pipeline_drops_near_copies_and_keeps_the_rest(documents, spark):
+    import corpus_pipeline
+
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(3000)]
+    docs, wanted, planted = [], set(), []
+    for i in range(300):
+        base = [r.choice(words) for _ in range(r.randint(80, 300))]
+        docs.append((2 * i, " ".join(base)))
+        wanted.add(2 * i)
+        copy = list(base)
+        for at in r.sample(range(len(copy)), r.randint(1, 3) if i % 3 else 9):
+            copy[at] = "changed"
+        like = similarity(docs[-1][1], " ".join(copy))
+        docs.append((2 * i + 1, " ".join(copy)))
+        if like < 0.8:
+            wanted.add(2 * i + 1)
+        else:
+            planted.append((2 * i + 1, like))
+    assert sum(like < 0.95 for _, like in planted) > 100 and len(wanted) > 330
+    kept = {row.doc_id for row in corpus_pipeline.near_duplicates(spark, documents(docs), "").collect()}
+    missed = [p for p in planted if p[0] in kept]
+    print("near copies", len(planted), "missed", missed)
+    assert wanted <= kept and len(missed) <= 0.02 * len(planted)
+
+
+def test_near_copies_of_odd_tables(documents):
+    assert near_copies.keep_one(documents([])).collect() == []
+    text = "one two three four five six"
+    rows = [(5, text), (5, text), (None, text.upper()), (5, "alone here"), (9, text), (None, None), (None, " "), (None, "alone")]
+    kept = near_copies.keep_one(documents(rows)).select("doc_id", "text").collect()
+    assert sorted((r.doc_id or 99, (r.text or "").strip()) for r in kept) == [(5, "alone here"), (5, text), (99, ""), (99, "alone")]
+
+
 @pytest.mark.parametrize(("n", "bits"), [(1, 64), (300, 64), (400, 12), (700, 16)])
 def test_trie_walk(n, bits):
     r = np.random.default_rng(n)
