@@ -92,9 +92,79 @@ SELECT f.doc_id, f.n_bytes, n.shard, f.depth, n.shard_bytes::BIGINT AS shard_byt
 FROM fits f JOIN nodes n ON n.depth = f.depth AND n.shard = left(f.h, f.depth)
 """
 
+JACCARD_JOIN = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i : i + 3], ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 1) + 1)) AS i FROM w WHERE len(words) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS s FROM g a JOIN g b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM shared JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * s >= 85 * (a.n + b.n - s)
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents
+  UNION
+  SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) c ON c.x = d.doc_id
+"""
+
+
+def _crc_table() -> list[int]:
+    """The table of the checksum CRC-32, from its polynomial."""
+    table = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    return table
+
+
+#: Letters of the runs take one or two bytes in UTF-8; words are near if one has the other's pattern with a letter left out.
+SPELLINGS = r"""
+WITH runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run
+    FROM documents) GROUP BY ALL
+), bytes AS (
+  SELECT *, flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda c:
+    CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, unicode(c)::BIGINT - 64] END)) AS b FROM runs
+), hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(b, lambda c, x: xor(CRC_TABLE[(xor(c, x) & 255) + 1], c >> 8), 4294967295::BIGINT)) AS h FROM bytes
+), made AS (
+  SELECT n, CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run) + 2)::BIGINT) ELSE run END AS word FROM hashed
+), words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM made GROUP BY word HAVING sum(n) >= 3 AND length(word) >= 5
+), cuts AS (
+  SELECT word, n, i, left(word, i) || substr(word, i + 2) AS cut FROM (SELECT *, unnest(range(length(word))) AS i FROM words)
+), near AS (
+  SELECT a.word AS a, b.word AS b, b.n AS m FROM cuts a JOIN cuts b ON a.cut = b.cut AND a.i = b.i AND length(a.word) = length(b.word) AND a.word <> b.word
+  UNION SELECT c.word, w.word, w.n FROM cuts c JOIN words w ON c.cut = w.word
+  UNION SELECT w.word, c.word, c.n FROM cuts c JOIN words w ON c.cut = w.word
+), best AS (
+  SELECT a, count(*) AS n_near, max(m) AS top FROM near GROUP BY a
+), forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN top >= 2 * w.n THEN top END AS form_n,
+         CASE WHEN top >= 2 * w.n THEN (SELECT min(b) FROM near WHERE near.a = w.word AND near.m = best.top) END AS form
+  FROM words w LEFT JOIN best ON best.a = w.word
+), paths AS (
+  SELECT word, word AS root FROM forms
+  UNION ALL SELECT p.word, f.form FROM paths p JOIN forms f ON f.word = p.root WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, p.root, f.n, f.n_near, f.form_n
+FROM forms f JOIN (SELECT word, arg_min(root, n) AS root FROM (SELECT p.word, p.root, -f.n AS n FROM paths p JOIN forms f ON f.word = p.root) GROUP BY word) p USING (word)
+""".replace("WITH runs", "WITH RECURSIVE runs").replace("CRC_TABLE", str(_crc_table()))
+
 ORACLES = {
     "op2_url_filters": URL_FILTERS,
     "op8_mixing": MIXING,
     "op9_top_k": TOP_K,
     "op10_sharding": SHARDING,
+    "op11_jaccard_join": JACCARD_JOIN,
+    "op12_spellings": SPELLINGS,
 }

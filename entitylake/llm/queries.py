@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entitylake.llm import common, mixing, packing, quality, sharding, simhash, suffix_dedup, token_counts, token_output, top_k, url_filters
+from entitylake.llm import (
+    common, mixing, packing, prefix_join, quality, sharding, simhash, spellings, suffix_dedup, token_counts, token_output, top_k,
+    url_filters,
+)
 
 #: Host, path and verdict of each rule.
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -61,6 +64,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("row.doc_id", "n_bytes", "shard", "depth", "shard_bytes", "oversized")
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_join.components_of(common.table(spark, sf_dir, "documents"))
+
+
+def op12_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spellings.group_spellings(common.table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_url_filters": op2_url_filters,
@@ -72,4 +83,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_top_k": op9_top_k,
     "op10_sharding": op10_sharding,
+    "op11_jaccard_join": op11_jaccard_join,
+    "op12_spellings": op12_spellings,
 }
