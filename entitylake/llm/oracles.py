@@ -160,6 +160,26 @@ SELECT f.word, f.form, p.root, f.n, f.n_near, f.form_n
 FROM forms f JOIN (SELECT word, arg_min(root, n) AS root FROM (SELECT p.word, p.root, -f.n AS n FROM paths p JOIN forms f ON f.word = p.root) GROUP BY word) p USING (word)
 """.replace("WITH runs", "WITH RECURSIVE runs").replace("CRC_TABLE", str(_crc_table()))
 
+HARD_NEGATIVES = r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.x, c.x)::BIGINT AS score
+  FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id,
+       row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY n.score DESC, n.vec_id)::INT AS rank,
+       n.vec_id AS negative_id, positive_score, n.score AS negative_score
+FROM positives p JOIN scored n USING (anchor_id)
+WHERE NOT n.same AND 30 * positive_score <= 100 * n.score AND 100 * n.score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
 ORACLES = {
     "op2_url_filters": URL_FILTERS,
     "op8_mixing": MIXING,
@@ -167,4 +187,5 @@ ORACLES = {
     "op10_sharding": SHARDING,
     "op11_jaccard_join": JACCARD_JOIN,
     "op12_spellings": SPELLINGS,
+    "op13_hard_negatives": HARD_NEGATIVES,
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from entitylake.llm import (
-    common, mixing, packing, prefix_join, quality, sharding, simhash, spellings, suffix_dedup, token_counts, token_output, top_k,
+    common, mixing, negatives, packing, prefix_join, quality, sharding, simhash, spellings, suffix_dedup, token_counts, token_output, top_k,
     url_filters,
 )
 
@@ -72,6 +72,12 @@ def op12_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spellings.group_spellings(common.table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The contract's own noise: every seventh label moves on by one.
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_url_filters": op2_url_filters,
@@ -85,4 +91,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
     "op11_jaccard_join": op11_jaccard_join,
     "op12_spellings": op12_spellings,
+    "op13_hard_negatives": op13_hard_negatives,
 }
