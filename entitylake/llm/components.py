@@ -27,7 +27,8 @@ def labels(edges: DataFrame, left: str, right: str) -> DataFrame:
     """node, component: for every node of an edge but the least of its component, that least node."""
     ends = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).filter("a <> b")
     now = ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now = common.stored(now, "edges")
+    held = common.Scratch(edges.sparkSession)
+    now = held.stored(now, "edges")
     state = None
     while True:
         # A step that changes nothing leaves stars, each around its component's least node.
@@ -35,4 +36,6 @@ def labels(edges: DataFrame, left: str, right: str) -> DataFrame:
         if seen == state or not seen[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         state = seen
-        now = common.stored(_small(_large(now)), "edges")
+        before, held = held, common.Scratch(edges.sparkSession)
+        now = held.stored(_small(_large(now)), "edges")
+        before.clear()

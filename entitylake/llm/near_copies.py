@@ -1,139 +1,44 @@
-"""Near copies by shingle similarity: MinHash bands give candidates, exact similarity decides.
+"""Near copies by SimHash, confirmed by shingle similarity and completed to all pairs of that similarity.
 
-The similarity of two texts is that of their sets of shingles (Jaccard), runs of five words unless asked otherwise;
-words are those of ``simhash``. Texts with the same words are one node. A node is in ``BANDS`` buckets, each the
-digest of ``ROWS`` least numbers; two nodes of similarity 0.8 share a bucket with odds of 0.998, and every pair that
-is linked was compared shingle by shingle, so unlike texts are never linked. First each node of a bucket is compared
-with the bucket's least node. Then the nodes of a bucket that are still in different components are compared with
-each other, so no pair that shares a bucket is left out; only pairs that are in one component already are.
-
-A bucket's nodes are rows, joined in parts that adaptive execution splits. A bucket of many nodes that are not near
-each other costs the square of its size in the second step.
+The similarity of two texts is that of their sets of shingles (Jaccard): runs of five words and 80 hundredths unless
+asked otherwise; words are those of ``simhash``. SimHash fingerprints and their trie join (``simhash``) give the
+first candidates: texts whose fingerprints differ in few bits. A budget of four bits finds hardly any pair below a
+similarity of 0.95, and bits alone may tie unlike texts, so candidates are confirmed by whole sets, and the grouped
+prefix join (``prefix_join``) goes on from the components that are found: it looks at every pair that may be similar and is still apart.
+The result is exact: two texts are tied if and only if links of that similarity lead from one to the other.
 
 Defined cases: a null text has no words; texts without words are copies of each other. Fewer words than a shingle
-form one shingle. Repeated and null ids are documents each.
+form one shingle. Repeated and null ids are documents each; of equal rows one stays. Very long texts are read whole.
+An empty table gives no rows. Other columns go along, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from entitylake.llm import common, components
-
-SEED = 42
-BANDS, ROWS = 16, 5
-AT_ONCE = 1 << 12
-
-
-def node(text: str) -> int:
-    """The digest of a text's words."""
-    from xxhash import xxh64_digest
-
-    return int.from_bytes(xxh64_digest(b" ".join(text.encode().lower().split()), SEED), "big", signed=True)
-
-
-def shingles(text: str, shingle: int = 5) -> np.ndarray:
-    """The hashes of a text's different shingles, sorted."""
-    from xxhash import xxh64_digest
-
-    words = text.encode().lower().split()
-    grams = [b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))] if words else []
-    return np.unique(np.frombuffer(b"".join([xxh64_digest(g, SEED) for g in grams]), np.uint64))
-
-
-def bands(hashes: np.ndarray) -> list[int]:
-    """The digests of a text's bands."""
-    from xxhash import xxh64_digest
-
-    random = np.random.default_rng(SEED)
-    factor, plus = random.integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
-    factor = factor * np.uint64(2) + np.uint64(1)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-    for at in range(0, len(hashes), AT_ONCE):
-        least = np.minimum(least, (hashes[at : at + AT_ONCE, None] * factor + plus).min(axis=0))
-    rows = least.reshape(BANDS, ROWS)
-    return [int.from_bytes(xxh64_digest(r.tobytes(), i), "big", signed=True) for i, r in enumerate(rows)]
-
-
-def _documents(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """Per document its id, the digest of its text, and its node."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = pa.array([node(t.as_py()) for t in batch.column("text")], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), found], ["id", "digest", "node"])
-
-    rows = docs.select(*common.row_key(id_column, text_column), common.whole_text(text_column).alias("text"))
-    return rows.mapInArrow(of, "id long, digest long, node long")
-
-
-def _buckets(docs: DataFrame, text_column: str, shingle: int) -> DataFrame:
-    """key, node and n (different shingles) for each node and band. Nodes without words are in none."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text in batch.column("text").to_pylist():
-                if len(hashes := shingles(text, shingle)):
-                    out.append((node(text), len(hashes), *bands(hashes)))
-            columns = list(zip(*out, strict=True)) or [()] * (2 + BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
-
-    names = ["node", "n", *(f"b{i}" for i in range(BANDS))]
-    signed = docs.select(common.whole_text(text_column).alias("text")).mapInArrow(of, ", ".join(f"{c} long" for c in names))
-    nodes = signed.groupBy("node").agg(*[F.min(c).alias(c) for c in names[1:]])
-    return nodes.select(F.explode(F.array(*names[2:])).alias("key"), "node", "n")
-
-
-def _similar(pairs: DataFrame, docs: DataFrame, made: DataFrame, text_column: str, shingle: int, tenths: int) -> DataFrame:
-    """The pairs a, b whose texts are similar, by comparing all of their shingles."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
-        for batch in batches:
-            keep = []
-            for a, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "text_a", "text_b")), strict=True):
-                if last[0] != a:
-                    last = (a, shingles(x, shingle))
-                s, t = last[1], shingles(y, shingle)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(10 * both >= tenths * (len(s) + len(t) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = made.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("digest").alias("digest"))
-    rows = docs.select(F.xxhash64(common.whole_text(text_column)).alias("digest"), common.whole_text(text_column).alias("text"))
-    texts = rows.join(wanted, "digest").groupBy("node").agg(F.min("text").alias("text"))
-    met = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    met = met.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    return met.select("a", "b", "text_a", "text_b").mapInArrow(of, "a long, b long")
-
-
-def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5, tenths: int = 8) -> DataFrame:
-    """One document of each component of texts with similarity ``tenths`` / 10 or more; see ``common.one_per_part``."""
-    common.ship(docs.sparkSession)
-    made = common.stored(_documents(docs, id_column, text_column), "nodes")
-    buckets = _buckets(docs, text_column, shingle)
-    hubs = buckets.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("nodes")).filter("nodes > 1").select("key", "hub")
-    shared = common.stored(buckets.join(hubs, "key"), "shared-buckets")
-    # Sets whose sizes differ more than that can't be similar.
-    size = f"10 * least(x.n, y.n) >= {tenths} * greatest(x.n, y.n)"
-    first = shared.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    near = common.stored(_similar(first, docs, made, text_column, shingle, tenths), "near-pairs")
-    found = components.labels(near, "a", "b").withColumnRenamed("node", "of")
-    entries = shared.join(found, F.col("node") == F.col("of"), "left").select("key", "node", "n", F.coalesce("component", "node").alias("part"))
-    several = entries.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("key")
-    apart = entries.join(several, "key", "left_semi")
-    x, y = apart.alias("x"), apart.alias("y")
-    rest = x.join(y, F.expr(f"x.key = y.key and x.node < y.node and x.part <> y.part and {size}"))
-    rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    rest = common.stored(rest, "rest-pairs")
-    near = near.unionByName(_similar(rest, docs, made, text_column, shingle, tenths))
-    found = components.labels(near, "a", "b").withColumnRenamed("node", "of")
-    parts = made.join(found, F.col("node") == F.col("of"), "left").select("id", "digest", F.coalesce("component", "node").alias("part"))
+from entitylake.llm import common, components, prefix_join, simhash
+
+
+def _candidates(docs: DataFrame, made: DataFrame, id_column: str, text_column: str, shingle: int) -> DataFrame:
+    """Pairs a, b of nodes whose fingerprints are equal or tied by the trie join."""
+    prints = simhash.fingerprints(docs, id_column, text_column, shingle).select("digest", "fp").distinct()
+    nodes = made.filter("n > 0").groupBy("digest").agg(F.min("node").alias("node"))
+    prints = common.stored(prints.join(nodes, "digest").select("fp", "node").distinct(), "near-fingerprints")
+    first = common.stored(prints.groupBy("fp").agg(F.min("node").alias("node"), F.count("*").alias("n")), "near-fingerprint-nodes")
+    same = prints.join(first.select("fp", F.col("node").alias("first")), "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    tied = simhash.links(first.select("fp", "n"))
+    of = lambda c: first.select(F.col("fp").alias(c), F.col("node").alias(f"node_{c}"))
+    tied = tied.join(of("a"), "a").join(of("b"), "b").select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    return common.stored(same.unionByName(tied).filter("a <> b").distinct(), "near-candidates")
+
+
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each component of texts with that similarity or more; see ``common.one_per_part``."""
+    made = prefix_join.nodes_of(docs, shingle, percent, id_column, text_column)
+    known = _candidates(docs, made, id_column, text_column, shingle)
+    links = prefix_join.links(docs, made, shingle, percent, text_column, stars=1, known=known)
+    found = components.labels(links, "a", "b").withColumnRenamed("node", "of")
+    # Texts without words have no node and are one part.
+    parts = made.join(found, F.col("node") == F.col("of"), "left").select("id", "digest", F.coalesce("component", "node", F.lit(0)).alias("part"))
     return common.one_per_part(docs, parts, id_column, text_column)

@@ -4,7 +4,7 @@ All shingles have one order, rare ones first. Two sets of the wanted similarity
 the first n - ceil(n * percent / 100) + 1 shingles of each. Equal sets are one node, nodes of equal prefix and size
 one group, and a group is one entry in the list of every shingle of its prefix. Pairs of groups in a list are
 filtered by size, by what their places in the prefix leave possible, and by parity bitmaps; what passes is expanded
-to members, and every link is decided by the whole sets.
+to members, and every link is decided by the whole sets. Sets are made again for nodes with a partner that passes.
 
 Only components are asked for, so pairs inside one component are not looked at. First every list ties its members
 to one typical member (the fewest rarer shingles before the shared one), then to another one picked by hash. Then
@@ -12,7 +12,7 @@ all pairs of a list that are still in different components are looked at, so no
 Lists are rows of a join, which adaptive execution splits; no list meets in one task. A pair that the filters refuse
 is never a row. Many sets of one list that are just short of similar cost a comparison of bitmaps per pair.
 
-The order by rarity comes from a table of counts of fixed size (``shingle_sets``): any order gives the same links,
+The order by rarity comes from a table of counts of all shingles, of fixed size (``shingle_sets``): any order gives the same links,
 a better one gives shorter lists.
 
 Defined cases: null and empty texts and texts without words have the empty set, which is linked with nothing. Fewer
@@ -107,24 +107,34 @@ class _Join:
     """The tables of one join, and the links found so far."""
 
     def __init__(self, docs: DataFrame, made: DataFrame, shingle: int, percent: int, text_column: str, known: DataFrame | None):
-        self.percent = percent
+        self.percent, self.spark = percent, docs.sparkSession
+        lists_held, self.held = common.Scratch(self.spark), common.Scratch(self.spark)
         worded = made.filter("n > 0")
-        groups = common.stored(
-            worded.groupBy("gid").agg(F.min("n").alias("n"), F.first("prefix").alias("prefix"), F.min("node").alias("lo"), F.max("node").alias("hi")),
-            "shingle-groups",
-        )
+        groups = worded.groupBy("gid").agg(
+            F.min("n").cast("int").alias("n"), F.first("prefix").alias("prefix"), F.min("node").alias("lo"), F.max("node").alias("hi"),
+            *[F.min(w).alias(w) for w in BITMAP],
+        )
+        groups = lists_held.stored(groups, "shingle-groups")
         entries = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
         lists = entries.groupBy("token").agg(F.count("*").alias("groups")).filter("groups > 1").select("token")
-        self.entries = common.stored(entries.join(lists, "token").select("token", "gid", F.col("n").cast("int"), "pos"), "shingle-lists")
+        entries = lists_held.stored(entries.join(lists, "token").select("token", "gid", "n", "pos"), "shingle-lists")
+        # Only entries with a partner that passes all filters go on.
+        full = entries.join(groups.select("gid", (F.col("lo") < F.col("hi")).alias("several"), *BITMAP), "gid")
+        full = lists_held.stored(full, "shingle-bitmaps")
+        bits = f"(x.several or y.several or {_near_bits(percent)})"
+        partner = F.expr(f"x.token = y.token and x.gid <> y.gid and {_possible(percent)} and {_places(percent)} and {bits}")
+        self.entries = self.held.stored(full.alias("x").join(full.alias("y"), partner, "left_semi").select("token", "gid", "n", "pos"), "shingle-live")
         wanted = self.entries.select("gid").unionByName(groups.filter("lo < hi").select("gid")).distinct()
-        ends = known.select(F.explode(F.array("a", "b")).alias("node")).distinct() if known is not None else None
         members = worded.join(wanted, "gid", "left_semi").groupBy("gid", "node").agg(
-            F.min("n").cast("int").alias("n"), *[F.min(w).alias(w) for w in BITMAP]
+            F.min("n").cast("int").alias("n"), F.min("digest").alias("digest"), *[F.min(w).alias(w) for w in BITMAP]
         )
-        self.members = common.stored(members, "shingle-members")
-        nodes = self.members.select("node")
-        nodes = nodes if ends is None else nodes.unionByName(ends).distinct()
-        self.sets = common.stored(shingle_sets.sets_of(docs, common.whole_text(text_column), shingle, nodes), "shingle-sets")
+        self.members = self.held.stored(members, "shingle-members")
+        lists_held.clear()
+        nodes = self.members.select("node", "digest")
+        if known is not None:
+            ends = known.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            nodes = nodes.unionByName(worded.join(ends, "node", "left_semi").select("node", "digest"))
+        self.sets = self.held.stored(shingle_sets.sets_of(docs, common.whole_text(text_column), shingle, nodes), "shingle-sets")
         self.links = self.checked(known) if known is not None else None
 
     def checked(self, pairs: DataFrame) -> DataFrame:
@@ -132,11 +142,11 @@ class _Join:
 
     def _state(self) -> tuple[DataFrame, DataFrame]:
         """Members with their part, and groups with the least and greatest part of theirs."""
-        members = self.members.withColumn("part", F.col("node"))
+        members = self.members.drop("digest").withColumn("part", F.col("node"))
         if self.links is not None:
             found = components.labels(self.links, "a", "b").withColumnRenamed("node", "of")
             members = self.members.join(found, F.col("node") == F.col("of"), "left").withColumn("part", F.coalesce("component", "node"))
-            members = common.stored(members.drop("of", "component"), "shingle-parts")
+            members = self.held.stored(members.drop("of", "component", "digest"), "shingle-parts")
         groups = members.groupBy("gid").agg(
             F.min("n").alias("n"), F.count("*").alias("m"), F.min("node").alias("rep"), F.min("part").alias("low"),
             F.max("part").alias("high"), *[F.min(w).alias(w) for w in BITMAP],
@@ -171,6 +181,7 @@ class _Join:
         rest = rest.select(F.col("x.gid").alias("a"), F.col("y.gid").alias("b"))
         own = groups.filter("low <> high").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
         self._pass(rest.unionByName(own).distinct(), members, one=False)
+        self.held.clear()
         return self.links
 
 

@@ -1,8 +1,9 @@
 """Sets of word shingles as sorted 64-bit numbers, and tables of counts of fixed size.
 
-A word is hashed once per worker; the numbers of a text's shingles are then mixed from those of its words for the
-whole text at once. Equal shingles have equal numbers; two different ones share a number with odds of 2^-64, and
-sets are compared by these numbers.
+Words are hashed for a whole text at once, by differences of running sums of byte values times powers of an odd
+number, modulo 2^64; words of more than ``LONG`` bytes by XXH64. The numbers of shingles are mixed from those of
+their words. Equal shingles have equal numbers; two different ones share a number with odds of about 2^-64, and sets
+are compared by these numbers.
 """
 
 from __future__ import annotations
@@ -17,44 +18,69 @@ from pyspark.sql import functions as F
 from entitylake.llm import common
 
 SEED = 42
-#: Words that a worker remembers.
-KEPT_WORDS = 1 << 19
+#: Bytes of a text hashed at once, and of the longest word hashed with others.
+CHUNK, LONG = 1 << 17, 256
 #: A table of counts has 2^BITS numbers, whatever the input, and travels in blocks of 2^BLOCK_BITS.
 BITS, BLOCK_BITS = 20, 12
 
 
-class Words(dict):
-    """Hashes of words, filled as they come."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
 
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        found = self[word] = xxh64_intdigest(word, SEED)
-        return found
+def _powers(base: int) -> np.ndarray:
+    factors = np.full(CHUNK + 1, base, np.uint64)
+    factors[0] = 1
+    return np.multiply.accumulate(factors)
 
 
-_words = Words()
+_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+_BYTES, _FACTORS = (np.random.default_rng(seed).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for seed, n in ((SEED, 256), (SEED + 1, 64)))
+_BASE = 0x9E3779B97F4A7C15
+_POWER, _INVERSE = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
+def word_numbers(text: str) -> np.ndarray:
+    """One number per word; A-Z count as a-z."""
+    from xxhash import xxh64_intdigest
 
-def shingles(text: str, size: int) -> np.ndarray:
-    """The numbers of a text's different shingles, ascending. Fewer words than ``size`` are one shingle; none are none."""
-    words = text.encode().lower().split()  # of bytes: only A-Z change, and exactly the six separators split
-    if not words:
-        return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    data = text.encode().lower()  # of bytes: only A-Z change
+    values = np.frombuffer(data, np.uint8)
+    outside = np.concatenate([[True], _SPACE[values], [True]])
+    edges = np.flatnonzero(outside[1:] != outside[:-1])
+    start, end = edges[::2], edges[1::2]
+    out = np.empty(len(start), np.uint64)
+    at = 0
+    while at < len(start):
+        first = start[at]
+        to = max(at + 1, int(np.searchsorted(end, first + CHUNK, "right")))
+        part = values[first : min(end[to - 1], first + CHUNK)]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[part] * _POWER[: len(part)], dtype=np.uint64)])
+        i, j = (np.minimum(x[at:to] - first, len(part)) for x in (start, end))
+        out[at:to] = (sums[j] - sums[i]) * _INVERSE[i]
+        at = to
+    for k in np.flatnonzero(end - start > LONG):
+        out[k] = xxh64_intdigest(data[start[k] : end[k]], SEED)
+    return _mixed(out)
+
+
+def shingle_numbers(text: str, size: int) -> np.ndarray:
+    """The numbers of a text's shingles in order, repeats included. Fewer words than ``size`` are one shingle; none are none."""
+    words = word_numbers(text)
+    if not len(words):
+        return words
     run = min(size, len(words))
     made = np.full(len(words) - run + 1, run, np.uint64)
     for i in range(run):
-        made = _mixed(made * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + len(made)])
-    return np.unique(made)
+        made += words[i : i + len(made)] * (_FACTORS[i % 64] + np.uint64(2 * (i // 64)))
+    return _mixed(made)
+
+
+def shingles(text: str, size: int) -> np.ndarray:
+    """The numbers of a text's different shingles, ascending."""
+    return np.unique(shingle_numbers(text, size))
 
 
 def digest(numbers: np.ndarray, salt: int = 0) -> int:
@@ -103,10 +129,10 @@ def table_of(rows: DataFrame) -> np.ndarray:
 
 
 def frequencies(docs: DataFrame, text: Column, size: int) -> np.ndarray:
-    """By bucket of shingles: in how many documents, over all documents."""
+    """By bucket of shingles: how often, over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from counted(np.concatenate([shingles(t.as_py(), size) for t in b.column("text")] or [np.empty(0, np.uint64)]) for b in batches)
+        yield from counted(np.concatenate([shingle_numbers(t.as_py(), size) for t in b.column("text")] or [np.empty(0, np.uint64)]) for b in batches)
 
     return table_of(docs.select(text.alias("text")).mapInArrow(count, COUNTED))
 
@@ -121,21 +147,25 @@ def present(numbers: DataFrame) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, text: Column, size: int, nodes: DataFrame) -> DataFrame:
-    """node and its set (little-endian numbers) for the given nodes. A table of fixed size keeps most others from the shuffle."""
-    wanted = present(nodes.select("node"))
+    """node and its set (little-endian numbers) for the given nodes (node, digest), digest being that of one text with that set.
+
+    A table of fixed size keeps most other texts from being looked at; the join by node decides.
+    """
+    nodes = nodes.groupBy("node").agg(F.min("digest").alias("digest"))
+    wanted = present(nodes.select("digest"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[int, bytes] = {}
-            for t in batch.column("text"):
-                numbers = shingles(t.as_py(), size)
-                node = digest(numbers)
-                if len(numbers) and wanted[node & ((1 << BITS) - 1)]:
-                    found[node] = numbers.tobytes()
+            there = np.flatnonzero(wanted[bucket(batch.column("digest").to_numpy().view(np.uint64))])
+            for i in there.tolist():
+                numbers = shingles(batch.column("text")[i].as_py(), size)
+                if len(numbers):
+                    found[digest(numbers)] = numbers.tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["node", "numbers"])
 
-    made = docs.select(text.alias("text")).mapInArrow(of, "node long, numbers binary")
-    return made.join(nodes.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("numbers").alias("numbers"))
+    made = docs.select(F.xxhash64(text).alias("digest"), text.alias("text")).mapInArrow(of, "node long, numbers binary")
+    return made.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("numbers").alias("numbers"))
 
 
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -6,7 +6,8 @@ import pytest
 
 import corpus_pipeline
 from entitylake.llm import common
-from test_dedup import removed, slow_components, slow_fingerprint
+from test_dedup import removed
+from test_joins import slow_similar
 from test_rows import slow_stats
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -38,8 +39,8 @@ def test_rules(stages, spark):
 
 def test_near_duplicates(stages):
     before = sorted(stages[1], key=lambda r: r.doc_id)
-    label = slow_components([slow_fingerprint(r.text) for r in before], 4)
-    assert sorted(r.doc_id for r in stages[2]) == [r.doc_id for i, r in enumerate(before) if label[i] == i]
+    wanted = [key for key, _, component in slow_similar([(r.doc_id, r.text) for r in before], 5, 80) if component == key]
+    assert sorted(r.doc_id for r in stages[2]) == wanted and len(wanted) < len(before)
 
 
 def test_long_repeats(stages):
