@@ -11,11 +11,13 @@ are reached. The document at the border is replaced by the one left out whose si
 
 The ranking never meets in one task: sizes are summed by source and by one of ``buckets`` intervals of the random
 number (ranks of one source follow it), the interval with the border is found in those sums, and only its rows
-are ordered. Random numbers are digests of the id, so that reruns agree.
+are ordered. Random numbers are digests of the id and the text, so that reruns agree; every document of a source has
+the same inclusion odds, so within a source the order is that of the random number.
 
 Defined cases: a null text has size 0 and takes 0 words; documents without words get the certain copies of their
 source and no other. A source without words has rate 0. A null source is a source of its own, last in order.
-Rows that agree in id, source and size rank together and are taken together; null ids likewise. An empty table gives no rows. Columns of the input keep their names whatever they are.
+Rows that agree in id, source and text are one rank, of which as many rows are taken as fit; ids may repeat or be null.
+Very long texts are hashed and counted whole. An empty table gives no rows. Columns of the input keep their names.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from entitylake.llm import common
+from entitylake.session import scratch_dir
 
 SCALE = 1 << 60
 
@@ -75,24 +78,21 @@ def mix(
 ) -> DataFrame:
     """The input's columns as ``row``, with size, source_size, target and copies (whole copies that the mix takes)."""
     size = word_count(F.col(text_column)) if size is None else size
-    # MD5 of the id gives the random number; identical ids share it.
-    drawn = common.hash60(F.col(id_column)).alias("u")
-    rows = docs.select(
-        F.struct("*").alias("row"), F.col(source_column).alias("source"), F.coalesce(size, F.lit(0)).alias("size"), drawn
-    )
-    slim = docs.select(
-        F.col(id_column).cast("string").alias("id"), F.col(source_column).alias("source"),
-        F.coalesce(size, F.lit(0)).alias("size"), drawn,
-    )
+    # MD5 of the id and of the text gives the random number; only equal documents share it.
+    drawn = common.hash60(F.col(id_column), F.md5(common.whole_text(text_column)))
+    spark, bits = docs.sparkSession, 60 - (buckets - 1).bit_length()
+    slim = docs.select(F.col(id_column).cast("string").alias("id"), F.col(source_column).alias("source"), F.coalesce(size, F.lit(0)).alias("size"), drawn.alias("u"))
     # All that decides is narrow: one pass over the texts gives it, later passes read numbers.
-    slim = common.stored(slim.withColumn("bucket", F.shiftright("u", 60 - (buckets - 1).bit_length())), "mix")
+    slim = common.stored(slim.withColumn("bucket", F.shiftright("u", bits)), "mix")
     bands = slim.groupBy("source", "bucket").agg(F.sum("size").alias("size"))
     bands = common.stored(bands, "mix-bands")
     shares = targets(bands.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_copies)
+    inclusion = F.col("rate") - F.floor("rate")
     shares = shares.withColumns(
         {
             "certain": F.floor("rate"),
             "wanted": F.round(F.col("target") - F.floor("rate") * F.col("source_size")).cast("long"),
+            "inclusion_odds": inclusion / (F.lit(1.0) - inclusion),
         }
     )
     shares = common.stored(shares, "mix-shares")
@@ -101,40 +101,54 @@ def mix(
     border = (
         reached.withColumnRenamed("size", "band_size").join(shares.withColumnRenamed("source", "s"), F.expr("source <=> s"))
         .filter("wanted > before and wanted <= before + band_size")
-        .select("s", F.col("bucket").alias("border"), "before", "wanted", "certain", "source_size", "target")
+        .select("s", F.col("bucket").alias("border"), "before", "wanted", "inclusion_odds")
     )
-    # Order of the ranks inside the border band: random odds over inclusion odds, the latter equal in a source.
-    odds = F.col("u") / (F.lit(float(SCALE)) - F.col("u"))
-    ranked = Window.partitionBy("s").orderBy(odds, F.col("u"), "id", "size")
-    inside = slim.join(border, (F.expr("source <=> s")) & (F.col("bucket") == F.col("border")))
-    inside = inside.withColumn("sum", F.col("before") + F.sum("size").over(ranked))
-    # The last whole rank below what is wanted, and what is missing then.
-    cut = inside.filter("sum <= wanted").groupBy("s").agg(
-        F.max_by(F.struct("u", "id", "size"), F.struct("sum", "u", "id", "size")).alias("last"), F.max("sum").alias("sum")
-    )
-    cut = border.join(cut.withColumnRenamed("s", "s2"), F.expr("s <=> s2"), "left").select(
-        "s", "last", F.coalesce("sum", "before").alias("taken"), "wanted", "border"
-    )
-    cut = common.stored(cut, "mix-cut")
+    # A rank is random odds over inclusion odds. Equal documents are one rank with a number of rows, and can be split.
     key = F.struct("u", "id", "size")
-    within = (F.col("bucket") < F.col("border")) | ((F.col("bucket") == F.col("border")) & F.coalesce(key <= F.col("last"), F.lit(False)))
-    missing = F.col("wanted") - F.col("taken")
-    left_out = slim.join(cut, F.expr("source <=> s")).filter(~within & (F.col("size") > 0))
-    misfit = F.abs(missing - F.col("size"))
+    rank = F.col("u") / (F.lit(float(SCALE)) - F.col("u")) / F.col("inclusion_odds")
+    inside = slim.join(border, F.expr("source <=> s and bucket = border")).groupBy("s", "u", "id", "size", "before", "wanted", "inclusion_odds").agg(F.count("*").alias("n"))
+    ranked = Window.partitionBy("s").orderBy(rank, "u", "id")
+    inside = inside.withColumn("sum", F.col("before") + F.sum(F.col("n") * F.col("size")).over(ranked))
+    # The first rank that goes beyond what is wanted, how many of its rows are taken, and what is missing then.
+    over = inside.filter("sum > wanted").groupBy("s").agg(F.min_by(F.struct(key.alias("last"), "n", "sum", "wanted"), F.struct("u", "id")).alias("o"))
+    over = over.select("s", "o.*").withColumn("fit", F.floor((F.col("wanted") - F.col("sum") + F.col("n") * F.col("last.size")) / F.col("last.size")))
+    cut = border.select(F.col("s").alias("of"), "border").join(over, F.expr("of <=> s"), "left").select(
+        F.col("of").alias("s"), "border", "last", "n", "fit",
+        F.when(F.col("last").isNotNull(), F.col("wanted") - F.col("sum") + (F.col("n") - F.col("fit")) * F.col("last.size")).otherwise(0).alias("missing"),
+    )
+    cut = common.stored(cut, "mix-cut")
+    # Whole ranks below the one at the border; where no rank goes beyond, the border band is taken whole.
+    below = (F.col("bucket") < F.col("border")) | ((F.col("bucket") == F.col("border")) & F.coalesce(key < F.col("last"), F.lit(True)))
+    misfit = F.abs(F.col("missing") - F.col("size"))
     filler = (
-        left_out.filter(misfit < missing).groupBy("s").agg(F.min_by(key, F.struct(misfit, key)).alias("filler"))
-        .withColumnRenamed("s", "s3")
+        slim.join(cut, F.expr("source <=> s")).filter(~below & (F.col("size") > 0) & (misfit < F.col("missing")))
+        .groupBy("s").agg(F.min_by(key, F.struct(misfit, key)).alias("filler"))
     )
-    plan = shares.join(cut.select("s", "last", "border"), F.expr("source <=> s"), "left")
-    plan = plan.join(filler, F.expr("source <=> s3"), "left").withColumnRenamed("source", "of")
-    bucket = F.shiftright("u", 60 - (buckets - 1).bit_length())
-    rank = F.struct("u", F.col(f"row.{id_column}").cast("string").alias("id"), "size")
-    chosen = (
-        (bucket < F.col("border"))
-        | ((bucket == F.col("border")) & F.coalesce(rank <= F.col("last"), F.lit(False)))
-        | F.coalesce(rank == F.col("filler"), F.lit(False))
-    )
-    extra = F.when(F.coalesce(chosen, F.lit(False)) & (F.col("size") > 0), 1).otherwise(0)
+    # Ranks of which some rows are taken: at most two for each source.
+    parts = cut.filter("last is not null").select("s", F.col("last").alias("key"), F.col("fit").alias("take"))
+    parts = parts.unionByName(filler.select("s", F.col("filler").alias("key"), F.lit(1).cast("long").alias("take")))
+    parts = common.stored(parts.groupBy("s", "key").agg(F.sum("take").alias("take")), "mix-parts")
+    plan = shares.select(F.col("source").alias("of"), "source_size", "target", "certain")
+    plan = plan.join(cut.select("s", "border", "last"), F.expr("of <=> s"), "left").drop("s")
+    split = parts.groupBy("s").agg(F.collect_list(F.struct("key", "take")).alias("split"))  # two at most
+    plan = plan.join(split, F.expr("of <=> s"), "left").drop("s")
     # One row per source: written, so that its measured size decides how it is joined.
-    joined = rows.join(common.stored(plan, "mix-plan"), F.expr("source <=> of"))
-    return joined.select("row", "size", "source_size", "target", (F.col("certain") + extra).cast("long").alias("copies"))
+    plan = common.stored(plan, "mix-plan")
+    rows = docs.select(F.struct("*").alias("row"), F.col(source_column).alias("source"), F.coalesce(size, F.lit(0)).alias("size"), drawn.alias("u"))
+    joined = rows.join(plan, F.expr("source <=> of")).withColumn("bucket", F.shiftright("u", bits))
+    own = F.struct("u", F.col(f"row.{id_column}").cast("string").alias("id"), "size")
+    joined = joined.withColumn("take", F.get(F.filter("split", lambda p: p["key"].eqNullSafe(own)), 0)["take"])
+    whole = F.coalesce((F.col("bucket") < F.col("border")) | ((F.col("bucket") == F.col("border")) & F.coalesce(own < F.col("last"), F.lit(True))), F.lit(False))
+    kept = ["row", "size", "source_size", "target"]
+    copies = lambda more: (F.col("certain") + F.when((F.col("size") > 0) & more, 1).otherwise(0)).cast("long").alias("copies")
+    alone = joined.filter("take is null").select(*kept, copies(whole))
+    # Rows of a split rank are written, a folder for each, and numbered by file and place: equal documents never meet in a task.
+    tied = joined.filter("take is not null").select(*kept, "certain", "take", F.xxhash64("source", "u", "row." + id_column).alias("rank"))
+    path = scratch_dir(spark, "mix-tied")
+    tied.write.partitionBy("rank").parquet(path)
+    tied = spark.read.schema(tied.schema).parquet(path).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+    ahead = Window.partitionBy("rank").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    files = tied.groupBy("rank", "file").agg(F.count("*").alias("rows")).withColumn("ahead", F.coalesce(F.sum("rows").over(ahead), F.lit(0)))
+    files = files.select(F.col("file").alias("in"), "ahead")
+    tied = tied.join(files, F.col("file") == F.col("in")).select(*kept, copies(F.col("ahead") + F.col("place") < F.col("take")))
+    return alone.unionByName(tied)

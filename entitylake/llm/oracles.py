@@ -23,7 +23,7 @@ MIXING = r"""
 WITH d AS (
   SELECT doc_id, source, doc_id::VARCHAR AS id,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS u
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || '|' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS u
   FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, 3 * sum(size)::BIGINT AS cap,
@@ -46,19 +46,18 @@ WITH d AS (
   SELECT *, round(target - certain * source_size)::BIGINT AS wanted FROM rates
 ), ranked AS (
   SELECT d.*, w.source_size, w.target, w.certain, w.wanted,
-         sum(size) OVER (PARTITION BY d.source ORDER BY u, d.id, size RANGE UNBOUNDED PRECEDING) AS upto
+         row_number() OVER (PARTITION BY d.source ORDER BY u, d.id, size) AS place,
+         sum(size) OVER (PARTITION BY d.source ORDER BY u, d.id, size ROWS UNBOUNDED PRECEDING) AS upto
   FROM d JOIN wanted w ON d.source IS NOT DISTINCT FROM w.source
 ), cut AS (
-  SELECT source, coalesce(max(upto) FILTER (WHERE upto <= wanted), 0) AS taken FROM ranked GROUP BY source
+  SELECT source AS cs, coalesce(max(upto) FILTER (WHERE upto <= wanted), 0) AS taken FROM ranked GROUP BY source
 ), filler AS (
-  SELECT source AS fs, arg_min(u, (abs(wanted - taken - size), u, id, size)) AS fu,
-         arg_min(id, (abs(wanted - taken - size), u, id, size)) AS fi,
-         arg_min(size, (abs(wanted - taken - size), u, id, size)) AS fz
-  FROM ranked r JOIN cut c USING (source)
+  SELECT source AS fs, arg_min(place, (abs(wanted - taken - size), u, id, size, place)) AS fp
+  FROM ranked r JOIN cut c ON r.source IS NOT DISTINCT FROM c.cs
   WHERE upto > wanted AND size > 0 AND abs(wanted - taken - size) < wanted - taken GROUP BY source
 )
 SELECT doc_id, size, source_size::BIGINT AS source_size, target,
-       (size * (certain + CASE WHEN wanted > 0 AND size > 0 AND (upto <= wanted OR coalesce((u, id, size) = (fu, fi, fz), false))
+       (size * (certain + CASE WHEN wanted > 0 AND size > 0 AND (upto <= wanted OR coalesce(place = fp, false))
                                THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM ranked LEFT JOIN filler ON source IS NOT DISTINCT FROM fs
 """

@@ -115,6 +115,18 @@ def mixed(df):
     return [(x.doc_id, x.source, x.size, x.source_size, x.target, x.copies) for x in df.select("row.doc_id", "row.source", "size", "source_size", "target", "copies").collect()]
 
 
+@pytest.mark.parametrize("key", [None, 7])
+def test_mixing_splits_equal_documents(documents, key):
+    """Equal rows are taken one by one, so a source of them comes within a document of its target."""
+    rows = [(key, "one two three four five six seven eight nine ten", "a") for _ in range(500)]
+    rows += [(i, "w " * 10, "b") for i in range(1000, 1500)]
+    out = mixing.mix(documents(rows, parts=7)).collect()
+    for source in "ab":
+        own = [r for r in out if r["row"]["source"] == source]
+        assert len(own) == 500 and abs(sum(r["size"] * r["copies"] for r in own) - own[0]["target"]) <= 10
+        assert {r["copies"] for r in own} <= {0, 1, 2}
+
+
 def test_mixing(documents):
     r = random.Random(4)
     sources = ["b", "a", "é", "Z", None, "tiny", "hot"]
