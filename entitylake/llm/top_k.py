@@ -1,20 +1,21 @@
 """Exact top-k search by inner product: no-random-access aggregation over blocks.
 
-Every dimension is a list of candidates sorted by their share of the score, read from the end that the query's
-sign prefers. Lists are read in steps, all to the same depth. After a step, a candidate's lower bound takes each
-value not yet read at the list's other end, its upper bound takes it at the reading frontier. A query is settled
-when few enough candidates have an upper bound of at least the k-th lower bound; only theirs are resolved to
-final scores. Otherwise reading goes on, to the end of the lists if need be, where both bounds are the score.
+Every dimension is a list of the candidates' shares of the score. The ends of a list, its least and greatest value,
+bound what a candidate can still get from it. A query reads its lists one after another, the ones that weigh most
+first, each to its end, and keeps a running sum per candidate. What the unread lists can add at least and at most
+gives every candidate's lower and upper score bound. Candidates whose upper bound is below the k-th lower bound are
+dropped after every few lists, and reading stops as soon as hardly more than k are left: outsiders can't qualify any
+more. Only for these the other lists are looked up, which resolves their final scores.
 
 A stated set of queries meets all candidates in blocks: candidates and queries are dealt by a hash of their id
 to blocks of bounded size, and each pair of blocks is one task that returns k rows per query at most. The rows
 of a query are then merged by rank.
 
-Components are integers and all scores exact: 64-bit floats while no sum can pass 2^53, Python integers beyond.
+Components are integers and all scores exact: 64-bit floats while no sum can pass 2^53, Python's integers beyond.
 Defined cases: a vector that is null or holds a null or non-finite component takes no part; an empty vector
 scores 0; of two lengths the shorter one is filled with zeros. Ties go to the smaller id. Rows with a null id
 take no part; repeated ids are candidates each, and none is a candidate of its own id. An empty table gives no
-rows. Other columns are not read.
+rows. Very long vectors are read whole, a block of them at a time. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,9 +29,8 @@ from pyspark.sql import functions as F
 
 from entitylake.llm import common
 
-#: Parts of the lists' length at which bounds are looked at.
-DEPTHS = (0.25, 0.5)
-TILE = 128
+#: Lists read between two looks at the bounds, and the part of the lists before the first look.
+STEP, FIRST = 4, 0.75
 
 
 def integer_components(embedding: Column, scale: int = 64) -> Column:
@@ -50,68 +50,46 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return out
 
 
-class SortedLists:
-    """A block of candidates, sorted by every dimension."""
+class Lists:
+    """A block of candidates by dimension, with the ends of every list."""
 
-    def __init__(self, vectors: np.ndarray, ids: np.ndarray):
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, reach: int):
         by_id = np.argsort(ids, kind="stable")
-        self.ids, self.x = ids[by_id], vectors[by_id]
-        self.n = len(ids)
-        order = np.argsort(self.x, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(self.x, order, axis=0)
-        self.rank = np.empty(order.shape, np.int32)
-        np.put_along_axis(self.rank, order, np.arange(self.n, dtype=np.int32)[:, None], axis=0)
-
-    def bounds(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Candidates as rows of what a query's positive and negative parts are multiplied with."""
-        high, low = self.rank >= self.n - depth, self.rank < depth
-        least = np.hstack([np.where(high, self.x, self.sorted[0]), np.where(low, self.x, self.sorted[-1])])
-        most = [np.where(high, self.x, self.sorted[self.n - depth]), np.where(low, self.x, self.sorted[depth - 1])]
-        return least, np.hstack(most)
-
-
-def aggregate(lists: SortedLists, queries: np.ndarray, query_ids: np.ndarray, k: int) -> list[np.ndarray]:
-    """Per query the candidates with its k highest scores, best first, as indexes, then their scores."""
-    found: dict[int, np.ndarray] = {}
-    reach = int(np.abs(queries).max(initial=0)) * int(np.abs(lists.x).max(initial=0)) * max(1, lists.x.shape[1])
-    kind = np.float64 if reach < 1 << 53 else object
-    sides = np.hstack([np.maximum(queries, 0), np.minimum(queries, 0)]).astype(kind)
-    x = lists.x.astype(kind)
-
-    def settle(q: int, alive: np.ndarray) -> None:
-        scores = x[alive] @ queries[q].astype(kind)
-        best = np.lexsort((alive, -scores))[:k] if kind is np.float64 else sorted(range(len(alive)), key=lambda i: (-scores[i], i))[:k]
-        found[q] = np.stack([alive[best].astype(kind), scores[best]])
-
-    waiting = np.arange(len(queries))
-    for depth in sorted({max(1, math.ceil(lists.n * d)) for d in DEPTHS} - {lists.n}):
-        if kind is object:
+        self.ids, self.n = ids[by_id], len(ids)
+        #: Floats are exact while no sum can pass 2^53; beyond, Python's integers are.
+        most = reach * int(np.abs(vectors).max(initial=0)) * max(1, vectors.shape[1])
+        self.kind = np.float64 if most < 1 << 53 else object
+        self.values = np.ascontiguousarray(vectors[by_id].T).astype(self.kind)
+        self.least, self.greatest = self.values.min(axis=1), self.values.max(axis=1)
+
+
+def aggregate(lists: Lists, query: np.ndarray, query_id: int, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Places of a query's k best candidates, best first, their scores, and how many lists were read for all that were left."""
+    weight = query.astype(lists.kind)
+    order = np.argsort(-np.abs(query), kind="stable")
+    ends = np.stack([weight * lists.least, weight * lists.greatest])[:, order]
+    # What lists from a place on can add, at least and at most.
+    none = np.zeros(1, lists.kind)
+    low, high = (np.concatenate([np.cumsum(e[::-1])[::-1], none]) for e in (ends.min(axis=0), ends.max(axis=0)))
+    alive = np.flatnonzero(lists.ids != query_id)
+    whole = len(alive) == lists.n
+    total = np.zeros(len(alive), lists.kind)
+    read, look = 0, max(1, math.ceil(FIRST * len(order)))
+    while read < len(order) and len(alive) > k:
+        for d in order[read:look]:
+            values = lists.values[d]
+            total += weight[d] * (values if whole else values[alive])
+        read, look = look, min(look + STEP, len(order))
+        kth = np.partition(total, len(total) - k)[len(total) - k] if lists.kind is np.float64 else sorted(total)[-k]
+        stay = np.flatnonzero(total + high[read] >= kth + low[read])
+        if len(stay) < len(alive):
+            alive, total, whole = alive[stay], total[stay], False
+        if len(alive) <= 2 * k:
             break
-        least, most = (b.astype(kind).T for b in lists.bounds(depth))
-        still = []
-        for tile in np.split(waiting, range(TILE, len(waiting), TILE)):
-            own = query_ids[tile][:, None] == lists.ids[None, :]
-            low, high = sides[tile] @ least, sides[tile] @ most
-            low[own] = -np.inf
-            high[own] = -np.inf
-            kth = np.partition(low, lists.n - k, axis=1)[:, lists.n - k, None] if lists.n > k else np.full((len(tile), 1), -np.inf)
-            alive = (high >= kth) & ~own
-            for i, q in enumerate(tile):
-                if alive[i].sum() <= max(4 * k, lists.n // 50):
-                    settle(q, np.flatnonzero(alive[i]))
-                else:
-                    still.append(q)
-        waiting = np.array(still, np.int64)
-    # Read to the end: both bounds are the score.
-    for tile in np.split(waiting, range(TILE, len(waiting), TILE)):
-        scores = queries[tile].astype(kind) @ x.T
-        for i, q in enumerate(tile):
-            others = np.flatnonzero(lists.ids != query_ids[q])
-            if kind is np.float64 and len(others) > k:
-                kth = np.partition(scores[i][others], len(others) - k)[len(others) - k]
-                others = others[scores[i][others] >= kth]
-            settle(q, others)
-    return [found[q] for q in range(len(queries))]
+    for d in order[read:]:
+        total = total + weight[d] * lists.values[d][alive]
+    best = np.lexsort((alive, -total))[:k] if lists.kind is np.float64 else np.array(sorted(range(len(alive)), key=lambda i: (-total[i], i))[:k], int)
+    return alive[best], total[best], read
 
 
 def search(
@@ -142,8 +120,9 @@ def search(
         ids, v = group.column("id").to_numpy(), _matrix(group.column("v"), max(1, width))
         out = {"query_id": [], "id": [], "score": []}
         if asks.any() and not asks.all():
-            lists = SortedLists(v[~asks], ids[~asks])
-            for q, (at, scores) in zip(ids[asks], aggregate(lists, v[asks], ids[asks], k), strict=True):
+            lists = Lists(v[~asks], ids[~asks], int(np.abs(v[asks]).max(initial=0)))
+            for q, query in zip(ids[asks], v[asks], strict=True):
+                at, scores, _ = aggregate(lists, query, q, k)
                 out["query_id"] += [int(q)] * len(at)
                 out["id"] += [int(lists.ids[int(i)]) for i in at]
                 out["score"] += [int(s) for s in scores]
