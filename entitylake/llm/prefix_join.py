@@ -7,7 +7,7 @@ filtered by size, by what their places in the prefix leave possible, and by pari
 to members, and every link is decided by the whole sets. Sets are made again for nodes with a partner that passes.
 
 Only components are asked for, so pairs inside one component are not looked at. First every list ties its members
-to one typical member (the fewest rarer shingles before the shared one), then to another one picked by hash. Then
+to its most typical member (by one order of all groups, so that a family has few hubs), then to another one picked by hash. Then
 all pairs of a list that are still in different components are looked at, so no link between components is missed.
 Lists are rows of a join, which adaptive execution splits; no list meets in one task. A pair that the filters refuse
 is never a row. Many sets of one list that are just short of similar cost a comparison of bitmaps per pair.
@@ -124,6 +124,9 @@ class _Join:
         bits = f"(x.several or y.several or {_near_bits(percent)})"
         partner = F.expr(f"x.token = y.token and x.gid <> y.gid and {_possible(percent)} and {_places(percent)} and {bits}")
         self.entries = self.held.stored(full.alias("x").join(full.alias("y"), partner, "left_semi").select("token", "gid", "n", "pos"), "shingle-live")
+        # How typical a group is: the share of its set's shingles that bring it to a live list. One order for all lists,
+        # so that the lists of a family mostly have the same hub.
+        self.typical = self.held.stored(self.entries.groupBy("gid").agg((F.count("*") / F.max("n")).alias("live")), "shingle-typical")
         wanted = self.entries.select("gid").unionByName(groups.filter("lo < hi").select("gid")).distinct()
         members = worded.join(wanted, "gid", "left_semi").groupBy("gid", "node").agg(
             F.min("n").cast("int").alias("n"), F.min("digest").alias("digest"), *[F.min(w).alias(w) for w in BITMAP]
@@ -167,8 +170,8 @@ class _Join:
         fits = f"{_possible(self.percent)} and {APART} and {_places(self.percent)} and {bits}"
         for turn in range(stars):
             members, groups = self._state()
-            entries = self.entries.join(groups.drop("n"), "gid")
-            rank = F.struct("pos", "gid") if turn == 0 else F.struct(F.xxhash64("gid", F.lit(turn)), "gid")
+            entries = self.entries.join(groups.drop("n").join(self.typical, "gid"), "gid")
+            rank = F.struct(-F.col("live"), "gid") if turn == 0 else F.struct(F.xxhash64("gid", F.lit(turn)), "gid")
             hubs = entries.groupBy("token").agg(F.min_by(F.struct(*[c for c in entries.columns if c != "token"]), rank).alias("hub"))
             hubs = hubs.select("token", "hub.*")
             star = hubs.alias("x").join(entries.alias("y"), F.expr(f"x.token = y.token and x.gid <> y.gid and {fits}"))
