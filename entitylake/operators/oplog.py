@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from entitylake.functions import variants as V
+from entitylake.session import scratch_dir
 
 LOG_SCHEMA = "timestamp timestamp, component string, level string, message string, details string"
 RETENTION_DAYS = 7  # Fixed value.
@@ -61,3 +62,29 @@ def retained(logs: DataFrame, before: datetime) -> DataFrame:
     if "log_date" in logs.columns:
         kept = kept.filter(F.col("log_date") >= F.lit(before.astimezone(timezone.utc).date()))
     return kept
+
+
+def drop_expired(spark: SparkSession, path: str, before: datetime) -> None:
+    """Remove entries older than the cutoff from a log that ``append_log`` wrote.
+
+    Whole days go with their folders. The day of the cutoff is written anew, from a copy, so that a failure on the
+    way loses no entry that stays; other days are not touched.
+    """
+    before = _utc(before).astimezone(timezone.utc)
+    day = before.date()
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    folders = {f.getPath().getName().removeprefix("log_date="): f.getPath() for f in files.listStatus(root) if f.getPath().getName().startswith("log_date=")}
+    if str(day) in folders and before.time() != datetime.min.time():
+        logs = spark.read.parquet(path).filter(F.col("log_date") == F.lit(day))
+        kept = logs.filter(F.col("timestamp") >= F.lit(before))
+        copy = scratch_dir(spark, "log-day")
+        kept.write.parquet(copy)
+        kept = spark.read.schema(kept.schema).parquet(copy)
+        if kept.isEmpty():
+            files.delete(folders[str(day)], True)
+        else:
+            kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("log_date").parquet(path)
+    for name, folder in folders.items():
+        if name < str(day):
+            files.delete(folder, True)

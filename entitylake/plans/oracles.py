@@ -336,6 +336,19 @@ SELECT o_orderkey AS id, o_orderstatus AS status, 'https://crm.example/deals/' |
 ORACLES["page_load_range"] = f"""
 SELECT o_orderkey AS id, {_seconds('o_orderdate')} AS updated_at FROM orders
 WHERE {_seconds('o_orderdate')} BETWEEN epoch(TIMESTAMP '1994-01-01') AND epoch(TIMESTAMP '1995-12-31')"""
+ORACLES["highwater_resume"] = f"""
+WITH d AS (SELECT o_orderkey AS id, o_orderstatus AS status, {_seconds('o_orderdate')} AS updated FROM orders),
+newest AS (SELECT max(updated) AS mark FROM d)
+SELECT id, CASE WHEN id % 7 = 0 THEN 'changed' ELSE status END AS status,
+       CASE WHEN id % 7 = 0 THEN mark + 1 + id ELSE updated END AS updated_at,
+       CASE WHEN id % 7 = 0 OR updated = mark THEN 2 ELSE 1 END::BIGINT AS loads FROM d, newest"""
+ORACLES["highwater_marks"] = f"""
+SELECT 'deals' AS entity, max({_seconds('o_orderdate')}) AS mark, 2::BIGINT AS loads FROM orders
+UNION ALL SELECT 'events', max({_seconds('ts')}), 2 FROM events"""
+ORACLES["logs_expired"] = f"""
+SELECT event_id, {_seconds('ts')} AS at, event_type AS component,
+       CASE WHEN event_type = 'error' THEN 'error' WHEN value > 50 THEN 'warning' ELSE 'info' END AS level
+FROM events WHERE ts >= TIMESTAMP '2024-01-24 12:00:00'"""
 ORACLES["stored_export"] = f"""
 SELECT CAST(id AS VARCHAR) AS id, regexp_replace(CAST(price AS VARCHAR), '\\.0$', '') AS price,
        CASE WHEN id % 7 <> 0 THEN CAST(updated_at AS VARCHAR) END AS updated_at, link_url,

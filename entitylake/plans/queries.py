@@ -19,7 +19,7 @@ from entitylake.plans.standins import table
 from entitylake.session import scratch_dir
 from entitylake.sources.history import History
 from entitylake.sources.landing import stream_webhooks
-from entitylake.streaming import loads
+from entitylake.streaming import highwater, loads
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -584,6 +584,51 @@ def load_traces(spark, sf_dir):
     return pages.union_batches([status, entries.select(F.col("component").alias("entity"), "message")])
 
 
+@query
+def highwater_resume(spark, sf_dir):
+    """Deals loaded twice, with every seventh one updated in between; how often each has been loaded."""
+    folder = scratch_dir(spark, "highwater")
+    orders = table(spark, sf_dir, "orders")
+    first = orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), S.epoch("o_orderdate").alias("updated_at"))
+    deals = History(spark, f"{folder}/table", order_by=("updated_at",))
+    marks = highwater.HighWater(spark, f"{folder}/marks")
+    highwater.load_changed(first, deals, marks, "leads")
+    newest = marks.of("leads")
+    changed = F.col("id") % 7 == 0
+    second = first.select(
+        "id",
+        F.when(changed, "changed").otherwise(F.col("status")).alias("status"),
+        F.when(changed, F.lit(newest) + 1 + F.col("id")).otherwise(F.col("updated_at")).alias("updated_at"),
+    )
+    second.write.parquet(f"{folder}/source")
+    highwater.load_changed(spark.read.parquet(f"{folder}/source"), deals, marks, "leads")
+    loaded = deals.changes().groupBy(F.col("id").alias("of")).agg(F.count("*").alias("loads"))
+    current = deals.current()
+    return current.join(loaded, F.col("id") == F.col("of")).select("id", "status", "updated_at", "loads")
+
+
+@query
+def highwater_marks(spark, sf_dir):
+    """Each entity's mark after two loads, the second of which finds nothing newer than the mark."""
+    folder = scratch_dir(spark, "marks")
+    marks = highwater.HighWater(spark, f"{folder}/marks")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), S.epoch("o_orderdate").alias("updated_at"))
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), S.epoch("ts").alias("updated_at"))
+    for entity, rows in (("leads", orders), ("events", events)):
+        for _ in range(2):
+            highwater.load_changed(rows, History(spark, f"{folder}/{entity}", order_by=("updated_at",)), marks, entity)
+    return marks.marks().select("entity", "mark", "loads")
+
+
+@query
+def logs_expired(spark, sf_dir):
+    """A stored log after its old days were dropped and the day of the cutoff rewritten."""
+    path = scratch_dir(spark, "log")
+    oplog.append_log(S.logs(spark, sf_dir), path)
+    oplog.drop_expired(spark, path, oplog.cutoff(datetime(2024, 1, 31, 12)))
+    return spark.read.parquet(path).select("event_id", F.unix_seconds("timestamp").alias("at"), "component", "level")
+
+
 @query
 def stored_export(spark, sf_dir):
     """Landed pages with custom fields, kept as whole documents, delivered as a wide table."""

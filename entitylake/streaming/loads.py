@@ -18,8 +18,8 @@ from entitylake.functions import variants as V
 from entitylake.operators.filters import updated_range
 from entitylake.operators.oplog import append_log
 from entitylake.operators.pages import PAGE_SIZE, explode_envelopes
-from entitylake.operators.progress import append_progress
-from entitylake.sources.history import History
+from entitylake.operators.progress import PROGRESS_SCHEMA, append_progress
+from entitylake.sources.history import ARRIVED, History, exists
 from entitylake.sources.landing import quarantined, stream_pages
 from entitylake.specs import DELETE_VERB, ENTITIES, EVENT_VERBS, canonical_name
 
@@ -75,19 +75,23 @@ def load_pages(
 
 
 def record_load(table: History, entity: str, progress_path: str, log_path: str, page_size: int = PAGE_SIZE) -> None:
-    """Leave the load's traces: a progress event and a log entry per page that has arrived.
+    """Leave the load's traces: a progress event and a log entry per page that has arrived since the last call.
 
-    A page with fewer documents than a full one completes the entity. The events of one call share a time and
-    are ordered by page.
+    A page with fewer documents than a full one completes the entity. Events carry the time at which their page
+    arrived, so a call after a reset, with nothing new, doesn't undo it; events of one time are ordered by page.
     """
-    sizes = table.changes().groupBy("page").agg(F.count("*").alias("n"))
+    sizes = table.changes().groupBy("page").agg(F.count("*").alias("n"), F.max(ARRIVED).alias("arrived"))
     name = F.lit(canonical_name(entity))
+    if exists(table.spark, progress_path):
+        told = table.spark.read.schema(PROGRESS_SCHEMA).parquet(progress_path).filter((F.col("entity") == name) & (F.col("kind") == "progress"))
+        if (last := told.agg(F.max("ts").alias("ts")).first()["ts"]) is not None:
+            sizes = sizes.filter(F.col("arrived") > F.lit(last))
     events = sizes.select(
         name.alias("entity"),
         F.lit("progress").alias("kind"),
         F.col("page").cast("int").alias("page"),
         (F.col("n") < page_size).alias("completed"),
-        F.current_timestamp().alias("ts"),
+        F.col("arrived").alias("ts"),
         F.col("page").cast("bigint").alias("seq"),
     )
     append_progress(events, progress_path)
