@@ -11,7 +11,7 @@ from entitylake.functions.custom_fields import has_values
 from entitylake.operators.fields import fields_long
 from entitylake.operators.layouts import base_columns
 from entitylake.operators.progress import entity_names
-from entitylake.specs import LINK_URL, LINKS, canonical
+from entitylake.specs import CUSTOM_FIELDS, LINK_URL, LINKS, canonical
 
 
 def entity_counts(frames: dict[str, DataFrame], with_logs: bool = False) -> DataFrame:
@@ -29,6 +29,8 @@ def field_profile(df: DataFrame, entity: str) -> DataFrame:
     """(entity, columns, custom_columns, fields): what a workbook of the frame would hold."""
     base = base_columns(df)
     fixed = len(base) + (LINKS in df.columns and LINK_URL not in base)
+    if CUSTOM_FIELDS not in df.columns:
+        df = df.withColumn(CUSTOM_FIELDS, F.lit(None).cast("string"))
     long = fields_long(df, ["id"]).filter(has_values(F.col("field_values")))
     distinct = long.groupBy("field_id", "field_name").agg(F.count("*").alias("n"))
     return distinct.agg(F.count("*").alias("custom_columns"), F.coalesce(F.sum("n"), F.lit(0)).alias("fields")).select(

@@ -107,6 +107,11 @@ SELECT o_orderkey AS id, o_orderstatus AS status, o_orderpriority AS note, 'open
 FROM orders WHERE o_orderstatus = 'O'
 UNION ALL SELECT o_orderkey, o_orderstatus, o_orderpriority, 'empty' FROM orders"""
 
+ORACLES["replace_stored"] = """
+SELECT o_orderkey AS id, o_orderstatus AS status, CASE WHEN o_orderstatus = 'P' THEN 'later' ELSE o_orderpriority END AS note
+FROM orders WHERE o_orderstatus IN ('O', 'P')"""
+ORACLES["merge_stored"] = ORACLES["merge_fields"]
+
 ORACLES["delete_by_id"] = """
 SELECT o_orderkey AS id, o_orderstatus AS status, o_orderpriority AS note FROM orders
 WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')"""
@@ -149,7 +154,9 @@ ORACLES["field_profile"] = f"""
 SELECT 'deals' AS entity, CAST(7 + count(DISTINCT (field_id, field_name)) AS BIGINT) AS columns,
        count(DISTINCT (field_id, field_name)) AS custom_columns, count(*) AS fields
 FROM ({_LONG}) WHERE workbook_value IS NOT NULL
-UNION ALL SELECT 'contacts', 6, 1, count(*) FROM customer"""
+UNION ALL SELECT 'contacts', 6, 1, count(*) FROM customer
+UNION ALL SELECT 'companies', 5, 0, 0
+UNION ALL SELECT 'events', 6, 0, 0"""
 
 _DEAL_TAGS = """CASE WHEN o_orderstatus = 'P' THEN '[]'
        ELSE '["' || o_orderstatus || '","' || o_orderpriority || '"]' END"""

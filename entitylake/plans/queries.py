@@ -189,6 +189,35 @@ def replace_all(spark, sf_dir):
     return replaced.union(kept)
 
 
+@query
+def replace_stored(spark, sf_dir):
+    """A stored table replaced by open deals, then by nothing, then loaded on."""
+    deals = History(spark, scratch_dir(spark, "replaced"))
+    stored = stored_deals(spark, sf_dir)
+    deals.append(stored)
+    deals.replace(stored.filter(F.col("status") == "O"))
+    deals.replace(stored.filter(F.col("status") == "none"))
+    deals.append(stored.filter(F.col("status") == "P").withColumn("note", F.lit("later")))
+    return deals.current()
+
+
+@query
+def merge_stored(spark, sf_dir):
+    """A stored table whose changes carry some fields only, merged when it is read."""
+    deals = History(spark, scratch_dir(spark, "merged"), order_by=("turn", *LINE_ORDER))
+    deals.append(stored_deals(spark, sf_dir).withColumn("turn", F.lit(0)))
+    partial = line_changes(spark, sf_dir).withColumns(
+        {
+            "status": F.when(F.col("flag") == "R", F.concat(F.lit("returned-"), F.col("line"))),
+            "note": F.when(F.col("line_status") == "F", F.col("note")),
+            "turn": F.lit(1),
+        }
+    )
+    for parity in (0, 1):
+        deals.append(partial.filter(F.col("line") % 2 == parity))
+    return deals.merged().select("id", "status", "note")
+
+
 @query
 def delete_by_id(spark, sf_dir):
     returned = line_changes(spark, sf_dir).filter(F.col("flag") == "R").select("id")
@@ -245,11 +274,8 @@ def custom_values(spark, sf_dir):
 
 @query
 def field_profile(spark, sf_dir):
-    profiles = [
-        stats.field_profile(S.deals(spark, sf_dir), "deals"),
-        stats.field_profile(S.contacts(spark, sf_dir), "contacts"),
-    ]
-    return pages.union_batches(profiles)
+    frames = {"deals": S.deals, "contacts": S.contacts, "companies": S.companies, "events": S.events}
+    return pages.union_batches([stats.field_profile(frame(spark, sf_dir), entity) for entity, frame in frames.items()])
 
 
 @query

@@ -4,11 +4,15 @@ Loads append change rows with Spark's own parquet streaming sink, one folder per
 folder of their own, deletions to another. Nothing is ever rewritten by a load: a batch costs what it brings. The
 current state is the latest row of each id, so rows that a repeated batch or another load brings again change
 nothing. Compaction is a job of its own, which writes the current rows as the history of a new folder.
+
+A replacement is a new generation: its rows are appended under a name of their own, and a row in ``generations``,
+written after them, makes it the one that is read. Rows of a replacement that stopped before that are never read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +22,8 @@ from pyspark.sql.streaming import StreamingQuery
 from entitylake.functions import variants as V
 from entitylake.operators import upsert as U
 
-ARRIVED = "_arrived"
-LOADS, DELETIONS = "changes", "deletions"
+ARRIVED, GENERATION = "_arrived", "_generation"
+LOADS, DELETIONS, GENERATIONS = "changes", "deletions", "generations"
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -42,7 +46,7 @@ class History:
         """Append all available rows of a stream, then end. A checkpoint has its own folder here."""
         folder = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
         return (
-            changes.withColumn(ARRIVED, F.current_timestamp())
+            self._stamped(changes, self.generation())
             .writeStream.format("parquet")
             .option("path", f"{self.path}/{LOADS}/load-{folder}")
             .option("checkpointLocation", checkpoint)
@@ -52,8 +56,32 @@ class History:
         )
 
     def append(self, changes: DataFrame) -> None:
-        arrived = changes.withColumn(ARRIVED, F.current_timestamp())
-        arrived.write.mode("append").parquet(f"{self.path}/{LOADS}/batch")
+        self._write(changes, self.generation())
+
+    def replace(self, rows: DataFrame) -> bool:
+        """The rows as the whole table; an empty delivery leaves it as it is. Gives whether it was replaced."""
+        if rows.isEmpty():
+            return False
+        place, name = self._marks().count(), uuid.uuid4().hex
+        self._write(rows, name)
+        mark = self.spark.createDataFrame([(place, name)], "place bigint, name string")
+        mark.write.mode("append").parquet(f"{self.path}/{GENERATIONS}")
+        return True
+
+    def _stamped(self, changes: DataFrame, generation: str | None) -> DataFrame:
+        return changes.withColumns({ARRIVED: F.current_timestamp(), GENERATION: F.lit(generation).cast("string")})
+
+    def _write(self, changes: DataFrame, generation: str | None) -> None:
+        self._stamped(changes, generation).write.mode("append").parquet(f"{self.path}/{LOADS}/batch")
+
+    def _marks(self) -> DataFrame:
+        if exists(self.spark, f"{self.path}/{GENERATIONS}"):
+            return self.spark.read.schema("place bigint, name string").parquet(f"{self.path}/{GENERATIONS}")
+        return self.spark.createDataFrame([], "place bigint, name string")
+
+    def generation(self) -> str | None:
+        """The name of the last replacement; none where the table was never replaced."""
+        return self._marks().agg(F.max_by("name", F.struct("place", "name")).alias("name")).first()["name"]
 
     def delete(self, ids: DataFrame) -> None:
         """Remove what has arrived of the given ids; ids of any type are compared as text, unknown ones are no error."""
@@ -76,16 +104,32 @@ class History:
 
     def current(self) -> DataFrame:
         """One row per id; rows without an id are told apart by their content."""
+        rows, columns = self._alive()
+        latest = U.latest_by_id(rows, [self.key, U.CONTENT_KEY], [*self.order_by, ARRIVED])
+        return latest.select(*[V.named(c) for c in columns])
+
+    def merged(self) -> DataFrame:
+        """One row per id, each field from the last row that carries it (is not NULL); rows without an id as in ``current``."""
+        rows, columns = self._alive()
+        keys = [self.key, U.CONTENT_KEY]
+        tie = F.xxhash64(*[V.named(c) for c in sorted(columns)])
+        order = F.struct(*[V.named(c) for c in (*self.order_by, ARRIVED)], tie)
+        last = [F.max_by(V.named(c), F.when(V.named(c).isNotNull(), order)).alias(c) for c in columns if c != self.key]
+        return rows.groupBy(*[V.named(c) for c in keys]).agg(*last).select(*[V.named(c) for c in columns])
+
+    def _alive(self) -> tuple[DataFrame, list[str]]:
+        """Rows of the generation that is read which no deletion has removed, and the table's own columns."""
         rows = self.changes()
-        columns = [c for c in rows.columns if c != ARRIVED]
+        columns = [c for c in rows.columns if c not in (ARRIVED, GENERATION)]
+        if GENERATION in rows.columns:
+            rows = rows.filter(F.col(GENERATION).eqNullSafe(F.lit(self.generation()))).drop(GENERATION)
         content = F.to_json(F.struct(*[V.named(c) for c in sorted(columns)]))
         rows = rows.withColumn(U.CONTENT_KEY, F.when(V.named(self.key).isNull(), F.sha2(content, 256)))
         if exists(self.spark, f"{self.path}/{DELETIONS}"):
             gone = self.spark.read.parquet(f"{self.path}/{DELETIONS}").groupBy("gone_id").agg(F.max("gone_at").alias("gone_at"))
             rows = rows.join(gone, V.named(self.key).cast("string") == F.col("gone_id"), "left")
             rows = rows.filter(F.col("gone_at").isNull() | (F.col(ARRIVED) > F.col("gone_at"))).drop("gone_id", "gone_at")
-        latest = U.latest_by_id(rows, [self.key, U.CONTENT_KEY], [*self.order_by, ARRIVED])
-        return latest.select(*[V.named(c) for c in columns])
+        return rows, columns
 
 
 def merge_into_catalog(changes: DataFrame, table: str, key: str = "id", order_by: Sequence[str] = ("updated_at",)) -> None:

@@ -80,3 +80,24 @@ def test_expired_days_are_gone(spark, tmp_path):
     assert left() == ["3"] and days() == ["log_date=2024-01-03"]
     oplog.drop_expired(spark, path, datetime(2024, 1, 3))
     assert left() == ["3"]
+
+
+def test_a_stored_table_is_replaced(spark, tmp_path):
+    table = History(spark, f"{tmp_path}/t")
+    table.append(deals(spark, [(1, "a", 10), (2, "b", 20)]))
+    assert not table.replace(deals(spark, [])) and table.current().count() == 2
+    assert table.replace(deals(spark, [(3, "c", 5)]))
+    table._write(deals(spark, [(9, "stopped before its mark", 1)]), "unfinished")
+    table.append(deals(spark, [(4, "d", 1)]))
+    assert sorted(r.id for r in table.current().collect()) == [3, 4]
+    assert table.replace(deals(spark, [(1, "a", 1), (1, "later", 2)]))
+    assert [r.id for r in table.current().collect()] == [1]
+    assert table.changes().count() == 2 + 1 + 1 + 1 + 2
+
+
+def test_stored_fields_are_merged(spark, tmp_path):
+    table = History(spark, f"{tmp_path}/t", order_by=("updated_at",))
+    table.append(deals(spark, [(1, "a", 10), (2, "b", 20), (None, "x", 1)]))
+    table.append(deals(spark, [(1, None, 30), (2, "c", 15), (None, "x", 1)]))
+    found = sorted(map(tuple, table.merged().collect()), key=str)
+    assert found == [(1, "a", 30), (2, "b", 20), (None, "x", 1)]
