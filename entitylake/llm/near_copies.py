@@ -37,7 +37,7 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     """One document of each component of texts with that similarity or more; see ``common.one_per_part``."""
     made = prefix_join.nodes_of(docs, shingle, percent, id_column, text_column)
     known = _candidates(docs, made, id_column, text_column, shingle)
-    links = prefix_join.links(docs, made, shingle, percent, text_column, stars=1, known=known)
+    links = prefix_join.links(docs, made, shingle, percent, id_column, text_column, stars=1, known=known)
     found = components.labels(links, "a", "b").withColumnRenamed("node", "of")
     # Texts without words have no node and are one part.
     parts = made.join(found, F.col("node") == F.col("of"), "left").select("id", "digest", F.coalesce("component", "node", F.lit(0)).alias("part"))

@@ -7,7 +7,8 @@ filtered by size, by what their places in the prefix leave possible, and by pari
 to members, and every link is decided by the whole sets. Sets are made again for nodes with a partner that passes.
 
 Only components are asked for, so pairs inside one component are not looked at. First every list ties its members
-to its most typical member (by one order of all groups, so that a family has few hubs), then to another one picked by hash. Then
+to its most typical member (by one order of all groups, so that a family has few hubs), then to another one picked by
+hash; a group is compared with one of its lists' hubs. Then
 all pairs of a list that are still in different components are looked at, so no link between components is missed.
 Lists are rows of a join, which adaptive execution splits; no list meets in one task. A pair that the filters refuse
 is never a row. Many sets of one list that are just short of similar cost a comparison of bitmaps per pair.
@@ -106,7 +107,7 @@ APART = "not (x.low = x.high and y.low = y.high and x.low = y.low)"
 class _Join:
     """The tables of one join, and the links found so far."""
 
-    def __init__(self, docs: DataFrame, made: DataFrame, shingle: int, percent: int, text_column: str, known: DataFrame | None):
+    def __init__(self, docs: DataFrame, made: DataFrame, shingle: int, percent: int, id_column: str, text_column: str, known: DataFrame | None):
         self.percent, self.spark = percent, docs.sparkSession
         lists_held, self.held = common.Scratch(self.spark), common.Scratch(self.spark)
         worded = made.filter("n > 0")
@@ -129,15 +130,17 @@ class _Join:
         self.typical = self.held.stored(self.entries.groupBy("gid").agg((F.count("*") / F.max("n")).alias("live")), "shingle-typical")
         wanted = self.entries.select("gid").unionByName(groups.filter("lo < hi").select("gid")).distinct()
         members = worded.join(wanted, "gid", "left_semi").groupBy("gid", "node").agg(
-            F.min("n").cast("int").alias("n"), F.min("digest").alias("digest"), *[F.min(w).alias(w) for w in BITMAP]
+            F.min("n").cast("int").alias("n"), F.min(F.xxhash64("digest", "id")).alias("row"), *[F.min(w).alias(w) for w in BITMAP]
         )
         self.members = self.held.stored(members, "shingle-members")
         lists_held.clear()
-        nodes = self.members.select("node", "digest")
+        nodes = self.members.select("node", "row")
         if known is not None:
             ends = known.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-            nodes = nodes.unionByName(worded.join(ends, "node", "left_semi").select("node", "digest"))
-        self.sets = self.held.stored(shingle_sets.sets_of(docs, common.whole_text(text_column), shingle, nodes), "shingle-sets")
+            nodes = nodes.unionByName(worded.join(ends, "node", "left_semi").select("node", F.xxhash64("digest", "id").alias("row")))
+        row = F.xxhash64("digest", "id").alias("row")
+        texts = docs.select(*common.row_key(id_column, text_column), common.whole_text(text_column).alias("text")).select(row, "text")
+        self.sets = self.held.stored(shingle_sets.sets_of(texts, shingle, nodes), "shingle-sets")
         self.links = self.checked(known) if known is not None else None
 
     def checked(self, pairs: DataFrame) -> DataFrame:
@@ -145,11 +148,11 @@ class _Join:
 
     def _state(self) -> tuple[DataFrame, DataFrame]:
         """Members with their part, and groups with the least and greatest part of theirs."""
-        members = self.members.drop("digest").withColumn("part", F.col("node"))
+        members = self.members.drop("row").withColumn("part", F.col("node"))
         if self.links is not None:
             found = components.labels(self.links, "a", "b").withColumnRenamed("node", "of")
             members = self.members.join(found, F.col("node") == F.col("of"), "left").withColumn("part", F.coalesce("component", "node"))
-            members = self.held.stored(members.drop("of", "component", "digest"), "shingle-parts")
+            members = self.held.stored(members.drop("of", "component", "row"), "shingle-parts")
         groups = members.groupBy("gid").agg(
             F.min("n").alias("n"), F.count("*").alias("m"), F.min("node").alias("rep"), F.min("part").alias("low"),
             F.max("part").alias("high"), *[F.min(w).alias(w) for w in BITMAP],
@@ -157,30 +160,36 @@ class _Join:
         return members, groups
 
     def _pass(self, pairs: DataFrame, members: DataFrame, one: bool) -> None:
-        """Expands pairs of groups (a, b) to members, of a its representative alone if ``one``, and adds their links."""
+        """Expands pairs of groups (a, b) to members, of a its representative alone if ``one``, and adds their links.
+
+        Hubs stay on the side of a, so that few sets travel there.
+        """
         x = members.alias("x").join(members.groupBy("gid").agg(F.min("node").alias("rep")).alias("r"), F.expr("x.gid = r.gid and x.node = r.rep")) if one else members.alias("x")
         x = x.select("x.*").alias("x")
         met = pairs.join(x, F.expr("a = x.gid")).join(members.alias("y"), F.expr(f"b = y.gid and x.part <> y.part and {_near_bits(self.percent)}"))
-        found = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        found = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
         new = self.checked(found)
         self.links = new if self.links is None else self.links.unionByName(new)
 
     def run(self, stars: int) -> DataFrame:
         bits = f"(x.m > 1 or y.m > 1 or {_near_bits(self.percent)})"
-        fits = f"{_possible(self.percent)} and {APART} and {_places(self.percent)} and {bits}"
+        sizes = f"{_possible(self.percent)} and {APART} and {_places(self.percent)}"
         for turn in range(stars):
             members, groups = self._state()
-            entries = self.entries.join(groups.drop("n").join(self.typical, "gid"), "gid")
+            entries = self.entries.join(groups.select("gid", "low", "high").join(self.typical, "gid"), "gid")
             rank = F.struct(-F.col("live"), "gid") if turn == 0 else F.struct(F.xxhash64("gid", F.lit(turn)), "gid")
-            hubs = entries.groupBy("token").agg(F.min_by(F.struct(*[c for c in entries.columns if c != "token"]), rank).alias("hub"))
-            hubs = hubs.select("token", "hub.*")
-            star = hubs.alias("x").join(entries.alias("y"), F.expr(f"x.token = y.token and x.gid <> y.gid and {fits}"))
-            star = star.select(F.col("x.gid").alias("a"), F.col("y.gid").alias("b"))
+            hubs = entries.groupBy("token").agg(F.min_by(F.struct("gid", "n", "pos", "low", "high"), rank).alias("hub")).select("token", "hub.*")
+            star = hubs.alias("x").join(entries.alias("y"), F.expr(f"x.token = y.token and x.gid <> y.gid and {sizes}"))
+            star = star.groupBy(F.col("x.gid").alias("a"), F.col("y.gid").alias("b")).agg(F.count("*").alias("lists"))
+            # Bitmaps travel once per pair. Of the hubs that remain, a group is compared with the one that it shares most lists with.
+            maps = groups.select("gid", "n", "m", *BITMAP)
+            near = star.join(maps.alias("x"), F.expr("a = x.gid")).join(maps.alias("y"), F.expr(f"b = y.gid and {bits}"))
+            star = near.groupBy("b").agg(F.max_by("a", F.struct("lists", "a")).alias("a")).select("a", "b")
             own = groups.filter("low <> high").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
-            self._pass(star.unionByName(own).distinct(), members, one=True)
+            self._pass(star.unionByName(own), members, one=True)
         members, groups = self._state()
         entries = self.entries.join(groups.drop("n"), "gid")
-        rest = entries.alias("x").join(entries.alias("y"), F.expr(f"x.token = y.token and x.gid < y.gid and {fits}"))
+        rest = entries.alias("x").join(entries.alias("y"), F.expr(f"x.token = y.token and x.gid < y.gid and {sizes} and {bits}"))
         rest = rest.select(F.col("x.gid").alias("a"), F.col("y.gid").alias("b"))
         own = groups.filter("low <> high").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
         self._pass(rest.unionByName(own).distinct(), members, one=False)
@@ -189,13 +198,20 @@ class _Join:
 
 
 def links(
-    docs: DataFrame, made: DataFrame, shingle: int, percent: int, text_column: str = "text", stars: int = 2, known: DataFrame | None = None
+    docs: DataFrame,
+    made: DataFrame,
+    shingle: int,
+    percent: int,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    stars: int = 2,
+    known: DataFrame | None = None,
 ) -> DataFrame:
     """Links a, b between nodes that join all similar sets to components. made: ``nodes_of`` docs.
 
     known: pairs of nodes that may be similar, from elsewhere; they are checked first.
     """
-    return _Join(docs, made, shingle, percent, text_column, known).run(stars)
+    return _Join(docs, made, shingle, percent, id_column, text_column, known).run(stars)
 
 
 def components_of(
@@ -203,7 +219,7 @@ def components_of(
 ) -> DataFrame:
     """Per document its id, n_shingles and component_id, the least id that links of similar sets lead to."""
     made = nodes_of(docs, shingle, percent, id_column, text_column)
-    found = components.labels(links(docs, made, shingle, percent, text_column), "a", "b").withColumnRenamed("node", "of")
+    found = components.labels(links(docs, made, shingle, percent, id_column, text_column), "a", "b").withColumnRenamed("node", "of")
     nodes = made.filter("n > 0").groupBy("node").agg(F.min("id").alias("id"))
     parts = nodes.join(found, F.col("node") == F.col("of"), "left").select("node", "id", F.coalesce("component", "node").alias("part"))
     least = parts.groupBy("part").agg(F.min("id").alias("component_id"))

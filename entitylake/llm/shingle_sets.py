@@ -146,25 +146,25 @@ def present(numbers: DataFrame) -> np.ndarray:
     return table_of(numbers.mapInArrow(count, COUNTED)) > 0
 
 
-def sets_of(docs: DataFrame, text: Column, size: int, nodes: DataFrame) -> DataFrame:
-    """node and its set (little-endian numbers) for the given nodes (node, digest), digest being that of one text with that set.
+def sets_of(texts: DataFrame, size: int, nodes: DataFrame) -> DataFrame:
+    """node and its set (little-endian numbers) for the given nodes (node, row), row being one with that set. texts: (row, text).
 
-    A table of fixed size keeps most other texts from being looked at; the join by node decides.
+    A table of fixed size keeps most other texts from being looked at, copies too; the join by node decides.
     """
-    nodes = nodes.groupBy("node").agg(F.min("digest").alias("digest"))
-    wanted = present(nodes.select("digest"))
+    nodes = nodes.groupBy("node").agg(F.min("row").alias("row"))
+    wanted = present(nodes.select("row"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[int, bytes] = {}
-            there = np.flatnonzero(wanted[bucket(batch.column("digest").to_numpy().view(np.uint64))])
+            there = np.flatnonzero(wanted[bucket(batch.column("row").to_numpy().view(np.uint64))])
             for i in there.tolist():
                 numbers = shingles(batch.column("text")[i].as_py(), size)
                 if len(numbers):
                     found[digest(numbers)] = numbers.tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["node", "numbers"])
 
-    made = docs.select(F.xxhash64(text).alias("digest"), text.alias("text")).mapInArrow(of, "node long, numbers binary")
+    made = texts.select("row", "text").mapInArrow(of, "node long, numbers binary")
     return made.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("numbers").alias("numbers"))
 
 
@@ -180,6 +180,10 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(s) + len(t) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    met = pairs.join(sets.select(F.col("node").alias("b"), F.col("numbers").alias("y")), "b")
-    met = met.join(sets.select(F.col("node").alias("a"), F.col("numbers").alias("x")), "a")
+    def ends(end: str, numbers: str) -> DataFrame:
+        # Only sets of these ends; a set that is shuffled for this lies where the next join needs it.
+        used = sets.join(pairs.select(F.col(end).alias("node")).distinct(), "node", "left_semi")
+        return used.select(F.col("node").alias(end), F.col("numbers").alias(numbers))
+
+    met = pairs.join(ends("b", "y"), "b").join(ends("a", "x"), "a")
     return met.select("a", "b", "x", "y").mapInArrow(of, "a long, b long")
