@@ -343,6 +343,11 @@ SELECT o_orderkey AS id, o_orderstatus AS status, 'https://crm.example/deals/' |
 ORACLES["page_load_range"] = f"""
 SELECT o_orderkey AS id, {_seconds('o_orderdate')} AS updated_at FROM orders
 WHERE {_seconds('o_orderdate')} BETWEEN epoch(TIMESTAMP '1994-01-01') AND epoch(TIMESTAMP '1995-12-31')"""
+ORACLES["paged_range"] = f"""
+SELECT o_orderkey AS id, o_orderstatus AS status, {_seconds('o_orderdate')} AS updated_at FROM orders
+WHERE {_seconds('o_orderdate')} BETWEEN epoch(TIMESTAMP '1994-01-01') AND epoch(TIMESTAMP '1995-12-31')"""
+ORACLES["paged_stream"] = f"""
+SELECT o_orderkey AS id, o_orderstatus AS status, {_seconds('o_orderdate')} AS updated_at, count(*) AS loads FROM orders GROUP BY ALL"""
 ORACLES["highwater_resume"] = f"""
 WITH d AS (SELECT o_orderkey AS id, o_orderstatus AS status, {_seconds('o_orderdate')} AS updated FROM orders),
 newest AS (SELECT max(updated) AS mark FROM d)
@@ -375,3 +380,6 @@ WITH sizes AS (SELECT o_orderkey // 50 + 1 AS page, count(*) AS n FROM orders GR
 SELECT 'deals' AS entity, max(page) AS page, arg_max(n < 50, page) AS completed, NULL::VARCHAR AS message FROM sizes
 UNION ALL SELECT unnest(['contacts', 'companies', 'events']), 0, false, NULL
 UNION ALL SELECT 'load', NULL, NULL, 'Loaded ' || n || ' deals of page ' || page FROM sizes"""
+
+ORACLES["webhook_replay"] = f"""
+SELECT entity, event_type, CAST(id AS VARCHAR) AS object_id, count(*) AS n FROM ({ORACLES["webhook_route"]}) GROUP BY ALL"""

@@ -17,6 +17,7 @@ from entitylake.plans import exports
 from entitylake.plans import standins as S
 from entitylake.plans.standins import table
 from entitylake.session import scratch_dir
+from entitylake.sources import paged
 from entitylake.sources.history import History
 from entitylake.sources.landing import stream_webhooks
 from entitylake.streaming import highwater, loads
@@ -594,6 +595,35 @@ def page_load_range(spark, sf_dir):
     return deals.current().select("id", "updated_at")
 
 
+def fetched_deals(rows: DataFrame) -> DataFrame:
+    doc = F.col("doc")
+    return rows.select(V.at(doc, "$.id", "bigint").alias("id"), V.at(doc, "$.status", "string").alias("status"), "updated_at")
+
+
+@query
+def paged_range(spark, sf_dir):
+    """Deals fetched from a paged service that is asked for a range of dates only."""
+    folder = scratch_dir(spark, "listing")
+    S.write_listing(S.deal_listing(spark, sf_dir, "updated_at"), folder)
+    source = paged.paged_source("deals_by_time", S.listing_service(folder), ranged=True)
+    return fetched_deals(filters.updated_range(paged.read_paged(spark, source, "deals"), "1994-01-01", "1995-12-31"))
+
+
+@query
+def paged_stream(spark, sf_dir):
+    """Deals streamed from a paged service, twice, with more of them the second time; how often each has been loaded."""
+    folder = scratch_dir(spark, "listing")
+    listing = S.deal_listing(spark, sf_dir, "id")
+    middle = listing.agg(F.max("page")).first()[0] // 2
+    deals = History(spark, f"{folder}/table", order_by=("updated_at",))
+    source = paged.paged_source("deals_by_id", S.listing_service(f"{folder}/pages"))
+    for part in (F.col("page") <= middle, F.col("page") > middle):
+        S.write_listing(listing.filter(part), f"{folder}/pages")
+        rows = fetched_deals(paged.stream_paged(spark, source, "deals"))
+        deals.stream(rows, f"{folder}/checkpoint", "paged-deals").awaitTermination()
+    return deals.changes().groupBy("id", "status", "updated_at").agg(F.count("*").alias("loads"))
+
+
 @query
 def load_traces(spark, sf_dir):
     """Progress and log of a load, read back after it."""
@@ -687,3 +717,17 @@ def webhook_reload(spark, sf_dir):
     archive = spark.read.parquet(f"{folder}/archive").groupBy("entity", "event_type").agg(F.count("*").alias("n"))
     left = deals.current().select(F.lit("deals").alias("entity"), F.lit("row").alias("event_type"), F.col("id").alias("n"))
     return archive.unionByName(left)
+
+
+@query
+def webhook_replay(spark, sf_dir):
+    """Events that land twice, in one batch and in a later one, stored once."""
+    folder = scratch_dir(spark, "replays")
+    body = F.to_json(F.struct("event_type", F.col("event_id").alias("id"), S.epoch("ts").alias("at")))
+    events = table(spark, sf_dir, "events").select(body.alias("value"))
+    for times in (2, 1):
+        events.withColumn("_", F.explode(F.sequence(F.lit(1), F.lit(times)))).select("value").write.mode("append").text(f"{folder}/hooks")
+        feed = loads.without_replays(stream_webhooks(spark, f"{folder}/hooks"), "1 day")
+        loads.apply_webhooks(feed, {}, f"{folder}/checkpoint", f"{folder}/archive", routes=S.EVENT_ROUTES).awaitTermination()
+    archive = spark.read.parquet(f"{folder}/archive")
+    return archive.groupBy("entity", "event_type", "object_id").agg(F.count("*").alias("n"))

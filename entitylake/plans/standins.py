@@ -7,9 +7,12 @@ planted by id in every table's full length, so each rule meets real volume.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from entitylake.operators.chunks import with_row_numbers
 from entitylake.operators.partitioning import spread
 from entitylake.session import configure
 
@@ -199,3 +202,39 @@ def progress_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").cast("timestamp").alias("ts"),
         F.col("event_id").alias("seq"),
     )
+
+
+def deal_listing(spark: SparkSession, sf_dir: str, order_by: str) -> DataFrame:
+    """(page, id, status, updated_at): orders listed by ``id`` or ``updated_at`` in pages of fifty without gaps."""
+    rows = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), epoch("o_orderdate").alias("updated_at")
+    )
+    place = F.col("id") if order_by == "id" else F.shiftleft("updated_at", 33) + F.col("id")
+    numbered = with_row_numbers(rows.withColumn("_place", place), "_place")
+    return numbered.select(F.expr("rn div 50 + 1").alias("page"), "id", "status", "updated_at")
+
+
+def write_listing(listing: DataFrame, path: str) -> None:
+    """Pages as files that a service can look up by page: ranges of pages, sorted."""
+    listing.repartitionByRange("page").sortWithinPartitions("page", "id").write.mode("append").parquet(path)
+
+
+def listing_service(path: str) -> Callable[..., list]:
+    """``fetch(page, low, high)`` of a service that answers from such files; in a range by ``updated_at``, page 1 is the one where it begins."""
+
+    def fetch(page: int, low: int | None = None, high: int | None = None) -> list:
+        import pyarrow.dataset as ds
+
+        pages = ds.dataset(path, format="parquet")
+        if low is not None:
+            # Files and row groups outside of the range are skipped by their statistics.
+            begin = pages.head(1, columns=["page"], filter=ds.field("updated_at") >= low).column("page").to_pylist()
+            if not begin:
+                return []
+            page += begin[0] - 1
+        wanted = ds.field("page") == page
+        if high is not None:
+            wanted &= ds.field("updated_at") <= high
+        return pages.to_table(columns=["id", "status", "updated_at"], filter=wanted).to_pylist()
+
+    return fetch

@@ -122,6 +122,18 @@ def quarantine_pages(
     )
 
 
+def without_replays(webhooks: DataFrame, window: str) -> DataFrame:
+    """A stream of events without bodies that were received before, no longer than ``window`` ago.
+
+    The state is one digest per different body of the window, shuffled by it. Late data: an event received more than
+    ``window`` before the newest one of earlier batches is taken for a replay and dropped, which the query's progress counts
+    (``numRowsDroppedByWatermark``); so ``window`` must exceed the delay of delivery. A body that comes again later than
+    that is a new event.
+    """
+    keyed = webhooks.withColumn("_body_digest", F.sha2(F.col("raw"), 256)).withWatermark("_received_at", window)
+    return keyed.dropDuplicatesWithinWatermark(["_body_digest"]).drop("_body_digest")
+
+
 def apply_webhooks(
     webhooks: DataFrame,
     tables: dict[str, History],

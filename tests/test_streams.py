@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from entitylake.functions import variants as V
 from entitylake.sources import landing
-from entitylake.sources.paged import paged_source, read_paged
+from entitylake.operators.filters import updated_range
+from entitylake.sources.paged import paged_source, read_paged, stream_paged
 from entitylake.sources.history import History
 from entitylake.streaming import loads
 
@@ -186,6 +187,24 @@ def test_deletes_are_opt_in(spark, feed, tmp_path, apply_deletes, left):
     assert sorted(r.id for r in contacts.current().collect()) == left
 
 
+def test_replayed_events_are_stored_once(spark, feed, tmp_path):
+    def run():
+        events = loads.without_replays(landing.stream_webhooks(spark, str(feed)), "1 hour")
+        loads.apply_webhooks(events, {}, f"{tmp_path}/c", f"{tmp_path}/archive").awaitTermination()
+        return sorted(r.raw for r in spark.read.parquet(f"{tmp_path}/archive").collect())
+
+    first = run()
+    assert len(first) == len(set(first)) == 5
+    (feed / "again.json").write_text((feed / "0.json").read_text() + "\n" + (feed / "1.json").read_text())
+    assert run() == first
+    (feed / "new.json").write_text('{"event_type": "add_lead", "id": 9}\n{"event_type": "add_lead", "id": 9}')
+    assert len(run()) == 6
+    # An event from long before the newest of earlier batches counts as a replay.
+    (feed / "late.json").write_text('{"event_type": "add_lead", "id": 10}')
+    os.utime(feed / "late.json", (1, 1))
+    assert len(run()) == 6
+
+
 # -- paged source ----------------------------------------------------------------------------
 
 @pytest.mark.parametrize("total, readers", [(23, 1), (23, 4), (20, 3), (0, 2)])
@@ -207,3 +226,57 @@ def test_paged_source_reads_every_page(spark, tmp_path, total, readers):
     seen = rows.select(V.at(F.col("doc"), "$.id", "int").alias("id"), "page", "pos").collect()
     assert sorted(r.id for r in seen) == list(range(total))
     assert all(r.id == (r.page - 1) * 5 + r.pos for r in seen)
+
+
+def test_a_range_reaches_the_paged_source(spark, tmp_path):
+    asked = str(tmp_path)
+
+    def fetch(page, low, high):
+        """The service keeps ids 0 … 99, updated at their id; it answers the upper end only roughly."""
+        import os
+
+        os.makedirs(os.path.join(asked, f"{low}-{high}-{page}"), exist_ok=True)
+        listed = [i for i in range(100) if (low is None or i >= low) and (high is None or i <= high + 3)]
+        return [{"id": i, "updated_at": i if i % 10 else None} for i in listed[(page - 1) * 5 : page * 5]]
+
+    rows = read_paged(spark, paged_source("ranged", fetch, ranged=True), "deals", pageSize=5, readers=2)
+    ids = lambda df: sorted(r.id for r in df.select(V.at(F.col("doc"), "$.id", "int").alias("id")).collect())
+    times = updated_range(rows, "1970-01-01T00:01:01", "1970-01-01T00:01:12")
+    assert ids(times) == [i for i in range(61, 73) if i % 10]
+    assert {name.rsplit("-", 1)[0] for name in os.listdir(asked)} == {"61-72"}
+    assert len(os.listdir(asked)) <= 6  # of twenty pages
+    assert ids(rows.filter("updated_at > 95 and page < 9")) == [96, 97, 98, 99]
+    assert ids(rows.filter("updated_at > 95 or pos = 0")) == sorted({i for i in range(100) if i % 5 == 0} | {96, 97, 98, 99})
+    assert ids(rows) == list(range(100))
+
+
+def test_a_paged_stream_goes_on_where_it_stopped(spark, tmp_path):
+    held = str(tmp_path / "held")
+    (tmp_path / "asked").mkdir()
+    asked = str(tmp_path / "asked")
+
+    def fetch(page):
+        import os
+        import uuid
+
+        open(os.path.join(asked, f"{page}-{uuid.uuid4().hex}"), "w").close()
+        total = int(open(held).read())
+        return [{"id": i, "updated_at": str(i)} for i in range((page - 1) * 5, min(page * 5, total))]
+
+    def run(total):
+        open(held, "w").write(str(total))
+        for name in os.listdir(asked):
+            os.remove(os.path.join(asked, name))
+        rows = stream_paged(spark, paged_source("endless_pages", fetch), "deals", pageSize=5, readers=3)
+        rows = rows.select(V.at(F.col("doc"), "$.id", "int").alias("id"), "page", "pos", "updated_at")
+        sink = rows.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c")
+        sink.trigger(availableNow=True).start().awaitTermination()
+        seen = spark.read.schema(rows.schema).parquet(f"{tmp_path}/out").collect()
+        assert sorted(r.id for r in seen) == list(range(total))  # none twice
+        assert all(r.id == (r.page - 1) * 5 + r.pos and r.updated_at is None for r in seen)
+
+    for total in (0, 3, 3, 12, 15, 64, 65):
+        run(total)
+    run(203)
+    # Pages behind the place are fetched by readers, those before it only while the end is looked for.
+    assert len(os.listdir(asked)) < 28 + 2 * 14
