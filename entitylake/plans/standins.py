@@ -222,19 +222,25 @@ def write_listing(listing: DataFrame, path: str) -> None:
 def listing_service(path: str) -> Callable[..., list]:
     """``fetch(page, low, high)`` of a service that answers from such files; in a range by ``updated_at``, page 1 is the one where it begins."""
 
+    opened: dict = {}  # a reader opens the files once
+
     def fetch(page: int, low: int | None = None, high: int | None = None) -> list:
         import pyarrow.dataset as ds
 
-        pages = ds.dataset(path, format="parquet")
+        if "pages" not in opened:
+            opened["pages"] = ds.dataset(path, format="parquet")
+        pages = opened["pages"]
         if low is not None:
-            # Files and row groups outside of the range are skipped by their statistics.
-            begin = pages.head(1, columns=["page"], filter=ds.field("updated_at") >= low).column("page").to_pylist()
-            if not begin:
+            if low not in opened:
+                # Files and row groups outside of the range are skipped by their statistics.
+                begin = pages.head(1, columns=["page"], filter=ds.field("updated_at") >= low, use_threads=False)
+                opened[low] = begin.column("page").to_pylist()
+            if not opened[low]:
                 return []
-            page += begin[0] - 1
+            page += opened[low][0] - 1
         wanted = ds.field("page") == page
         if high is not None:
             wanted &= ds.field("updated_at") <= high
-        return pages.to_table(columns=["id", "status", "updated_at"], filter=wanted).to_pylist()
+        return pages.to_table(columns=["id", "status", "updated_at"], filter=wanted, use_threads=False).to_pylist()
 
     return fetch
