@@ -144,6 +144,7 @@ class _Join:
         self.links = self.checked(known) if known is not None else None
 
     def checked(self, pairs: DataFrame) -> DataFrame:
+        pairs = self.held.stored(pairs, "shingle-pairs")  # read three times
         return common.stored(shingle_sets.similar(pairs, self.sets, self.percent), "shingle-links")
 
     def _state(self) -> tuple[DataFrame, DataFrame]:
