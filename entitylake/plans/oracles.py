@@ -348,6 +348,18 @@ SELECT o_orderkey AS id, o_orderstatus AS status, {_seconds('o_orderdate')} AS u
 WHERE {_seconds('o_orderdate')} BETWEEN epoch(TIMESTAMP '1994-01-01') AND epoch(TIMESTAMP '1995-12-31')"""
 ORACLES["paged_stream"] = f"""
 SELECT o_orderkey AS id, o_orderstatus AS status, {_seconds('o_orderdate')} AS updated_at, count(*) AS loads FROM orders GROUP BY ALL"""
+ORACLES["load_events"] = """
+WITH sizes AS (SELECT o_orderkey // 50 + 1 AS page, count(*) AS n FROM orders GROUP BY ALL)
+SELECT 'deals' AS entity, max(page) AS page, arg_max(n < 50, page) AS completed, sum(n)::BIGINT AS documents FROM sizes
+UNION ALL SELECT unnest(['contacts', 'companies', 'events']), 0, false, 0"""
+ORACLES["snapshot_current"] = f"""
+WITH d AS (SELECT o_orderkey AS id, o_orderstatus AS status, {_seconds('o_orderdate')} AS updated_at FROM orders),
+before AS (SELECT id, status, updated_at FROM d UNION ALL SELECT id, 'changed', updated_at + 1 FROM d WHERE id % 7 = 0
+  UNION ALL SELECT -id, 'new', updated_at + 1 FROM d WHERE id % 11 = 0),
+stored AS (SELECT * FROM before WHERE id NOT IN (SELECT id FROM d WHERE id % 13 = 0)
+  UNION ALL SELECT id, 'last', updated_at + 2 FROM d WHERE id % 17 = 0
+  UNION ALL SELECT id, 'stale', updated_at - 1 FROM d WHERE id % 19 = 0)
+SELECT id, arg_max(status, updated_at) AS status, max(updated_at) AS updated_at FROM stored GROUP BY id"""
 ORACLES["highwater_resume"] = f"""
 WITH d AS (SELECT o_orderkey AS id, o_orderstatus AS status, {_seconds('o_orderdate')} AS updated FROM orders),
 newest AS (SELECT max(updated) AS mark FROM d)

@@ -20,7 +20,8 @@ from entitylake.session import scratch_dir
 from entitylake.sources import paged
 from entitylake.sources.history import History
 from entitylake.sources.landing import stream_webhooks
-from entitylake.streaming import highwater, loads
+from entitylake.sources.snapshots import Snapshot
+from entitylake.streaming import highwater, loads, traces
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -640,6 +641,48 @@ def load_traces(spark, sf_dir):
     return pages.union_batches([status, entries.select(F.col("component").alias("entity"), "message")])
 
 
+@query
+def load_events(spark, sf_dir):
+    """Progress events of three loads: over half of the pages, over the others, and with nothing new."""
+
+    def to_rows(documents: DataFrame) -> DataFrame:
+        return documents.select(V.at(F.col("doc"), "$.id", "bigint").alias("id"), "page", "pos")
+
+    folder = scratch_dir(spark, "events")
+    landed = S.deal_pages(spark, sf_dir)
+    middle = landed.agg(F.max("page")).first()[0] // 2
+    deals = History(spark, f"{folder}/table", order_by=("page", "pos"))
+    with traces.traced(spark, f"{folder}/events") as told:
+        for part in (F.col("page") <= middle, F.col("page") > middle, F.lit(False)):
+            landed.filter(part).select("value").write.mode("append").text(f"{folder}/landing")
+            told.wait(loads.load_pages(spark, f"{folder}/landing", "deals", deals, f"{folder}/checkpoint", to_rows, 100))
+    events = traces.load_events(spark, f"{folder}/events")
+    status = progress.export_status(events).select("entity", "completed", F.col("last_page").cast("bigint").alias("page"))
+    totals = events.groupBy(F.col("entity").alias("of")).agg(F.sum("documents").alias("documents"), F.count("*").alias("events"))
+    joined = status.join(totals, F.col("entity") == F.col("of"), "left")
+    return joined.select("entity", "page", "completed", F.coalesce("documents", F.lit(0)).alias("documents"))
+
+
+@query
+def snapshot_current(spark, sf_dir):
+    """Deals folded into a snapshot, with later changes, deletions and new ids, half of them folded too."""
+    folder = scratch_dir(spark, "snapshot")
+    orders = table(spark, sf_dir, "orders")
+    first = orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), S.epoch("o_orderdate").alias("updated_at"))
+    deals = History(spark, f"{folder}/table", order_by=("updated_at",))
+    snapshot = Snapshot(deals, buckets=16)
+    deals.append(first)
+    snapshot.fold()
+    later = first.withColumn("updated_at", F.col("updated_at") + 1)
+    deals.append(later.filter("id % 7 = 0").withColumn("status", F.lit("changed")))
+    deals.append(later.filter("id % 11 = 0").withColumns({"id": -F.col("id"), "status": F.lit("new")}))
+    deals.delete(first.filter("id % 13 = 0").select("id"))
+    snapshot.fold()
+    deals.append(first.filter("id % 17 = 0").withColumns({"status": F.lit("last"), "updated_at": F.col("updated_at") + 2}))
+    deals.append(first.filter("id % 19 = 0").withColumns({"status": F.lit("stale"), "updated_at": F.col("updated_at") - 1}))
+    return snapshot.current()
+
+
 @query
 def highwater_resume(spark, sf_dir):
     """Deals loaded twice, with every seventh one updated in between; how often each has been loaded."""

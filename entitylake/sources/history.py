@@ -3,7 +3,8 @@
 Loads append change rows with Spark's own parquet streaming sink, one folder per load; batch jobs append to a
 folder of their own, deletions to another. Nothing is ever rewritten by a load: a batch costs what it brings. The
 current state is the latest row of each id, so rows that a repeated batch or another load brings again change
-nothing. Compaction is a job of its own, which writes the current rows as the history of a new folder.
+nothing. Compaction is a job of its own: into a new folder (``compact``), or step by step beside the history
+(``snapshots``).
 
 A replacement is a new generation: its rows are appended under a name of their own, and a row in ``generations``,
 written after them, makes it the one that is read. Rows of a replacement that stopped before that are never read.
@@ -104,32 +105,38 @@ class History:
 
     def current(self) -> DataFrame:
         """One row per id; rows without an id are told apart by their content."""
-        rows, columns = self._alive()
+        rows, columns = self.alive(self.changes())
         latest = U.latest_by_id(rows, [self.key, U.CONTENT_KEY], [*self.order_by, ARRIVED])
         return latest.select(*[V.named(c) for c in columns])
 
     def merged(self) -> DataFrame:
         """One row per id, each field from the last row that carries it (is not NULL); rows without an id as in ``current``."""
-        rows, columns = self._alive()
+        rows, columns = self.alive(self.changes())
         keys = [self.key, U.CONTENT_KEY]
         tie = F.xxhash64(*[V.named(c) for c in sorted(columns)])
         order = F.struct(*[V.named(c) for c in (*self.order_by, ARRIVED)], tie)
         last = [F.max_by(V.named(c), F.when(V.named(c).isNotNull(), order)).alias(c) for c in columns if c != self.key]
         return rows.groupBy(*[V.named(c) for c in keys]).agg(*last).select(*[V.named(c) for c in columns])
 
-    def _alive(self) -> tuple[DataFrame, list[str]]:
-        """Rows of the generation that is read which no deletion has removed, and the table's own columns."""
-        rows = self.changes()
+    def alive(self, rows: DataFrame) -> tuple[DataFrame, list[str]]:
+        """Those of the given changes that are of the generation that is read and not deleted, and the table's own columns."""
         columns = [c for c in rows.columns if c not in (ARRIVED, GENERATION)]
         if GENERATION in rows.columns:
             rows = rows.filter(F.col(GENERATION).eqNullSafe(F.lit(self.generation()))).drop(GENERATION)
+        return self.without_deleted(self.with_content(rows, columns)), columns
+
+    def with_content(self, rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+        """Add what tells rows without an id apart, a digest of the table's own columns."""
         content = F.to_json(F.struct(*[V.named(c) for c in sorted(columns)]))
-        rows = rows.withColumn(U.CONTENT_KEY, F.when(V.named(self.key).isNull(), F.sha2(content, 256)))
-        if exists(self.spark, f"{self.path}/{DELETIONS}"):
-            gone = self.spark.read.parquet(f"{self.path}/{DELETIONS}").groupBy("gone_id").agg(F.max("gone_at").alias("gone_at"))
-            rows = rows.join(gone, V.named(self.key).cast("string") == F.col("gone_id"), "left")
-            rows = rows.filter(F.col("gone_at").isNull() | (F.col(ARRIVED) > F.col("gone_at"))).drop("gone_id", "gone_at")
-        return rows, columns
+        return rows.withColumn(U.CONTENT_KEY, F.when(V.named(self.key).isNull(), F.sha2(content, 256)))
+
+    def without_deleted(self, rows: DataFrame) -> DataFrame:
+        """Rows that no deletion has removed after they arrived."""
+        if not exists(self.spark, f"{self.path}/{DELETIONS}"):
+            return rows
+        gone = self.spark.read.parquet(f"{self.path}/{DELETIONS}").groupBy("gone_id").agg(F.max("gone_at").alias("gone_at"))
+        rows = rows.join(gone, V.named(self.key).cast("string") == F.col("gone_id"), "left")
+        return rows.filter(F.col("gone_at").isNull() | (F.col(ARRIVED) > F.col("gone_at"))).drop("gone_id", "gone_at")
 
 
 def merge_into_catalog(changes: DataFrame, table: str, key: str = "id", order_by: Sequence[str] = ("updated_at",)) -> None:

@@ -22,6 +22,7 @@ from entitylake.operators.progress import PROGRESS_SCHEMA, append_progress
 from entitylake.sources.history import ARRIVED, History, exists
 from entitylake.sources.landing import quarantined, stream_pages
 from entitylake.specs import DELETE_VERB, ENTITIES, EVENT_VERBS, canonical_name
+from entitylake.streaming.traces import LOAD, measured
 
 
 # -- routing -------------------------------------------------------------------
@@ -64,14 +65,15 @@ def load_pages(
 
     ``to_rows`` turns (entity, source, page, pos, doc) into table rows and keeps page and position, by which the
     table is ordered, so the result does not depend on the batch size. A date range limits documents by their
-    ``updated_at``. Pages that are no JSON have no rows; ``quarantine_pages`` keeps them.
+    ``updated_at``. Pages that are no JSON have no rows; ``quarantine_pages`` keeps them. Within ``traces.traced``
+    every batch leaves a progress event.
     """
     pages = stream_pages(spark, landing, entity, pages_per_batch, whole_files).drop("raw")
-    documents = explode_envelopes(pages, entity)
+    documents = measured(explode_envelopes(pages, entity))
     if date_from or date_to:
         documents = documents.withColumn("_updated", V.at(F.col("doc"), "$.updated_at"))
         documents = updated_range(documents, date_from, date_to, column="_updated").drop("_updated")
-    return table.stream(to_rows(documents), checkpoint, f"load-{entity}")
+    return table.stream(to_rows(documents), checkpoint, f"{LOAD}{entity}")
 
 
 def record_load(table: History, entity: str, progress_path: str, log_path: str, page_size: int = PAGE_SIZE) -> None:
