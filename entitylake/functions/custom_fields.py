@@ -48,11 +48,14 @@ def _elements(value: Column, dtype: T.DataType, read_type: str = READ_TYPE) -> C
         is_list_text = text.startswith("[") & text.endswith("]")
         # As the only element of a list, text that goes on after its own list is malformed.
         wrapped = F.from_json(F.concat(F.lit('{"v":['), value, F.lit("]}")), f"struct<v:array<{read_type}>>", STRICT_JSON)
-        typed = F.when(F.size(wrapped["v"]) == 1, wrapped["v"][0])
+        typed = V.once(wrapped["v"], lambda v: F.when(F.size(v) == 1, F.get(v, 0)))
         loose = _loose(V.parsed(value, dtype), read_type)
         return F.when(is_list_text, F.coalesce(typed, loose))
     if isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, T.StructType):
         return F.transform(value, lambda f: _typed_element(f, dtype.elementType, read_type))
+    if isinstance(dtype, T.VariantType):
+        # Only what is no list is taken for text.
+        return _of_list(F.coalesce(V.as_list(value), V.as_list(V.strict_json(V.text_of(value)))), read_type)
     return _loose(V.parsed(value, dtype), read_type)
 
 
@@ -62,10 +65,14 @@ def _members(read_type: str) -> list[str]:
 
 
 def _loose(value: Column, read_type: str) -> Column:
+    return _of_list(V.as_list(value), read_type)
+
+
+def _of_list(elements: Column, read_type: str) -> Column:
     def member(element: Column, name: str) -> Column:
         return V.at(element, f"$.{name}", "variant" if name == "values" else "string").alias(name)
 
-    return F.transform(V.as_list(value), lambda e: F.struct(*[member(e, n) for n in _members(read_type)]))
+    return F.transform(elements, lambda e: F.struct(*[member(e, n) for n in _members(read_type)]))
 
 
 def _typed_element(element: Column, dtype: T.StructType, read_type: str) -> Column:

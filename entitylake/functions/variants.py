@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +17,14 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once per row, however often ``use`` reads it.
+
+    A column that is named several times within a higher-order function is computed as many times.
+    """
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def null_variant() -> Column:
     return F.lit(None).cast("variant")
 
@@ -62,8 +72,8 @@ def strict_json(text: Column) -> Column:
     """
     listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     member = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    alone = at(listed, "$[1]").isNull()
-    return F.when(alone & at(member, "$.v").isNotNull() & (size_of(member) == 1), at(listed, "$[0]"))
+    # What ends the list early is no JSON in the object, so whether that one reads at all is enough.
+    return once(listed, lambda of_list: F.when(at(of_list, "$[1]").isNull() & member.isNotNull(), at(of_list, "$[0]")))
 
 
 def size_of(value: Column) -> Column:
