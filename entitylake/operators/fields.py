@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from entitylake.functions.custom_fields import custom_field_headers, custom_fields
 from entitylake.functions import variants as V
 from entitylake.operators.explode import positions
+from entitylake.session import stored
 from entitylake.specs import CUSTOM_FIELDS
 
 FIELDS = "_fields"
@@ -119,8 +120,9 @@ def custom_columns(df: DataFrame, **how: str) -> list[CustomColumn]:
 def attach_types(long: DataFrame, types: DataFrame) -> DataFrame:
     """Join the dictionary to the long form; unknown fields get ``''``.
 
-    The dictionary is an aggregate of known size by then: adaptive execution
-    broadcasts it if it is small, and splits hot fields of a shuffle otherwise.
+    The dictionary is written first, so that its size is known when the join is
+    planned: a small one is broadcast and the long form, many times the documents'
+    number of rows, is not shuffled. Otherwise adaptive execution splits hot fields.
     """
-    joined = long.join(types, ["field_id", "field_name"], "left")
+    joined = long.join(stored(types, "field-types"), ["field_id", "field_name"], "left")
     return joined.withColumn("field_type", F.coalesce("field_type", F.lit("")))
