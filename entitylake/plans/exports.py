@@ -16,7 +16,7 @@ from entitylake.operators.layouts import sheet_rows, workbook_table
 from entitylake.specs import ENTITIES, canonical_name
 
 REPORT_SCHEMA = "entity string, status string, rows bigint, error string"
-ORDER = "_order"
+ORDER, PLACE = "_order", "_place_in_order"
 # The lines of a summary without entities.
 SUMMARY = ("No data available to export", "Please export data first")
 
@@ -99,18 +99,30 @@ def export_sheets(
         chosen = updated_range(df, date_from, date_to)
         if chosen.isEmpty():
             return "empty", 0
-        columns = custom_columns(chosen)
         key = ENTITIES[entity].key if entity in ENTITIES else "id"
         ordered = chosen.withColumn(ORDER, row_order(chosen, key))
-        headers, rows = sheet_rows(ordered, columns, around=(ORDER,))
+        if not _kept_by_parquet(ordered):
+            headers, rows = sheet_rows(ordered, custom_columns(chosen), around=(ORDER,))
+            numbered = with_row_numbers(rows, ORDER).drop(ORDER)
+        else:
+            # Documents are numbered before their cells are made: dealing rows to ranges computes them twice.
+            documents = with_row_numbers(ordered, ORDER).drop(ORDER).withColumnRenamed("rn", PLACE)
+            headers, numbered = sheet_rows(documents, custom_columns(documents), around=(PLACE,))
+            numbered = numbered.withColumnRenamed(PLACE, "rn")
         _write_rows(spark, "headers array<string>", [(headers,)], f"{out}/{entity}/header", "json")
-        placed = with_chunks(with_row_numbers(rows, ORDER)).drop(ORDER)
+        placed = with_chunks(numbered.select(*[c for c in numbered.columns if c != "rn"], "rn"))
         return "written", _observed_write(placed, f"{out}/{entity}/rows", fmt)
 
     named = {canonical_name(name): df for name, df in frames.items()}
     return spark.createDataFrame(_per_entity(spark, named, export), REPORT_SCHEMA)
 
 
+def _kept_by_parquet(df: DataFrame) -> bool:
+    """Whether its rows can be written as they are; columns of no type and intervals can't."""
+    kinds = [f.dataType.simpleString() for f in df.schema.fields]
+    return "rn" not in df.columns and not any("void" in kind or "interval" in kind for kind in kinds)
+
+
 def row_order(df: DataFrame, key: str) -> Column:
     """Order of a delivered table: the numeric id, else a hash of the row.
 
