@@ -7,8 +7,10 @@ planted by id in every table's full length, so each rule meets real volume.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ from entitylake.operators.chunks import with_row_numbers
 from entitylake.operators.partitioning import spread
 from entitylake.session import configure
 
+# Python workers get a service with its data source and need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+# Fixed value: a reader holds the rows of one group.
+ROW_GROUP_BYTES = 1 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
@@ -215,8 +222,58 @@ def deal_listing(spark: SparkSession, sf_dir: str, order_by: str) -> DataFrame:
 
 
 def write_listing(listing: DataFrame, path: str) -> None:
-    """Pages as files that a service can look up by page: ranges of pages, sorted."""
-    listing.repartitionByRange("page").sortWithinPartitions("page", "id").write.mode("append").parquet(path)
+    """Pages as files that a service can look up by page: ranges of pages, sorted, in small row groups."""
+    ranges = listing.repartitionByRange("page").sortWithinPartitions("page", "id")
+    ranges.write.mode("append").option("parquet.block.size", str(ROW_GROUP_BYTES)).parquet(path)
+
+
+class Listing:
+    """Such files as one reader sees them: statistics of all row groups, and the rows of the last group it read."""
+
+    COLUMNS = ("id", "status", "updated_at")
+
+    def __init__(self, path: str) -> None:
+        import numpy as np
+        import pyarrow.dataset as ds
+
+        self.groups, spans = [], []
+        for part in ds.dataset(path, format="parquet").get_fragments():
+            part.ensure_complete_metadata()
+            for group in part.row_groups:
+                known = group.statistics or {}
+                self.groups.append(part.subset(row_group_ids=[group.id]))
+                spans.append([known.get(c, {}).get(end) for c in ("page", "updated_at") for end in ("min", "max")])
+        low, high = -(1 << 63), (1 << 63) - 1
+        given = [[s if s is not None else (high if i % 2 else low) for i, s in enumerate(span)] for span in spans]
+        self.first, self.last, _, self.newest = np.array(given, np.int64).reshape(-1, 4).T
+        self.at, self.rows, self.pages = -1, None, None
+
+    def read(self, group: int) -> None:
+        if group != self.at:
+            self.rows = self.groups[group].to_table(columns=["page", *self.COLUMNS], use_threads=False)
+            self.at, self.pages = group, self.rows.column("page").to_numpy()
+
+    def begin(self, low: int) -> int | None:
+        """The page of the first row that is not older; groups of older rows are not read."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        for group in np.flatnonzero(self.newest >= low).tolist():
+            self.read(group)
+            found = self.rows.column("page").filter(pc.greater_equal(self.rows.column("updated_at"), low))
+            if len(found):
+                return found[0].as_py()
+        return None
+
+    def page(self, number: int) -> list:
+        import numpy as np
+
+        found = []
+        for group in np.flatnonzero((self.first <= number) & (self.last >= number)).tolist():
+            self.read(group)
+            start, end = np.searchsorted(self.pages, [number, number + 1])  # groups are sorted by page
+            found += self.rows.slice(start, end - start).select(self.COLUMNS).to_pylist()
+        return found
 
 
 def listing_service(path: str) -> Callable[..., list]:
@@ -225,22 +282,16 @@ def listing_service(path: str) -> Callable[..., list]:
     opened: dict = {}  # a reader opens the files once
 
     def fetch(page: int, low: int | None = None, high: int | None = None) -> list:
-        import pyarrow.dataset as ds
-
         if "pages" not in opened:
-            opened["pages"] = ds.dataset(path, format="parquet")
+            opened["pages"] = Listing(path)
         pages = opened["pages"]
         if low is not None:
             if low not in opened:
-                # Files and row groups outside of the range are skipped by their statistics.
-                begin = pages.head(1, columns=["page"], filter=ds.field("updated_at") >= low, use_threads=False)
-                opened[low] = begin.column("page").to_pylist()
-            if not opened[low]:
+                opened[low] = pages.begin(low)
+            if opened[low] is None:
                 return []
-            page += opened[low][0] - 1
-        wanted = ds.field("page") == page
-        if high is not None:
-            wanted &= ds.field("updated_at") <= high
-        return pages.to_table(columns=["id", "status", "updated_at"], filter=wanted, use_threads=False).to_pylist()
+            page += opened[low] - 1
+        rows = pages.page(page)
+        return rows if high is None else [r for r in rows if r["updated_at"] is not None and r["updated_at"] <= high]
 
     return fetch
