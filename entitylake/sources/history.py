@@ -24,6 +24,7 @@ from entitylake.functions import variants as V
 from entitylake.operators import upsert as U
 
 ARRIVED, GENERATION = "_arrived", "_generation"
+ROWS_PER_TASK = 500_000  # Rows of a task that merges, unless ids have more changes.
 LOADS, DELETIONS, GENERATIONS = "changes", "deletions", "generations"
 
 
@@ -113,6 +114,9 @@ class History:
         """One row per id, each field from the last row that carries it (is not NULL); rows without an id as in ``current``."""
         rows, columns = self.alive(self.changes())
         keys = [self.key, U.CONTENT_KEY]
+        # Sorts, before and after the shuffle, would else hold as many rows as a split of the files or a fixed share of the table.
+        tasks = max(self.changes().count() // ROWS_PER_TASK + 1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        rows = rows.repartition(tasks, *[V.named(c) for c in keys])
         tie = F.xxhash64(*[V.named(c) for c in sorted(columns)])
         order = F.struct(*[V.named(c) for c in (*self.order_by, ARRIVED)], tie)
         last = [F.max_by(V.named(c), F.when(V.named(c).isNotNull(), order)).alias(c) for c in columns if c != self.key]
