@@ -16,7 +16,7 @@ from entitylake.operators import upsert as U
 from entitylake.plans import exports
 from entitylake.plans import standins as S
 from entitylake.plans.standins import table
-from entitylake.session import scratch_dir
+from entitylake.session import scratch_dir, stored
 from entitylake.sources import paged
 from entitylake.sources.history import History
 from entitylake.sources.landing import stream_webhooks
@@ -736,6 +736,7 @@ def stored_export(spark, sf_dir):
         return documents.select(V.at(F.col("doc"), "$.id", "string").alias("id"), "page", "pos", F.col("doc").cast("string").alias("text"))
 
     deals = loaded_deals(spark, S.whole_deal_pages(spark, sf_dir), to_rows).current()
+    deals = stored(deals.select("text"), "current")  # read three times: for keys, fields and cells
     whole = deals.select(F.parse_json("text").alias("doc"))
     docs = documents.expand_documents(whole, documents.header_union(whole))
     wide = layouts.workbook_table(docs, fields.custom_columns(docs))
