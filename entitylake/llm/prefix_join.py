@@ -4,7 +4,8 @@ All shingles have one order, rare ones first. Two sets of the wanted similarity
 the first n - ceil(n * percent / 100) + 1 shingles of each. Equal sets are one node, nodes of equal prefix and size
 one group, and a group is one entry in the list of every shingle of its prefix. Pairs of groups in a list are
 filtered by size, by what their places in the prefix leave possible, and by parity bitmaps; what passes is expanded
-to members, and every link is decided by the whole sets. Sets are made again for nodes with a partner that passes.
+to members. A bitmap of fixed size tells nothing of large sets, so pairs of members are filtered once more by sketches, bitmaps
+that grow with their set; every link is decided by the whole sets. Sets are made again for nodes with a partner that passes.
 
 Only components are asked for, so pairs inside one component are not looked at. First every list ties its members
 to its most typical member (by one order of all groups, so that a family has few hubs), then to another one picked by
@@ -37,6 +38,8 @@ from entitylake.llm import common, components, shingle_sets
 #: Longs of a parity bitmap.
 WORDS = 8
 BITMAP = [f"w{i}" for i in range(WORDS)]
+#: Sets of more elements have a sketch besides: bitmaps of unlike ones differ in about half their bits whatever the size.
+WIDE = 64 * WORDS
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -56,11 +59,11 @@ def nodes_of(docs: DataFrame, shingle: int, percent: int, id_column: str = "doc_
     text = common.whole_text(text_column)
     order = shingle_sets.frequencies(docs, text, shingle)
     order = np.minimum(order, np.iinfo(np.uint32).max).astype(np.uint32)
-    names = ["id", "digest", "node", "n", "gid", "prefix", *BITMAP]
+    names = ["id", "digest", "node", "n", "gid", "prefix", "sketch", *BITMAP]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, n, gid, prefix, words = [], [], [], [], []
+            node, n, gid, prefix, sketches, words = [], [], [], [], [], []
             for t in batch.column("text"):
                 numbers = shingle_sets.shingles(t.as_py(), shingle)
                 n.append(len(numbers))
@@ -69,12 +72,13 @@ def nodes_of(docs: DataFrame, shingle: int, percent: int, id_column: str = "doc_
                 node.append(shingle_sets.digest(numbers) if len(numbers) else None)
                 gid.append(shingle_sets.digest(first, len(numbers)) if len(numbers) else None)
                 prefix.append(first.view(np.int64))
+                sketches.append(shingle_sets.sketch(numbers, WIDE))
                 words.append(bitmap(numbers))
             bits = np.array(words, np.int64).reshape(-1, WORDS).T
-            made = [pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(gid, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))]
+            made = [pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(gid, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), *made, *map(pa.array, bits)], names)
 
-    schema = f"id long, digest long, node long, n long, gid long, prefix array<long>, {', '.join(f'{w} long' for w in BITMAP)}"
+    schema = f"id long, digest long, node long, n long, gid long, prefix array<long>, sketch binary, {', '.join(f'{w} long' for w in BITMAP)}"
     rows = docs.select(*common.row_key(id_column, text_column), text.alias("text"))
     return common.stored(rows.mapInArrow(of, schema), "shingle-nodes")
 
@@ -108,7 +112,7 @@ class _Join:
     """The tables of one join, and the links found so far."""
 
     def __init__(self, docs: DataFrame, made: DataFrame, shingle: int, percent: int, id_column: str, text_column: str, known: DataFrame | None):
-        self.percent, self.spark = percent, docs.sparkSession
+        self.shingle, self.percent, self.spark = shingle, percent, docs.sparkSession
         lists_held, self.held = common.Scratch(self.spark), common.Scratch(self.spark)
         worded = made.filter("n > 0")
         groups = worded.groupBy("gid").agg(
@@ -129,31 +133,44 @@ class _Join:
         # so that the lists of a family mostly have the same hub.
         self.typical = self.held.stored(self.entries.groupBy("gid").agg((F.count("*") / F.max("n")).alias("live")), "shingle-typical")
         wanted = self.entries.select("gid").unionByName(groups.filter("lo < hi").select("gid")).distinct()
+        row = F.xxhash64("digest", "id").alias("row")
         members = worded.join(wanted, "gid", "left_semi").groupBy("gid", "node").agg(
-            F.min("n").cast("int").alias("n"), F.min(F.xxhash64("digest", "id")).alias("row"), *[F.min(w).alias(w) for w in BITMAP]
+            F.min("n").cast("int").alias("n"), F.min(row).alias("row"), F.min("sketch").alias("sketch"), *[F.min(w).alias(w) for w in BITMAP]
         )
         self.members = self.held.stored(members, "shingle-members")
         lists_held.clear()
-        nodes = self.members.select("node", "row")
+        self.sketches = self.members.select("node", "n", "row", "sketch")
         if known is not None:
             ends = known.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-            nodes = nodes.unionByName(worded.join(ends, "node", "left_semi").select("node", F.xxhash64("digest", "id").alias("row")))
-        row = F.xxhash64("digest", "id").alias("row")
-        texts = docs.select(*common.row_key(id_column, text_column), common.whole_text(text_column).alias("text")).select(row, "text")
-        self.sets = self.held.stored(shingle_sets.sets_of(texts, shingle, nodes), "shingle-sets")
+            own = worded.join(ends, "node", "left_semi").select("node", F.col("n").cast("int").alias("n"), row, "sketch")
+            made = self.sketches.unionByName(own).groupBy("node").agg(F.min("n").alias("n"), F.min("row").alias("row"), F.min("sketch").alias("sketch"))
+            self.sketches = self.held.stored(made, "shingle-sketches")
+        texts = docs.select(*common.row_key(id_column, text_column), common.whole_text(text_column).alias("text"))
+        self.texts = texts.select(row, "text")
         self.links = self.checked(known) if known is not None else None
 
     def checked(self, pairs: DataFrame) -> DataFrame:
-        pairs = self.held.stored(pairs, "shingle-pairs")  # read three times
-        return common.stored(shingle_sets.similar(pairs, self.sets, self.percent), "shingle-links")
+        """The pairs that are links. Only sets of pairs whose sketches are near are made, and they are deleted after."""
+        held = common.Scratch(self.spark)
+        pairs = held.stored(pairs, "shingle-pairs")
+        near = held.stored(shingle_sets.near(pairs, self.sketches, self.percent), "shingle-near")  # read several times
+        if near.isEmpty():
+            links = common.stored(near, "shingle-links")
+        else:
+            ends = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            nodes = held.stored(self.sketches.select("node", "row").join(ends, "node", "left_semi"), "shingle-ends")
+            sets = held.stored(shingle_sets.sets_of(self.texts, self.shingle, nodes), "shingle-sets")
+            links = common.stored(shingle_sets.similar(near, sets, self.percent), "shingle-links")
+        held.clear()
+        return links
 
     def _state(self) -> tuple[DataFrame, DataFrame]:
         """Members with their part, and groups with the least and greatest part of theirs."""
-        members = self.members.drop("row").withColumn("part", F.col("node"))
+        members = self.members.drop("row", "sketch").withColumn("part", F.col("node"))
         if self.links is not None:
             found = components.labels(self.links, "a", "b").withColumnRenamed("node", "of")
             members = self.members.join(found, F.col("node") == F.col("of"), "left").withColumn("part", F.coalesce("component", "node"))
-            members = self.held.stored(members.drop("of", "component", "row"), "shingle-parts")
+            members = self.held.stored(members.drop("of", "component", "row", "sketch"), "shingle-parts")
         groups = members.groupBy("gid").agg(
             F.min("n").alias("n"), F.count("*").alias("m"), F.min("node").alias("rep"), F.min("part").alias("low"),
             F.max("part").alias("high"), *[F.min(w).alias(w) for w in BITMAP],
@@ -174,23 +191,23 @@ class _Join:
 
     def run(self, stars: int) -> DataFrame:
         bits = f"(x.m > 1 or y.m > 1 or {_near_bits(self.percent)})"
-        sizes = f"{_possible(self.percent)} and {APART} and {_places(self.percent)}"
+        sizes = f"{_possible(self.percent)} and {_places(self.percent)}"
         for turn in range(stars):
             members, groups = self._state()
-            entries = self.entries.join(groups.select("gid", "low", "high").join(self.typical, "gid"), "gid")
+            entries = self.entries.join(self.typical, "gid") if turn == 0 else self.entries
             rank = F.struct(-F.col("live"), "gid") if turn == 0 else F.struct(F.xxhash64("gid", F.lit(turn)), "gid")
-            hubs = entries.groupBy("token").agg(F.min_by(F.struct("gid", "n", "pos", "low", "high"), rank).alias("hub")).select("token", "hub.*")
+            hubs = entries.groupBy("token").agg(F.min_by(F.struct("gid", "n", "pos"), rank).alias("hub")).select("token", "hub.*")
             star = hubs.alias("x").join(entries.alias("y"), F.expr(f"x.token = y.token and x.gid <> y.gid and {sizes}"))
             star = star.groupBy(F.col("x.gid").alias("a"), F.col("y.gid").alias("b")).agg(F.count("*").alias("lists"))
-            # Bitmaps travel once per pair. Of the hubs that remain, a group is compared with the one that it shares most lists with.
-            maps = groups.select("gid", "n", "m", *BITMAP)
-            near = star.join(maps.alias("x"), F.expr("a = x.gid")).join(maps.alias("y"), F.expr(f"b = y.gid and {bits}"))
+            # Bitmaps and parts travel once per pair. Of the hubs that remain, a group is compared with the one that it shares most lists with.
+            maps = groups.select("gid", "n", "m", "low", "high", *BITMAP)
+            near = star.join(maps.alias("x"), F.expr("a = x.gid")).join(maps.alias("y"), F.expr(f"b = y.gid and {APART} and {bits}"))
             star = near.groupBy("b").agg(F.max_by("a", F.struct("lists", "a")).alias("a")).select("a", "b")
             own = groups.filter("low <> high").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
             self._pass(star.unionByName(own), members, one=True)
         members, groups = self._state()
         entries = self.entries.join(groups.drop("n"), "gid")
-        rest = entries.alias("x").join(entries.alias("y"), F.expr(f"x.token = y.token and x.gid < y.gid and {sizes} and {bits}"))
+        rest = entries.alias("x").join(entries.alias("y"), F.expr(f"x.token = y.token and x.gid < y.gid and {APART} and {sizes} and {bits}"))
         rest = rest.select(F.col("x.gid").alias("a"), F.col("y.gid").alias("b"))
         own = groups.filter("low <> high").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
         self._pass(rest.unionByName(own).distinct(), members, one=False)

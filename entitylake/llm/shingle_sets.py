@@ -90,6 +90,28 @@ def digest(numbers: np.ndarray, salt: int = 0) -> int:
     return found - (1 << 64) if found >> 63 else found
 
 
+def sketch(numbers: np.ndarray, least: int) -> bytes | None:
+    """Parities of the counts of numbers, in four bits a number up to 2^BITS; none for ``least`` numbers or fewer.
+
+    Longer ones fold to shorter ones, half on half. Two sets differ in as many elements at least as sketches in bits.
+    """
+    if len(numbers) <= least:
+        return None
+    bits = min(1 << BITS, 1 << (4 * len(numbers) - 1).bit_length())
+    at = (numbers >> np.uint64(64 - BITS)).astype(np.int64) & (bits - 1)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """In how many bits two sketches differ."""
+    s, t = (np.frombuffer(v, np.uint8) for v in (x, y))
+    while len(s) != len(t):
+        if len(s) < len(t):
+            s, t = t, s
+        s = s[: len(s) // 2] ^ s[len(s) // 2 :]
+    return int(np.bitwise_count(s ^ t).sum(dtype=np.int64))
+
+
 def bucket(numbers: np.ndarray) -> np.ndarray:
     """Where numbers are counted in a table."""
     return (numbers & np.uint64((1 << BITS) - 1)).astype(np.int64)
@@ -168,6 +190,22 @@ def sets_of(texts: DataFrame, size: int, nodes: DataFrame) -> DataFrame:
     return made.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("numbers").alias("numbers"))
 
 
+def near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs a, b whose sketches (node, n, sketch) differ in no more bits than sets of that similarity in elements."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, x, y in zip(batch.column("n").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
+                most = n - 2 * -(-percent * n // (100 + percent))
+                keep.append(not x.is_valid or not y.is_valid or apart(x.as_buffer(), y.as_buffer()) <= most)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    x, y = (sketches.select(F.col("node").alias(e), F.col("n").alias(f"n_{e}"), F.col("sketch").alias(s)) for e, s in (("a", "x"), ("b", "y")))
+    met = pairs.join(y, "b").join(x, "a").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "x", "y")
+    return met.mapInArrow(of, "a long, b long")
+
+
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs a, b whose whole sets have at least ``percent`` of their union in common."""
 

@@ -101,6 +101,40 @@ def test_filters_keep_what_is_similar():
         assert prefix_join.prefix_length(n, 85) == n - (85 * n + 99) // 100 + 1
 
 
+def test_sketches_bound_the_difference_whatever_their_lengths():
+    r = np.random.default_rng(5)
+    for n, m, both in ((600, 600, 600), (600, 640, 500), (1000, 1100, 0), (5000, 4600, 4000), (300_000, 270_000, 260_000)):
+        numbers = r.integers(0, 1 << 63, n + m - both, dtype=np.uint64) * np.uint64(2)
+        x, y = shingle_sets.sketch(numbers[:n], 512), shingle_sets.sketch(numbers[n - both :], 512)
+        assert shingle_sets.apart(x, y) == shingle_sets.apart(y, x) <= n + m - 2 * both
+        assert shingle_sets.apart(x, y) >= 0.6 * min(n + m - 2 * both, 4 * len(x))
+    assert shingle_sets.sketch(numbers[:512], 512) is None
+
+
+def test_unlike_long_texts_that_share_a_passage_meet_as_sketches_alone(documents):
+    """Texts of 3000 words, too many for a bitmap of 512 bits; each shares 20 rare words with the next, and two are near copies."""
+    r = random.Random(8)
+    own = [[f"w{r.randint(0, 10**6)}" for _ in range(3000)] for _ in range(12)]
+    for a, b in zip(own, own[1:], strict=False):
+        b[:20] = a[-20:]
+    rows = [(i, " ".join(words)) for i, words in enumerate(own)] + [(50, " ".join([*own[3][:2900], "x"])), (51, " ".join(own[7][300:]))]
+    docs, held = documents(rows), []
+    made = prefix_join.nodes_of(docs, 4, 85)
+    whole = shingle_sets.similar
+
+    def similar(pairs, sets, percent):
+        held.extend((pairs.count(), sets.count()))
+        return whole(pairs, sets, percent)
+
+    shingle_sets.similar = similar
+    try:
+        assert prefix_join.links(docs, made, 4, 85).count() == 2
+    finally:
+        shingle_sets.similar = whole
+    assert held == [2, 4]
+    assert in_order(found_similar(docs)) == in_order(slow_similar(rows, 4, 85))
+
+
 def test_shingles_tell_word_counts_apart():
     assert len(shingle_sets.shingles("a b c", 4)) == 1 and len(shingle_sets.shingles("", 4)) == 0
     assert shingle_sets.shingles("a b c", 4)[0] != shingle_sets.shingles("a b c d", 4)[0]
