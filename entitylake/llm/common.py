@@ -59,6 +59,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Deletes the folders that a frame made of ``stored`` ones reads; nothing may read them any more."""
+    spark = df.sparkSession
+    for folder in sorted({file.rpartition("/")[0] for file in df.inputFiles()}):
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class Scratch:
     """Written tables of one computation, deleted together once nothing reads them any more."""
 

@@ -41,4 +41,8 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     found = components.labels(links, "a", "b").withColumnRenamed("node", "of")
     # Texts without words have no node and are one part.
     parts = made.join(found, F.col("node") == F.col("of"), "left").select("id", "digest", F.coalesce("component", "node", F.lit(0)).alias("part"))
+    # The rows are read after this step ended; by then the nodes, links and fingerprints are gone.
+    parts = common.stored(parts, "near-parts")
+    for table in (made, links, known):
+        common.dropped(table)
     return common.one_per_part(docs, parts, id_column, text_column)

@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from entitylake.llm import common
+from entitylake.llm import common, near_copies, quality
 from test_dedup import removed
 from test_joins import slow_similar
 from test_rows import slow_stats
@@ -68,3 +68,23 @@ def test_sequences(stages):
     for r in stages[5]:
         used[r.sequence_id] += r.length
     assert max(used.values()) <= 1024
+
+
+def test_stages_leave_no_texts_or_nodes_behind(documents, spark, monkeypatch, tmp_path):
+    made = []
+
+    def folder(_, name):
+        made.append(tmp_path / f"{name}-{len(made)}")
+        return str(made[-1])
+
+    monkeypatch.setattr(common, "scratch_dir", folder)
+    long = [" ".join(f"w{i * 7 + j}" for j in range(40)) for i in range(30)]
+    docs = documents([*enumerate(long), (30, long[0]), (None, long[1]), (31, "few words"), (31, None)])
+    labels = spark.createDataFrame([(i, 1) for i in range(30)], "doc_id long, quality int")
+    good = quality.keep_good(docs, labels)
+    assert all(k != "string" for k in (t for at in made for _, t in spark.read.parquet(str(at)).dtypes))
+    assert not any("row" in spark.read.parquet(str(at)).columns for at in made)
+    assert sorted(r.doc_id is None or r.doc_id for r in good.collect()) == sorted([*range(31), True])
+    one = near_copies.keep_one(good)
+    assert not [at for at in made if at.name.startswith("shingle-nodes") and at.exists()]
+    assert sorted(r.doc_id for r in one.collect()) == list(range(30))
