@@ -1,28 +1,52 @@
 """Token ids of whole texts by a public tokenizer, each distinct piece of text encoded once.
 
-A byte-level BPE splits a text by a pattern before any merge, and no match of the pattern crosses a place
-between a character that is no white space and a space after it: such places are safe to cut at. Texts are cut
-there and pieces that were met before are looked up. A new piece is cut once more, at places that no match crosses
-either: between a Latin letter and an ASCII mark or digit, and around a line feed that stands alone. Only parts
-that are still new go through the tokenizers library. Special strings have no space inside, so the first cut
-divides none, and a piece that holds one is not cut again: the library treats them as it does by default.
+A byte-level BPE splits a text by a pattern before any merge. Texts are cut at places that no match of the pattern
+crosses and where the matches beside it stay what they are: between a character that is no white space and a space
+or line feed after it, after a line feed that stands alone, and where Latin letters, ASCII digits and ASCII marks
+meet, but for a letter after an apostrophe. Special strings are not cut: the library treats them as it does by
+default. The places are found over the bytes of many texts at once, equal pieces of these texts are looked up once,
+and only pieces not met before go through the tokenizers library.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
-# White space before a space: there, a cut at every space could divide one match of the pattern.
-RUN = re.compile(r"\s ")
-SAFE = re.compile(r"(?<=\S)(?= )")
-MARKS = "!\"#$%&'()*+,-./0123456789:;<=>?@[\\]^_`{|}~"
-LATIN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xC0, 0x100)))) - {"×", "÷"}
+# What a byte is to the pattern. SOLID ends a character beyond ASCII that is neither white space nor a Latin-1 letter;
+# OTHER bytes have no safe place beside them.
+OTHER, BLANK, FEED, LETTER, DIGIT, MARK, APOSTROPHE, SOLID = range(8)
+
+
+def _kinds() -> np.ndarray:
+    out = np.full(256, OTHER, np.uint8)
+    out[0x21:0x7F] = MARK
+    out[0x30:0x3A] = DIGIT
+    out[0x41:0x5B] = out[0x61:0x7B] = LETTER
+    out[0x80:0xC0] = SOLID
+    out[[0x20, 0x0A, 0x27]] = BLANK, FEED, APOSTROPHE
+    return out
+
+
+def _safe() -> np.ndarray:
+    """By 8 * kind of the byte before + kind of the byte after; not those after a line feed."""
+    out = np.zeros((8, 8), bool)
+    solid = [LETTER, DIGIT, MARK, APOSTROPHE]
+    out[np.ix_([*solid, SOLID], [BLANK, FEED])] = True
+    for a in solid:
+        out[a, [b for b in solid if a != b]] = True
+    out[MARK, APOSTROPHE] = out[APOSTROPHE, MARK] = out[APOSTROPHE, LETTER] = False
+    return out.ravel()
+
+
+KINDS, SAFE = _kinds(), _safe()
+# White space beyond ASCII, by its first byte.
+SPACES = {c.encode() for c in "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))}
+LEADS = {lead: [s for s in SPACES if s[0] == lead] for lead in {s[0] for s in SPACES}}
 
 # Fixed value: how a byte-level vocabulary writes a space.
 SPACE = "\u0120"
@@ -44,12 +68,30 @@ def encoder(path: str) -> PieceEncoder:
     return _encoders[path]
 
 
-def pieces(text: str) -> list[str]:
-    """The text cut at safe places. A piece that follows a space of the text comes without that space."""
-    if RUN.search(text):
-        return ["  " + piece for piece in SAFE.split(text)]
-    first, *rest = text.split(" ")
-    return ["  " + first, *rest] if first else rest
+def safe_places(data: np.ndarray, special: list[bytes]) -> np.ndarray:
+    """For every byte of UTF-8 texts, one after another, whether it is safe to cut before it."""
+    kinds = KINDS[data]
+    lead = np.flatnonzero(data == 0xC3)
+    lead = lead[~np.isin(data[lead + 1], (0x97, 0xB7))]  # multiplication and division sign
+    kinds[lead] = kinds[lead + 1] = LETTER
+    for byte, spaces in LEADS.items():
+        lead = np.flatnonzero(data == byte)
+        for space in spaces if len(lead) else ():
+            end = len(space) - 1
+            at = lead[(data[lead + 1] == space[1]) & (data[lead + end] == space[end])]
+            kinds[at + end] = OTHER
+    out = np.zeros(len(data), bool)
+    out[1:] = SAFE[8 * kinds[:-1] + kinds[1:]]
+    feed = np.flatnonzero(kinds[1:-1] == FEED) + 1
+    alone = (kinds[feed - 1] >= LETTER) & (kinds[feed + 1] >= LETTER) & (kinds[feed + 1] != SOLID)
+    out[feed[alone] + 1] = True
+    whole = data.tobytes() if special else b""
+    for own in special:
+        at = whole.find(own)
+        while at >= 0:
+            out[at + 1 : at + len(own)] = False
+            at = whole.find(own, at + 1)
+    return out
 
 
 def texts_of(column: pa.Array, rows: int = 256) -> Iterator[str]:
@@ -86,14 +128,6 @@ def safe_parts(text: str, limit: int) -> Iterator[str]:
     yield text[start:]
 
 
-def _word(text: str) -> tuple[str, ...]:
-    """The text, and the ASCII marks and digits after its last Latin letter, if it ends so."""
-    head = text.rstrip(MARKS)
-    if head and len(head) < len(text) and head[-1] in LATIN:
-        return head, "  " + text[len(head) :]
-    return (text,)
-
-
 class _Numbers(dict):
     """Numbers pieces as they are asked for; ``new`` has those that were not known."""
 
@@ -107,43 +141,42 @@ class _Numbers(dict):
 
 
 class PieceEncoder:
-    """Known pieces are forgotten when they are more than ``max_pieces``; results don't depend on it."""
+    """Pieces met but once are forgotten when more than ``max_pieces`` are known; results don't depend on it."""
 
     def __init__(self, path: str, max_pieces: int = 600_000, max_chars: int = 16_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
         self.spaced[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
+        self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.max_pieces, self.max_chars = max_pieces, max_chars
-        self._forget()
+        self._empty()
 
-    def _forget(self) -> None:
+    def _empty(self) -> None:
         self.known, self.chars, self.used = _Numbers(), 0, 0
         self.ids = np.empty(1 << 16, np.uint32)
-        self.starts, self.sizes = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
-
-    def _parts(self, piece: str) -> tuple[str, ...]:
-        """The piece in parts, named like pieces are."""
-        if piece.isalpha() or piece.startswith("  "):
-            return (piece,)
-        for special in self.special:
-            if special in piece:
-                return (piece,)
-        line, feed, rest = piece.partition("\n")
-        if not feed:
-            return _word(piece)
-        if not line or not rest or "\n" in rest or line[-1].isspace() or rest[0].isspace():
-            return (piece,)
-        first, *after = _word(rest)
-        return (*_word(line), "  \n", "  " + first, *after)
+        self.starts, self.sizes, self.met = (np.zeros(1 << 14, np.int64) for _ in range(3))
+
+    def _forget(self) -> None:
+        """Keeps the pieces that were met again in other texts, if they are few enough."""
+        own, again = list(self.known), np.flatnonzero(self.met[: len(self.known)] > 1)
+        sizes, (ids, _) = self.sizes[again], self._ids(again)
+        self._empty()
+        kept = [own[i] for i in again]
+        if 2 * len(kept) <= self.max_pieces and 2 * sum(map(len, kept)) <= self.max_chars:
+            self.known.update(zip(kept, range(len(kept)), strict=True))
+            self.chars = sum(map(len, kept))
+            self._append(list(range(len(kept))), sizes, ids)
+            self.met[: len(kept)] = 1
 
     def _append(self, numbers: list[int], sizes: np.ndarray, ids: np.ndarray) -> None:
         while len(self.known) > len(self.starts):
-            self.starts, self.sizes = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.sizes))
+            old = (self.starts, self.sizes, self.met)
+            self.starts, self.sizes, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in old)
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
         self.starts[numbers] = self.used + np.cumsum(sizes) - sizes
@@ -156,38 +189,49 @@ class PieceEncoder:
         new = self.known.new
         self.chars += sum(map(len, new))
         first = len(self.known) - len(new)
-        parts = list(map(self._parts, new))
-        whole = [i for i, own in enumerate(parts) if len(own) == 1]
-        cut = [i for i, own in enumerate(parts) if len(own) > 1]
-        flat = [self.known[part] for i in cut for part in parts[i]]  # numbers parts that are new, too
-        atoms = [*whole, *range(len(parts), len(new))]
-        words = [i for i in atoms if new[i].isalpha()]
-        others = [i for i in atoms if not new[i].isalpha()]
-        for own, encode in ((words, self._encode_words), (others, self._encode_each)):
-            if own:
-                self._append([first + i for i in own], *encode([new[i] for i in own]))
-        if cut:
-            ids, ends = self._ids(np.array(flat, np.int64))
-            counts = np.fromiter((len(parts[i]) for i in cut), np.int64, len(cut))
-            self._append([first + i for i in cut], np.diff(ends[np.cumsum(counts) - 1], prepend=0), ids)
+        words, lone, others = [], [], []
+        for i, piece in enumerate(new):
+            spaced = piece[0] == " "
+            if spaced and piece[1:].isalpha():
+                words.append(i)
+            elif len(own := piece.split()) == 1 and len(piece) == len(own[0]) + spaced:
+                lone.append(i)
+            else:
+                others.append(i)
+        for numbers, encode in ((words, self._encode_words), (lone, self._encode_lines), (others, self._encode_each)):
+            if numbers:
+                self._append([first + i for i in numbers], *encode([new[i] for i in numbers]))
         self.known.new = []
 
     def _encode_each(self, own: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        texts = [p[2:] if p.startswith("  ") else " " + p for p in own]
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(own, add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         return sizes, np.fromiter(chain.from_iterable(found), np.uint32, sizes.sum())
 
+    def _encode_runs(self, own: list[str], between: str) -> np.ndarray:
+        runs = [between.join(own[at : at + WORDS_AT_ONCE]) for at in range(0, len(own), WORDS_AT_ONCE)]
+        found = self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)
+        return np.fromiter(chain.from_iterable(e.ids for e in found), np.uint32)
+
     def _encode_words(self, own: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Many words at once: each begins at its space, so at the one token of it that begins with a space."""
-        runs = [" " + " ".join(own[at : at + WORDS_AT_ONCE]) for at in range(0, len(own), WORDS_AT_ONCE)]
-        found = self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)
-        ids = np.concatenate([np.array(e.ids, np.uint32) for e in found])
+        ids = self._encode_runs(own, "")
         starts = np.flatnonzero(self.spaced[ids])
         if len(starts) != len(own):  # of a tokenizer that doesn't mark spaces so
             return self._encode_each(own)
         return np.diff(starts, append=len(ids)), ids
 
+    def _encode_lines(self, own: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Many pieces without white space, but for a space ahead, at once: a line feed after each is a token of its own."""
+        if len(self.feed) != 1:
+            return self._encode_each(own)
+        ids = self._encode_runs([piece + "\n" for piece in own], "")
+        feeds = ids == self.feed[0]
+        ends = np.flatnonzero(feeds)
+        if len(ends) != len(own):
+            return self._encode_each(own)
+        return np.diff(ends, prepend=-1) - 1, ids[~feeds]
+
     def _ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of pieces, one after another, and where each piece's end."""
         sizes = self.sizes[numbers]
@@ -199,16 +243,22 @@ class PieceEncoder:
         """The number of every piece, and where each text's pieces end."""
         if len(self.known) > self.max_pieces or self.chars > self.max_chars:
             self._forget()
-        words: list[str] = []
-        counts = []
-        for text in texts:
-            own = pieces(text)
-            counts.append(len(own))
-            words += own
-        numbers = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        column = pa.array(texts, pa.string())
+        _, ends, data = column.buffers()
+        ends = np.frombuffer(ends, np.int32, len(texts) + 1) if texts else np.zeros(1, np.int32)
+        if not ends[-1]:
+            return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+        safe = safe_places(np.frombuffer(data, np.uint8, ends[-1]), self.special)
+        safe[ends[ends < ends[-1]]] = True
+        starts = np.flatnonzero(safe)
+        places = pa.py_buffer(np.append(starts, ends[-1]).astype(np.int32))
+        pieces = pa.Array.from_buffers(pa.string(), len(starts), [None, places, data]).dictionary_encode()
+        own = pieces.dictionary.to_numpy(zero_copy_only=False)
+        numbers = np.fromiter(map(self.known.__getitem__, own), np.int64, len(own))
         if self.known.new:
             self._learn()
-        return numbers, np.cumsum(counts, dtype=np.int64)
+        self.met[numbers] += 1
+        return numbers[pieces.indices.to_numpy()], np.searchsorted(starts, ends[1:])
 
     def lengths(self, texts: list[str]) -> np.ndarray:
         numbers, ends = self._look_up(texts)

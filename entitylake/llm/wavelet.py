@@ -28,13 +28,16 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
         width = max(1, int(ids.max(initial=0)).bit_length())
         current = ids.astype(np.uint16 if width <= 16 else np.uint32)
+        below = np.empty_like(current)
         planes, zeros = [], []
         for bit in range(width - 1, -1, -1):
             ones = (current & (1 << bit)) != 0
             planes.append(np.packbits(ones))
-            low = np.flatnonzero(~ones)
+            high, low = np.flatnonzero(ones), np.flatnonzero(~ones)
             zeros.append(len(low))
-            current = current[np.concatenate([low, np.flatnonzero(ones)])]
+            np.take(current, low, out=below[: len(low)], mode="clip")
+            np.take(current, high, out=below[len(low) :], mode="clip")
+            current, below = below, current
         return cls(planes, zeros, len(ids))
 
     def all(self) -> np.ndarray:

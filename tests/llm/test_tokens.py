@@ -37,6 +37,37 @@ def test_pieces_give_the_library_ids(library):
             assert "".join(parts) == text and sum(len(ids_of(library, p)) for p in parts) == len(ids)
 
 
+def test_pieces_of_other_scripts_and_blanks(library):
+    r = random.Random(3)
+    marks = ["x", "Ab", "ß", "×", "÷", "д", "中", "。", "‘", "’s", "'", "'ll", "'S", "7", "٣", "-", "_", "\x00", "\x7f", "\n", "\n", " "]
+    marks += ["\xa0", "\u1680", "\u2003", "\u2028", "\u205f", "\u3000", "\u200b", "\x1f", "\r", "<|endoftext|>", "endoftext|>"]
+    own = token_pieces.PieceEncoder(PATH, max_pieces=2000)
+    for _ in range(60):
+        texts = ["".join(r.choice(marks) for _ in range(r.randint(0, 25))) for _ in range(80)]
+        assert [list(x) for x in own.encode(texts)] == [list(ids_of(library, t)) for t in texts]
+    assert [list(x) for x in own.encode(["", ""])] == [[], []] and list(own.lengths(["", "a", ""])) == [0, 1, 0]
+
+
+def test_a_word_is_learned_once_whatever_follows(library):
+    """Not once for every mark, number or line that it stands before."""
+    words = [f"{a}o{b}e" for a in "bcdfgk" for b in "lmnrst"]
+    ends = [",", ".", "!!", "...", ";", "?", ":", ")", "7", "12", ".\n", "!\n"]
+    texts = [f"the {w}{e}{v} end" for w in words for v in words[:5] for e in ends]
+    own = token_pieces.PieceEncoder(PATH)
+    assert [list(x) for x in own.encode(texts)] == [list(ids_of(library, t)) for t in texts]
+    assert len(own.known) < 2 * len(words) + len(ends) + 10
+
+
+def test_frequent_pieces_stay_known(library):
+    own = token_pieces.PieceEncoder(PATH, max_pieces=100)
+    often = "these words are met again and again"
+    for i in range(40):
+        texts = [often, " ".join(f"q{'abcdefghij'[i % 10]}{'klmnopqrst'[j]}{'uvwxy'[i // 10]}" for j in range(10))]
+        before = set(own.known)
+        assert [list(x) for x in own.encode(texts)] == [list(ids_of(library, t)) for t in texts]
+        assert len(own.known) <= 100 + 20 and (i < 2 or " again" in before)
+
+
 def test_counts(documents, texts, library):
     df = token_counts.count_tokens(documents(list(enumerate(texts)) + [(None, "x y"), (0, None)]), batch_bytes=2000)
     found = sorted(tuple(r) for r in df.filter("doc_id is not null").collect())
