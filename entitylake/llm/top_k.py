@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from entitylake.llm import common
 
 #: Lists read between two looks at the bounds, and the part of the lists before the first look.
-STEP, FIRST = 4, 0.75
+STEP, FIRST = 2, 0.75
 
 
 def integer_components(embedding: Column, scale: int = 64) -> Column:
