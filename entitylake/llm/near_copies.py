@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from entitylake.llm import common, components, prefix_join, simhash
+from entitylake.llm import common, prefix_join, simhash
 
 
 def _candidates(docs: DataFrame, made: DataFrame, id_column: str, text_column: str, shingle: int) -> DataFrame:
@@ -37,12 +37,11 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     """One document of each component of texts with that similarity or more; see ``common.one_per_part``."""
     made = prefix_join.nodes_of(docs, shingle, percent, id_column, text_column)
     known = _candidates(docs, made, id_column, text_column, shingle)
-    links = prefix_join.links(docs, made, shingle, percent, id_column, text_column, stars=1, known=known)
-    found = components.labels(links, "a", "b").withColumnRenamed("node", "of")
+    found = prefix_join.parts_of(docs, made, shingle, percent, id_column, text_column, stars=1, known=known)
     # Texts without words have no node and are one part.
-    parts = made.join(found, F.col("node") == F.col("of"), "left").select("id", "digest", F.coalesce("component", "node", F.lit(0)).alias("part"))
-    # The rows are read after this step ended; by then the nodes, links and fingerprints are gone.
+    parts = made.join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("id", "digest", F.coalesce("component", "node", F.lit(0)).alias("part"))
+    # The rows are read after this step ended; by then the nodes, their parts and candidates are gone.
     parts = common.stored(parts, "near-parts")
-    for table in (made, links, known):
+    for table in (made, found, known):
         common.dropped(table)
     return common.one_per_part(docs, parts, id_column, text_column)

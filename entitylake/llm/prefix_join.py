@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from entitylake.llm import common, components, shingle_sets
@@ -109,7 +109,7 @@ APART = "not (x.low = x.high and y.low = y.high and x.low = y.low)"
 
 
 class _Join:
-    """The tables of one join, and the links found so far."""
+    """The tables of one join, and what it found so far: links, and parts as ``components.labels`` has them."""
 
     def __init__(self, docs: DataFrame, made: DataFrame, shingle: int, percent: int, id_column: str, text_column: str, known: DataFrame | None):
         self.shingle, self.percent, self.spark = shingle, percent, docs.sparkSession
@@ -128,10 +128,11 @@ class _Join:
         full = lists_held.stored(full, "shingle-bitmaps")
         bits = f"(x.several or y.several or {_near_bits(percent)})"
         partner = F.expr(f"x.token = y.token and x.gid <> y.gid and {_possible(percent)} and {_places(percent)} and {bits}")
-        self.entries = self.held.stored(full.alias("x").join(full.alias("y"), partner, "left_semi").select("token", "gid", "n", "pos"), "shingle-live")
+        entries = full.alias("x").join(full.alias("y"), partner, "left_semi")
         # How typical a group is: the share of its set's shingles that bring it to a live list. One order for all lists,
         # so that the lists of a family mostly have the same hub.
-        self.typical = self.held.stored(self.entries.groupBy("gid").agg((F.count("*") / F.max("n")).alias("live")), "shingle-typical")
+        live = F.count("*").over(Window.partitionBy("gid")) / F.col("n")
+        self.entries = self.held.stored(entries.select("token", "gid", "n", "pos", live.alias("live")), "shingle-live")
         wanted = self.entries.select("gid").unionByName(groups.filter("lo < hi").select("gid")).distinct()
         row = F.xxhash64("digest", "id").alias("row")
         members = worded.join(wanted, "gid", "left_semi").groupBy("gid", "node").agg(
@@ -147,28 +148,35 @@ class _Join:
             self.sketches = self.held.stored(made, "shingle-sketches")
         texts = docs.select(*common.row_key(id_column, text_column), common.whole_text(text_column).alias("text"))
         self.texts = texts.select(row, "text")
-        self.links = self.checked(known) if known is not None else None
+        self.links = self.spark.createDataFrame([], "a long, b long")
+        self.parts: DataFrame | None = None
+        if known is not None:
+            self.check(known)
 
-    def checked(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that are links. Only sets of pairs whose sketches are near are made, and they are deleted after."""
+    def check(self, pairs: DataFrame) -> None:
+        """Adds the pairs that are links. Only sets of pairs whose sketches are near are made, and they are deleted after."""
         held = common.Scratch(self.spark)
-        pairs = held.stored(pairs, "shingle-pairs")
         near = held.stored(shingle_sets.near(pairs, self.sketches, self.percent), "shingle-near")  # read several times
-        if near.isEmpty():
-            links = common.stored(near, "shingle-links")
-        else:
+        if not near.isEmpty():
             ends = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
             nodes = held.stored(self.sketches.select("node", "row").join(ends, "node", "left_semi"), "shingle-ends")
             sets = held.stored(shingle_sets.sets_of(self.texts, self.shingle, nodes), "shingle-sets")
-            links = common.stored(shingle_sets.similar(near, sets, self.percent), "shingle-links")
+            new = common.stored(shingle_sets.similar(near, sets, self.percent), "shingle-links")
+            self.links = self.links.unionByName(new)
+            # What was found before is as many rows as it ties nodes; its links needn't be read again.
+            known = self.parts
+            if known is not None:
+                new = new.unionByName(known.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            self.parts = components.labels(new, "a", "b")
+            if known is not None:
+                common.dropped(known)
         held.clear()
-        return links
 
     def _state(self) -> tuple[DataFrame, DataFrame]:
         """Members with their part, and groups with the least and greatest part of theirs."""
         members = self.members.drop("row", "sketch").withColumn("part", F.col("node"))
-        if self.links is not None:
-            found = components.labels(self.links, "a", "b").withColumnRenamed("node", "of")
+        if self.parts is not None:
+            found = self.parts.withColumnRenamed("node", "of")
             members = self.members.join(found, F.col("node") == F.col("of"), "left").withColumn("part", F.coalesce("component", "node"))
             members = self.held.stored(members.drop("of", "component", "row", "sketch"), "shingle-parts")
         groups = members.groupBy("gid").agg(
@@ -182,22 +190,21 @@ class _Join:
 
         Hubs stay on the side of a, so that few sets travel there.
         """
-        x = members.alias("x").join(members.groupBy("gid").agg(F.min("node").alias("rep")).alias("r"), F.expr("x.gid = r.gid and x.node = r.rep")) if one else members.alias("x")
-        x = x.select("x.*").alias("x")
-        met = pairs.join(x, F.expr("a = x.gid")).join(members.alias("y"), F.expr(f"b = y.gid and x.part <> y.part and {_near_bits(self.percent)}"))
+        x = members
+        if one:
+            x = members.groupBy("gid").agg(F.min(F.struct("node", *[c for c in members.columns if c not in ("gid", "node")])).alias("x")).select("gid", "x.*")
+        met = pairs.join(x.alias("x"), F.expr("a = x.gid")).join(members.alias("y"), F.expr(f"b = y.gid and x.part <> y.part and {_near_bits(self.percent)}"))
         found = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        new = self.checked(found)
-        self.links = new if self.links is None else self.links.unionByName(new)
+        self.check(found)
 
-    def run(self, stars: int) -> DataFrame:
+    def run(self, stars: int) -> _Join:
         bits = f"(x.m > 1 or y.m > 1 or {_near_bits(self.percent)})"
         sizes = f"{_possible(self.percent)} and {_places(self.percent)}"
         for turn in range(stars):
             members, groups = self._state()
-            entries = self.entries.join(self.typical, "gid") if turn == 0 else self.entries
             rank = F.struct(-F.col("live"), "gid") if turn == 0 else F.struct(F.xxhash64("gid", F.lit(turn)), "gid")
-            hubs = entries.groupBy("token").agg(F.min_by(F.struct("gid", "n", "pos"), rank).alias("hub")).select("token", "hub.*")
-            star = hubs.alias("x").join(entries.alias("y"), F.expr(f"x.token = y.token and x.gid <> y.gid and {sizes}"))
+            hubs = self.entries.groupBy("token").agg(F.min_by(F.struct("gid", "n", "pos"), rank).alias("hub")).select("token", "hub.*")
+            star = hubs.alias("x").join(self.entries.alias("y"), F.expr(f"x.token = y.token and x.gid <> y.gid and {sizes}"))
             star = star.groupBy(F.col("x.gid").alias("a"), F.col("y.gid").alias("b")).agg(F.count("*").alias("lists"))
             # Bitmaps and parts travel once per pair. Of the hubs that remain, a group is compared with the one that it shares most lists with.
             maps = groups.select("gid", "n", "m", "low", "high", *BITMAP)
@@ -212,7 +219,7 @@ class _Join:
         own = groups.filter("low <> high").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
         self._pass(rest.unionByName(own).distinct(), members, one=False)
         self.held.clear()
-        return self.links
+        return self
 
 
 def links(
@@ -229,7 +236,26 @@ def links(
 
     known: pairs of nodes that may be similar, from elsewhere; they are checked first.
     """
-    return _Join(docs, made, shingle, percent, id_column, text_column, known).run(stars)
+    join = _Join(docs, made, shingle, percent, id_column, text_column, known).run(stars)
+    if join.parts is not None:
+        common.dropped(join.parts)
+    return join.links
+
+
+def parts_of(
+    docs: DataFrame,
+    made: DataFrame,
+    shingle: int,
+    percent: int,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    stars: int = 2,
+    known: DataFrame | None = None,
+) -> DataFrame:
+    """The components of ``links``: node, component for every node but the least of its component, without keeping the links."""
+    join = _Join(docs, made, shingle, percent, id_column, text_column, known).run(stars)
+    common.dropped(join.links)
+    return join.parts if join.parts is not None else join.links.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
 def components_of(
@@ -237,7 +263,7 @@ def components_of(
 ) -> DataFrame:
     """Per document its id, n_shingles and component_id, the least id that links of similar sets lead to."""
     made = nodes_of(docs, shingle, percent, id_column, text_column)
-    found = components.labels(links(docs, made, shingle, percent, id_column, text_column), "a", "b").withColumnRenamed("node", "of")
+    found = parts_of(docs, made, shingle, percent, id_column, text_column).withColumnRenamed("node", "of")
     nodes = made.filter("n > 0").groupBy("node").agg(F.min("id").alias("id"))
     parts = nodes.join(found, F.col("node") == F.col("of"), "left").select("node", "id", F.coalesce("component", "node").alias("part"))
     least = parts.groupBy("part").agg(F.min("id").alias("component_id"))

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from entitylake.llm import components, near_copies, simhash, suffix_dedup, trie_join
+from entitylake.llm import common, components, near_copies, simhash, suffix_dedup, trie_join
 
 
 def removed(docs, threshold=100):
@@ -225,3 +225,28 @@ def test_components(spark):
     found = components.labels(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()
     assert {r.node: r.component for r in found} == {n: c for n, c in label.items() if n != c}
     assert components.labels(spark.createDataFrame([], "a long, b long"), "a", "b").collect() == []
+
+
+def test_components_of_one_part_need_no_turn(spark, monkeypatch, tmp_path):
+    """A chain and a star in one part are stars once written; over many parts and lots the result is the same."""
+    made = []
+
+    def folder(_, name):
+        made.append(name)
+        return str(tmp_path / f"{name}-{len(made)}")
+
+    monkeypatch.setattr(common, "scratch_dir", folder)
+    edges = [(i + 1, i) for i in range(300)] + [(1000, i) for i in range(1001, 1100)]
+    wanted = {**{i + 1: 0 for i in range(300)}, **{i: 1000 for i in range(1001, 1100)}}
+    table = spark.createDataFrame(edges, "a long, b long")
+    assert {r.node: r.component for r in components.labels(table, "a", "b").collect()} == wanted
+    assert len(made) == 1
+    monkeypatch.setattr(components, "AT_ONCE", 10)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        rows = components.labels(table, "a", "b").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r.node: r.component for r in rows} == wanted and len(rows) == len(wanted) and len(made) > 2

@@ -88,3 +88,17 @@ def test_stages_leave_no_texts_or_nodes_behind(documents, spark, monkeypatch, tm
     one = near_copies.keep_one(good)
     assert not [at for at in made if at.name.startswith("shingle-nodes") and at.exists()]
     assert sorted(r.doc_id for r in one.collect()) == list(range(30))
+
+
+def test_near_duplicates_are_few_jobs(documents, spark):
+    """The driver holds something of every job and broadcast, whatever the rows: parts of few links take no turns of several plans."""
+    long = [" ".join(f"w{i * 7 + j}" for j in range(60)) for i in range(40)]
+    docs = documents([*enumerate(long), *((100 + i, t + " more") for i, t in enumerate(long))])
+    spark.sparkContext.setJobGroup("near", "")
+    try:
+        rows = near_copies.keep_one(docs).collect()
+    finally:
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("near"))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(r.doc_id for r in rows) == list(range(40))
+    assert jobs < 165
